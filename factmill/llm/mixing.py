@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small_or_not
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows of one key range, about; a parameter of ``mix_sources``.
@@ -52,7 +52,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
     left = total - F.coalesce(F.sum("_limit").over(before), F.lit(0.0))
     heavy = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     full = F.col("_ratio") <= left / heavy
-    level = F.min(F.when(~F.col("_full"), F.col("_level"))).over(everything)
+    # levels rise up to the first source that isn't full, and fall behind it
+    level = F.max(F.when(~F.col("_full"), F.col("_level"))).over(everything)
     settled = limited.withColumn("_level", left / heavy).withColumn("_full", full)
     return settled.select("source", "source_size", "weight", F.when(F.col("_full"), F.col("_limit")).otherwise(level * F.col("weight")).alias("target"))
 
@@ -101,5 +102,6 @@ def mixed_documents(docs: DataFrame, columns: list[str], **options) -> DataFrame
     key = options.get("id_column", "doc_id")
     # the ids' counts are narrow; rows without words are never taken
     times = taken.where("taken > 0").groupBy(F.col("id").alias("_id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    times = small_or_not(times, 64)
     joined = docs.join(times, docs[key].eqNullSafe(times["_id"]))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)

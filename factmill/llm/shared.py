@@ -45,6 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_or_not(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, written out, with a broadcast hint if its counted rows are below the bound."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id as text, modulo ``n``; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
