@@ -1 +1 @@
-"""Part of factmill."""
+"""Scalar functions: Column in, Column out."""

@@ -1 +1 @@
-"""Part of factmill."""
+"""Joins, deduplication, sampling and metrics over whole tables."""

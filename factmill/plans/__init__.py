@@ -1 +1 @@
-"""Part of factmill."""
+"""A small typed plan language over facts, as DataFrame expressions."""

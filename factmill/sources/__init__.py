@@ -1 +1 @@
-"""Part of factmill."""
+"""Readers and writers of the record formats."""

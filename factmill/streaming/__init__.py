@@ -1 +1 @@
-"""Part of factmill."""
+"""Incremental versions of batch operators."""
