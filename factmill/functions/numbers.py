@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 #: Deleted inside a number: comma, dollar, space, no-break, narrow no-break and thin space.  Fixed values.
 SEPARATORS = ",$    "
-_DECIMAL = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
+#: A plain decimal number with white space around it; the number is the first group.
+_DECIMAL = r"(?U)^\s*([+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?)\s*$"
 #: Numbers in a sentence, not glued to a word or to another number.
 NUMBER_IN_TEXT = r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?"
 
@@ -23,13 +24,13 @@ def strip(text: Column) -> Column:
 
 
 def _finite(number: Column) -> Column:
-    return F.when(F.isnan(number) | (F.abs(number) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(number)
+    # NaN counts as larger than infinity
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def read_decimal(text: Column) -> Column:
     """A plain decimal number, or null: no hexadecimal, type suffix, NaN or infinity."""
-    plain = strip(text)
-    return F.when(plain.rlike(_DECIMAL), _finite(F.replace(plain, F.lit("_"), F.lit("")).try_cast("double")))
+    return _finite(F.replace(F.regexp_extract(text, _DECIMAL, 1), F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def parse_numeric(text: Column) -> Column:

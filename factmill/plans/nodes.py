@@ -51,9 +51,14 @@ def fact_of(ref: Column, facts: Column) -> Column:
 
 def evaluate(plan: Column, facts: Column, depth: int = specs.MAX_DEPTH) -> Column:
     """The value of a VARIANT plan over the row's ``facts``; malformed parts are errors."""
+    return let(F.struct(plan.alias("plan"), facts.alias("facts")), lambda s: evaluate_in_place(s["plan"], s["facts"], depth))
+
+
+def evaluate_in_place(plan: Column, facts: Column, depth: int) -> Column:
+    """The same where plan and facts are cheap to name often."""
 
     def operand(node: Column, left: int) -> Column:
-        nested = evaluate(node, facts, left) if left else value(err="too deep")
+        nested = evaluate_in_place(node, facts, left) if left else value(err="too deep")
         return F.when(is_ref(node), fact_of(get(node, "ref"), facts)).otherwise(nested)
 
     none = F.array().cast("array<variant>")
@@ -122,6 +127,10 @@ def _node_errors(node: Column, max_facts: int) -> Column:
 
 def shape_errors(plan: Column, max_facts: int = specs.MAX_FACTS) -> Column:
     """What is wrong with the plan's nodes; empty if it is well formed."""
+    return let(plan, lambda p: _shape_errors(p, max_facts))
+
+
+def _shape_errors(plan: Column, max_facts: int) -> Column:
     below = let(nodes(plan), lambda all_: F.flatten(F.transform(all_, lambda n: _node_errors(n, max_facts))))
     root = F.coalesce(kind(plan).startswith("OBJECT"), F.lit(False)) & get(plan, "op").isNotNull() & ~kind(F.try_variant_get(plan, "$.op", "variant")).isin("BIGINT", "BOOLEAN")
     deep = F.when(depth_of(plan) > specs.MAX_DEPTH, F.lit("too deep"))

@@ -31,6 +31,10 @@ def verdict(plan: Column, facts: Column, answer: Column, question: Column, marke
     ``facts`` is ``array<struct<id, label, num, str, unit>>``; ``marked`` the
     ids that a question marks (null: nothing is known).
     """
+    return let(F.struct(plan.alias("plan"), facts.alias("facts")), lambda s: _verdict(s["plan"], s["facts"], answer, question, marked, marking_required))
+
+
+def _verdict(plan: Column, facts: Column, answer: Column, question: Column, marked: Column | None, marking_required: Column | None) -> Column:
     marked = F.lit(None).cast("array<string>") if marked is None else marked
     required = F.lit(False) if marking_required is None else marking_required
     op, args = nodes.get(plan, "op"), nodes.operands(plan)
@@ -60,7 +64,7 @@ def verdict(plan: Column, facts: Column, answer: Column, question: Column, marke
         )
         return F.struct(status.alias("status"), result["num"].alias("num"), result["str"].alias("str"), result["unit"].alias("unit"))
 
-    return let(nodes.evaluate(plan, facts), judged)
+    return let(nodes.evaluate_in_place(plan, facts, specs.MAX_DEPTH), judged)
 
 
 def round_trip(plan: Column, facts: Column, answer: Column, strict: bool = True, max_facts: int = specs.MAX_FACTS) -> Column:
