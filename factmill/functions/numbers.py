@@ -117,3 +117,18 @@ def warmup_decay(step: Column, steps: int, warmup: int, kind: str = "cosine") ->
     share = F.least(F.lit(1.0), (step - warmup) / F.lit(float(max(1, steps - warmup))))
     falling = {"cosine": F.lit(0.5) * (1 + F.cos(F.lit(3.141592653589793) * share)), "linear": 1 - share, "constant": F.lit(1.0)}[kind]
     return F.when(step < warmup, rising).otherwise(F.greatest(F.lit(0.0), falling))
+
+
+def normalised_percentages(values: Column) -> Column:
+    """Shares of a hundred with two decimals; what rounding leaves goes to the largest."""
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    cents = F.transform(values, lambda x: F.floor(x / total * 10000))
+    left = F.lit(10000) - F.aggregate(cents, F.lit(0).cast("long"), lambda a, x: a + x)
+    top = F.array_position(cents, F.array_max(cents)).cast("int") - 1
+    return F.transform(cents, lambda c, i: F.when(i == top, c + left).otherwise(c) / F.lit(100.0))
+
+
+def axis_limits(values: Column, room: float = 0.1) -> Column:
+    """An axis from zero, or below the least value, to some room above the largest."""
+    high, low = F.array_max(values), F.array_min(values)
+    return F.struct(F.least(F.lit(0.0), low * (1 + room)).alias("low"), F.greatest(F.lit(0.0), high * (1 + room)).alias("high"))

@@ -181,3 +181,9 @@ def rename_truncated(operand: Column, names: Column, least: int = 8) -> Column:
     """The one fact name of at least 8 characters that an operand starts with, else the operand."""
     fitting = F.filter(names, lambda n: (F.length(n) >= least) & F.startswith(operand, n))
     return F.when(F.array_contains(names, operand) | (F.size(fitting) != 1), operand).otherwise(F.get(fitting, 0))
+
+
+def colour_reference(colours: Column, index: Column) -> Column:
+    """``the red one`` where an element's colour word is its own, else null."""
+    word = F.get(colours, index)
+    return F.when(F.size(F.filter(colours, lambda c: c == word)) == 1, F.concat(F.lit("the "), word, F.lit(" one")))

@@ -124,3 +124,11 @@ def bootstrap_interval(values: DataFrame, column: str, resamples: int = 10_000,
 def weighted_loss(chunks: DataFrame) -> DataFrame:
     """The mean loss of chunks ``loss, n`` by their size."""
     return chunks.agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"))
+
+
+def training_metrics(rows: DataFrame, right: Column, valid: Column, trip: Column, ap: float) -> DataFrame:
+    """Answer accuracy, shares of valid records and of plans that agree, and the mean of accuracy and AP that checkpoints are chosen by."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    accuracy = F.count_if(right) / n
+    agree = F.try_divide(F.count_if(trip == "agrees"), F.count_if(trip != "no_plan"))
+    return rows.agg(accuracy.alias("answer_accuracy"), (F.count_if(valid) / n).alias("schema_valid"), agree.alias("round_trip"), F.lit(ap).alias("ap"), ((accuracy + F.lit(ap)) / 2).alias("selection"))

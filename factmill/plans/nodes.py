@@ -49,20 +49,36 @@ def fact_of(ref: Column, facts: Column) -> Column:
     return F.when(F.size(own) == 1, fact_value(F.get(own, 0))).otherwise(value(err="unknown fact"))
 
 
-def evaluate(plan: Column, facts: Column, depth: int = specs.MAX_DEPTH) -> Column:
-    """The value of a VARIANT plan over the row's ``facts``; malformed parts are errors."""
-    return let(F.struct(plan.alias("plan"), facts.alias("facts")), lambda s: evaluate_in_place(s["plan"], s["facts"], depth))
+def fact_named(label: Column, facts: Column) -> Column:
+    """The one fact with a label; labels of none or of several facts are errors."""
+    own = F.filter(facts, lambda f: f["label"] == label)
+    return F.when(F.size(own) == 1, fact_value(F.get(own, 0))).otherwise(value(err="not exactly one fact"))
 
 
-def evaluate_in_place(plan: Column, facts: Column, depth: int) -> Column:
+def evaluate(plan: Column, facts: Column, depth: int = specs.MAX_DEPTH, by_label: bool = False) -> Column:
+    """The value of a VARIANT plan over the row's ``facts``; malformed parts are errors.
+
+    ``by_label`` (K10, V03) lets operands be labels, and folds without
+    operands take all facts.
+    """
+    return let(F.struct(plan.alias("plan"), facts.alias("facts")), lambda s: evaluate_in_place(s["plan"], s["facts"], depth, by_label))
+
+
+def evaluate_in_place(plan: Column, facts: Column, depth: int, by_label: bool = False) -> Column:
     """The same where plan and facts are cheap to name often."""
 
     def operand(node: Column, left: int) -> Column:
-        nested = evaluate_in_place(node, facts, left) if left else value(err="too deep")
-        return F.when(is_ref(node), fact_of(get(node, "ref"), facts)).otherwise(nested)
+        nested = evaluate_in_place(node, facts, left, by_label) if left else value(err="too deep")
+        found = F.when(is_ref(node), fact_of(get(node, "ref"), facts))
+        if by_label:
+            found = found.when(kind(node) == "STRING", fact_named(node.try_cast("string"), facts))
+        return found.otherwise(nested)
 
     none = F.array().cast("array<variant>")
     args = F.transform(F.coalesce(operands(plan), none), lambda a: operand(a, depth - 1))
+    if by_label:
+        implicit = get(plan, "op").isin(*specs.FOLDS) & (F.size(operands(plan)) == 0)
+        args = F.when(implicit, F.transform(facts, fact_value)).otherwise(args)
     return apply(get(plan, "op"), args, get(plan, "position", "int"), get(plan, "order"), get(plan, "compare"), get(plan, "threshold", "double"))
 
 

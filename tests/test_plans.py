@@ -110,3 +110,11 @@ def test_verdicts(spark):
     df = spark.createDataFrame(rows, f"i int, plan string, answer string, question string, marked array<string>, facts array<struct<{', '.join(x.replace(' ', ':', 1) for x in SCHEMA.split(', '))}>>").coalesce(1)
     got = {r["i"]: r["s"] for r in df.select("i", verify.verdict(nodes.read(F.col("plan")), F.col("facts"), F.col("answer"), F.col("question"), F.col("marked"))["status"].alias("s")).collect()}
     assert [got[i] for i in range(len(cases))] == [c[-1] for c in cases]
+
+
+def test_labels_as_operands(spark):
+    plan = [op("difference", ["2019", "2018"]), op("max", []), op("lookup", ["none"]), op("lookup", ["2017"])]
+    facts = [f for f in FACTS if f[0] in ("f1", "f2", "f3")]
+    df = spark.createDataFrame([(i, json.dumps(p), facts) for i, p in enumerate(plan)], f"i int, plan string, facts array<struct<{', '.join(x.replace(' ', ':', 1) for x in SCHEMA.split(', '))}>>").coalesce(1)
+    got = {r["i"]: r["r"] for r in df.select("i", nodes.evaluate(nodes.read(F.col("plan")), F.col("facts"), 1, by_label=True).alias("r")).collect()}
+    assert [got[i]["num"] for i in range(4)] == [35, 245, None, 210] and got[2]["err"] == "not exactly one fact"
