@@ -5,14 +5,15 @@ hashes.  Equal shingle sets are one class from there on.  Of a class's
 retained values the rarest ``p`` go into inverted lists: two sets with the
 wanted similarity share so many retained values that, in one order of all
 values, they must meet in a list (prefix filtering).  Pairs from the lists
-pass a filter on the sketch of their union, and what is left is verified on
-the full sets.
+must agree in most ranges of two signatures (two bits of the smallest hash in each
+of 64 ranges), pass a filter on the sketch of their union, and what is
+left is verified on the full sets.
 
 A list never yields all its pairs.  First every class is compared with the
 smallest class of each of its lists; the links found make components.  Only
-pairs of a list that lie in different components are looked at after that,
-and they are linked by exactly the same test, so that the final components
-are those of all links.
+classes that may be similar to one of another component are looked at after
+that: an exact prefix and position filter on their full sets gives the pairs
+that are left to verify, so that the final components are those of all links.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import LOWER, cut, hash_words, lists, mix, small_or_not, text_slices, word_bounds
 
 SKETCH = 64
-#: Values that are ordered as frequent ones; all others count as equally rare.
-FREQUENT = 1 << 16
+#: Values that are ordered as frequent ones, at most; all others count as equally rare.
+FREQUENT = 1 << 18
+#: Ranges of hashes that a signature has two bits for.
+BITS = 64
 #: A link at exactly the wanted similarity is missed with this chance at most.
 MISS = 1e-9
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -83,6 +86,20 @@ def row_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return values[new], np.bincount(rows[new], minlength=len(count))
 
 
+def signatures(values: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Two bits of the smallest hash in each of 64 ranges, for rows of ascending hashes: a word of first bits, one of second bits."""
+    rows = np.repeat(np.arange(len(size)), size)
+    bins = values >> np.uint64(63 - 6)
+    first = np.ones(len(values), dtype=bool)
+    first[1:] = (bins[1:] != bins[:-1]) | (rows[1:] != rows[:-1])
+    start, mixed, words = np.cumsum(size) - size, mix(values), []
+    for bit in (0, 1):
+        bits = np.where(first, (mixed >> np.uint64(bit) & np.uint64(1)) << bins, np.uint64(0))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(bits, dtype=np.uint64)))
+        words.append((sums[start + size] - sums[start]).view(np.int64))
+    return words
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches):
         values, size = row_sets(part.data, part.offsets, width)
@@ -94,15 +111,15 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[p
         # two 64-bit sums over the whole set tell sets apart
         sign = [(s[start + size] - s[start]).view(np.int64) for s in (sums.astype(np.uint64), other.astype(np.uint64))]
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(sign[0]), pa.array(sign[1]), lists(kept.view(np.int64), np.minimum(size, k))],
-            names=["doc_id", "n", "sign_a", "sign_b", "sketch"],
+            [part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(sign[0]), pa.array(sign[1]), *map(pa.array, signatures(values, size)), lists(kept.view(np.int64), np.minimum(size, k))],
+            names=["doc_id", "n", "sign_a", "sign_b", "bits", "bits2", "sketch"],
         )
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _full_sets(batches: Iterator[pa.RecordBatch], width: int, name: str = "doc_id") -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches):
         values, size = row_sets(part.data, part.offsets, width)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists(values.view(np.int64), size)], names=["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists(values.view(np.int64), size)], names=[name, "shingles"])
 
 
 def _need(n: Column, k: int, percent: int) -> Column:
@@ -113,7 +130,7 @@ def _need(n: Column, k: int, percent: int) -> Column:
 
 
 def inverted_lists(classes: DataFrame, k: int, percent: int, frequent: int) -> DataFrame:
-    """``value, rep, n``: each class under the rarest of its retained values."""
+    """``value, rep, n, bits, bits2``: each class under the rarest of its retained values."""
     values = classes.select(F.explode("sketch").alias("value")).groupBy("value").count().where("count > 1")
     values = cut(values)
     steps = values.groupBy(F.floor(F.log2("count") * 4).alias("step")).count().orderBy(F.desc("step")).collect()
@@ -131,8 +148,8 @@ def inverted_lists(classes: DataFrame, k: int, percent: int, frequent: int) -> D
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent_keys, often = held.value
         for b in batches:
-            sizes = np.diff(b.column(2).offsets.to_numpy())
-            flat = b.column(2).flatten().to_numpy()
+            sizes = np.diff(b.column(5).offsets.to_numpy())
+            flat = b.column(5).flatten().to_numpy()
             rows = np.repeat(np.arange(b.num_rows), sizes)
             count = np.zeros(len(flat), np.int64)
             if len(frequent_keys):
@@ -140,17 +157,22 @@ def inverted_lists(classes: DataFrame, k: int, percent: int, frequent: int) -> D
                 count = np.where(frequent_keys[slot] == flat, often[slot], 0)
             order = np.lexsort((flat, count, rows))
             place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = place < np.repeat(sizes - b.column(3).to_numpy() + 1, sizes)
+            keep = place < np.repeat(sizes - b.column(4).to_numpy() + 1, sizes)
             chosen = order[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[chosen]), pa.array(b.column(0).to_numpy()[rows[chosen]]), pa.array(b.column(1).to_numpy()[rows[chosen]])], names=["value", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[chosen]), *(pa.array(b.column(i).to_numpy()[rows[chosen]]) for i in range(4))], names=["value", "rep", "n", "bits", "bits2"])
 
-    index = classes.select("rep", "n", "sketch", _need(F.col("n"), k, percent).cast("int").alias("need")).mapInArrow(rarest, "value bigint, rep bigint, n bigint")
+    index = classes.select("rep", "n", "bits", "bits2", _need(F.col("n"), k, percent).cast("int").alias("need"), "sketch").mapInArrow(rarest, "value bigint, rep bigint, n bigint, bits bigint, bits2 bigint")
     # a list needs two members
     return index.join(values.select("value"), "value", "left_semi")
 
 
-def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
-    return (F.least(a, b) * F.lit(100)) >= (F.greatest(a, b) * F.lit(percent))
+def _may_be_similar(a: str, b: str, percent: int) -> Column:
+    """What sizes and signatures of two sets allow; ranges with different smallest hashes agree by chance in a quarter of cases."""
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    sizes = (F.least(n_a, n_b) * F.lit(100)) >= (F.greatest(n_a, n_b) * F.lit(percent))
+    differ = lambda c: F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+    apart = F.bit_count(differ("bits").bitwiseOR(differ("bits2")))
+    return sizes & (apart <= F.lit(BITS - certain_overlap(BITS, percent + (100 - percent) // 4)))
 
 
 def _sketch_filter(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -177,6 +199,30 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return joined.where(inter * F.lit(100) >= union * F.lit(percent)).select("a", "b").distinct()
 
 
+def _prefix_pairs(left: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components among ``left`` that their full sets allow.
+
+    Exact prefix and position filtering: shingles in one order, rare ones
+    first; similar sets share one among their first few, and behind the first
+    shared one both must have enough left for the overlap that is needed.
+    """
+    asked = docs.join(small_or_not(left.select(F.col("rep").alias("doc_id")), 64), "doc_id", "left_semi")
+    sets = asked.select("doc_id", "text").mapInArrow(lambda b: _full_sets(b, width, "rep"), "rep bigint, shingles array<bigint>")
+    rows = cut(sets).select("rep", F.explode("shingles").alias("value"))
+    often = rows.groupBy("value").count().where("count > 1")
+    shared = rows.join(often, "value").join(small_or_not(left, 64), "rep")
+    order = Window.partitionBy("rep").orderBy("count", "value")
+    # shingles that no other set has come first; their number follows from those that remain
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
+    placed = shared.withColumn("place", alone + F.row_number().over(order) - 1)
+    placed = cut(placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100))).drop("count"))
+    x, y = placed.alias("x"), placed.alias("y")
+    most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    enough = most * F.lit(100 + percent) >= (F.col("x.n") + F.col("y.n")) * F.lit(percent)
+    pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & enough & _may_be_similar("x", "y", percent))
+    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component``: the smallest node that each linked node can reach.
 
@@ -215,26 +261,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     links: its component is null and it is kept.  An empty table gives no
     rows; other columns are ignored.
     """
-    signed = cut(docs.select("doc_id", "text").mapInArrow(lambda b: _sketch(b, width, k), "doc_id bigint, n bigint, sign_a bigint, sign_b bigint, sketch array<bigint>"))
+    signed = cut(docs.select("doc_id", "text").mapInArrow(lambda b: _sketch(b, width, k), "doc_id bigint, n bigint, sign_a bigint, sign_b bigint, bits bigint, bits2 bigint, sketch array<bigint>"))
     sign = ["n", "sign_a", "sign_b"]
     linked = signed.where("n > 0 and doc_id is not null")
-    classes = cut(linked.groupBy(*sign).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+    classes = cut(linked.groupBy(*sign).agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("sketch").alias("sketch")))
     index = cut(inverted_lists(classes, k, percent, frequent))
     # the smallest class of a list stands for it; the size of a set decides between its lists
-    low = index.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("low"))
-    star = index.join(low, "value").select(F.col("low.rep").alias("a"), F.col("low.n").alias("_n"), F.col("rep").alias("b"), "n")
-    star = star.where((F.col("a") < F.col("b")) & _similar_sizes(F.col("_n"), F.col("n"), percent)).select("a", "b").distinct()
+    low = index.groupBy("value").agg(F.min(F.struct("rep", "n", "bits", "bits2")).alias("low")).select("value", "low.*")
+    x, y = low.alias("x"), index.alias("y")
+    star = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & _may_be_similar("x", "y", percent))
+    star = star.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     tried = cut(star)
     links = cut(_verify(cut(_sketch_filter(tried, classes, k, percent)), docs, width, percent))
     found = cut(components(links))
-    # pairs of one list that the links so far don't connect
-    named = index.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    # sets of one list that the links so far don't connect, though they may be similar
+    named = index.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", "bits", "bits2", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("value").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("value")
     open_ = cut(named.join(mixed, "value", "left_semi"))
     x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _similar_sizes(F.col("x.n"), F.col("y.n"), percent))
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(_verify(cut(_sketch_filter(cut(rest), classes, k, percent)), docs, width, percent))
+    apart = (F.col("x.value") == F.col("y.value")) & (F.col("x.component") != F.col("y.component"))
+    left = cut(x.join(y, apart & _may_be_similar("x", "y", percent), "left_semi").groupBy("rep").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("component").alias("component")))
+    more = cut(_verify(cut(_prefix_pairs(left, docs, width, percent).join(tried, ["a", "b"], "left_anti")), docs, width, percent))
     # classes of one id are one node already: equal ids
     final = components(links.union(more)) if more.take(1) else found
     classes = classes.select(*sign, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .shared import LOWER, bounded_sample, hash_words, text_slices, word_bounds
 
 #: Labelled rows of either value of the last category that are fitted on, at most; longer texts aren't among them.
-FIT_ROWS = 4000
+FIT_ROWS = 2000
 FIT_BYTES = 1 << 15
 FEATURES = 1024
 _SPACE_BITS = 20
@@ -97,10 +97,14 @@ def train(parts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, names: list
     pairs, at = [], 0
     for data, offsets in parts:
         keys, rows = word_features(data, offsets)
-        pairs.append(np.unique((rows + at) << _SPACE_BITS | keys))
+        # rows and features of the bounded sample fit into 32 bits
+        pairs.append(np.unique(((rows + at) << _SPACE_BITS | keys).astype(np.uint32)))
         at += len(offsets) - 1
+    if len(y) > 1 << 32 - _SPACE_BITS:
+        raise ValueError("too many rows to fit on")
     pairs = np.concatenate(pairs)
-    rows, keys = pairs >> _SPACE_BITS, pairs & ((1 << _SPACE_BITS) - 1)
+    rows, keys = (pairs >> np.uint32(_SPACE_BITS)).astype(np.int32), (pairs & np.uint32((1 << _SPACE_BITS) - 1)).astype(np.int32)
+    del pairs
     # the features that tell each category best, by the difference of their shares in units of its spread
     chosen: list[np.ndarray] = []
     for k in range(y.shape[1]):

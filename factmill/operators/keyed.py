@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Sides below this many bytes are broadcast; the size is that of counted rows.
 BROADCAST_BYTES = 16 << 20
 
@@ -84,7 +86,8 @@ def zip_by_position(left: DataFrame, right: DataFrame, order_left: str, order_ri
 def numbered(df: DataFrame, order: str, start: int = 0) -> DataFrame:
     """A dense ``_place`` in the order of a column, without one window over all rows."""
     ranged = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, order).sortWithinPartitions(order)
-    placed = ranged.withColumn("_id", F.monotonically_increasing_id())
+    # both uses below must see the same partitions
+    placed = cut(ranged.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))

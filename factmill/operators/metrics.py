@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def accuracy_by_subset(scored: DataFrame, subset: str, ok: Column) -> DataFrame:
     """Share of right answers, overall (null subset) and by subset."""
@@ -67,7 +69,7 @@ def precision_recall(hits: DataFrame, truths: int, ranges: int = 16) -> DataFram
     ranges' sums are added up first, so that no task sees all detections.
     """
     placed = hits.repartitionByRange(ranges, F.desc("score"), "image", "seq").sortWithinPartitions(F.desc("score"), "image", "seq")
-    placed = placed.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).checkpoint()
+    placed = cut(placed.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)))
     one = F.col("hit").cast("int")
     sums = placed.groupBy("_part").agg(F.sum(one).alias("_tp"), F.count("*").alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -452,7 +452,6 @@ l AS (SELECT range AS level, coalesce((SELECT max(precision) FROM c WHERE floor(
 SELECT round(avg(p), 9) AS ap FROM l""")
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: 101-point average precision of scored hits."""
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("image"), F.col("vec_id").alias("seq"), ((F.col("vec_id") * 7919 % 1000) / 1000.0).alias("score"), (F.col("vec_id") % 3 == 0).alias("hit"))
     return metrics.average_precision(rows, rows.where("hit").count()).select(F.round("ap", 9).alias("ap"))
 

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Defaults of a session that this package builds; a cluster's own settings win.
 DEFAULTS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.showConsoleProgress": "false"}
@@ -33,3 +33,15 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(str(target))
     context._factmill_shipped = True
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there, so that what is random in it is settled.
+
+    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
+    set only where none is set, as in tests.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return df.checkpoint(eager=True)
