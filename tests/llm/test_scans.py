@@ -4,13 +4,14 @@ import math
 import re
 import zlib
 from collections import Counter
+from random import Random
 
 import numpy as np
 import pytest
 
 from factmill.llm import licenses, lm_scoring
 
-from .helpers import documents, empty
+from .helpers import documents, empty, prose
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -111,6 +112,26 @@ def test_lm(spark, hot_words):
     assert lm_scoring.score_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"hot_grams": 0}, {"hot_grams": 300, "hot_words": 20}])
+def test_lm_keeps_rare_contexts(spark, options):
+    """A few rare texts among many common ones, with the production order and no cut."""
+    random = Random(3)
+    rows = [(i, prose(random, "en", 120)) for i in range(600)] + [(i, prose(random, "de", 12)) for i in range(600, 630)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order, grams = lm_scoring.MAX_ORDER, {}
+    for i, text in rows:
+        data = [255] * order + list(text.translate(LOWER).encode()) + [255]
+        for at in range(order, len(data) if zlib.crc32(str(i).encode()) % 7 != 2 else 0):
+            for k in range(order + 1):
+                grams.setdefault(tuple(data[at - k : at]), Counter())[data[at]] += 1
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, **options).collect()}
+    assert len(got) == len(rows) and any(got[i]["held_out"] for i, _ in rows[600:])
+    for i, text in rows[600:]:
+        data = [255] * order + list(text.translate(LOWER).encode()) + [255]
+        want = sum(math.log10(ppm(grams, tuple(data[:at]), data[at], order)) for at in range(order, len(data)))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-6)
+
+
 def test_shares_add_up():
     random = np.random.default_rng(0)
     levels = []
