@@ -8,7 +8,6 @@ aggregate, so a plan has one shuffle by key and nothing is collected.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,12 +92,10 @@ def merge_elements(records: DataFrame, key: str = "key") -> DataFrame:
 
     ``elements`` is JSON text of a list of objects, ``evidence`` an array of
     positions in it.  A group's records are folded in order of source, id and
-    row; the fold is sequential by definition, so a group is one Arrow table.
+    row.  The fold is sequential by definition, so a group's records pass one
+    task, sorted by Spark and read as a stream.
     """
     ranked = records.select("split", key, source_rank(F.col("source")).alias("rank"), "record_id", "row", "elements", "evidence")
+    order = [F.col(c).asc_nulls_last() for c in ("split", key, "rank", "record_id", "row")]
     schema = f"split string, {key} string, elements string, evidence array<int>, conflict string"
-
-    def fold(table: pa.Table) -> pa.Table:
-        return merge_groups(table, key)
-
-    return ranked.groupBy("split", key).applyInArrow(fold, schema)
+    return ranked.repartition("split", key).sortWithinPartitions(*order).mapInArrow(lambda batches: merge_groups(batches, key), schema)

@@ -36,10 +36,16 @@ def split_by_usability(records: DataFrame, stage1: Column, stage2: Column) -> tu
     return flagged.where("_one").drop("_one", "_two"), flagged.where("_two").drop("_one", "_two")
 
 
-def _sampled(records: DataFrame, strata: list[str], quotas: DataFrame, seed: int, id_column: str, flag: str) -> DataFrame:
-    """Rows with ``flag``: whether they are within their stratum's quota in random order."""
+def _sampled(records: DataFrame, strata: list[str], quotas: DataFrame, seed: int, id_column: str, flag: str, most: int | None = None) -> DataFrame:
+    """Rows with ``flag``: whether they are within their stratum's quota in random order.
+
+    ``most``, the largest quota where only rows within it are wanted, is a
+    limit that Spark applies before the shuffle.
+    """
     order = Window.partitionBy(*strata).orderBy(shuffled(seed, id_column), id_column)
     joined = records.withColumn("_nth", F.row_number().over(order))
+    if most is not None:
+        joined = joined.where(F.col("_nth") <= most)
     on = [records[c].eqNullSafe(quotas[f"_{c}"]) for c in strata]
     condition = on[0]
     for c in on[1:]:
@@ -92,7 +98,7 @@ def _counts(records: DataFrame, strata: list[str]) -> dict:
 def balance_by_level(records: DataFrame, level: str, total: int, seed: int, id_column: str) -> DataFrame:
     """``total`` rows with levels as even as they can be."""
     quotas = balanced_quotas({k[0]: n for k, n in _counts(records, [level]).items()}, total)
-    return _sampled(records, [level], _table(records, [level], {(k,): n for k, n in quotas.items()}), seed, id_column, "_in").where("_in").drop("_in")
+    return _sampled(records, [level], _table(records, [level], {(k,): n for k, n in quotas.items()}), seed, id_column, "_in", max(quotas.values(), default=0)).where("_in").drop("_in")
 
 
 def stratified_holdout(records: DataFrame, strata: list[str], size: int, seed: int, id_column: str) -> DataFrame:
@@ -111,7 +117,7 @@ def reservoir_sample(records: DataFrame, kinds: list[str], kind: str, n: int, se
     """``n`` rows over the named kinds, the first ones taking the remainder."""
     base, rest = divmod(n, len(kinds))
     quotas = {(k,): base + (i < rest) for i, k in enumerate(kinds)}
-    return _sampled(records, [kind], _table(records, [kind], quotas), seed, id_column, "_in").where("_in").drop("_in")
+    return _sampled(records, [kind], _table(records, [kind], quotas), seed, id_column, "_in", max(quotas.values(), default=0)).where("_in").drop("_in")
 
 
 def curriculum(synthetic: DataFrame, real: DataFrame, cap: int) -> DataFrame:
