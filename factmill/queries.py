@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +12,7 @@ from .functions import colours, geometry, json_tools, numbers, text
 from .operators import align, dedup, facts, keyed, metrics, mixture, synthetic
 from .plans import compile as plans
 from .plans import nodes, targets, verify
+from .session import shared_folder
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -706,9 +707,6 @@ def stream_incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
     """New output and state folders where the cluster shares files."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    run = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     return f"{run}/out", f"{run}/state"
 

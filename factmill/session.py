@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,13 +36,54 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, which the whole cluster sees.
+
+    Where it isn't set, the context's checkpoint folder; a temporary one in
+    local mode only, as in tests.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
+        folder = getattr(context, "_factmill_folder", None) or tempfile.mkdtemp()
+        context._factmill_folder = folder
+    return folder.rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str, at_end: bool = False) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.deleteOnExit(target) if at_end else system.delete(target, True)
+
+
+#: Shuffle files go as soon as the table that they led to is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there, so that what is random in it is settled.
+    """``df`` written as Parquet to the shared folder and read from there: its lineage is cut, and what is random in it is settled.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    set only where none is set, as in tests.
+    ``drop`` deletes a table once nothing reads it; the others go when the
+    session ends.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/factmill-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    _delete(spark, path, at_end=True)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._factmill_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote; nothing may read them any more."""
+    for table in tables:
+        if path := getattr(table, "_factmill_path", None):
+            _delete(table.sparkSession, path)
