@@ -11,18 +11,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, bounded_sample, crc_mod, crc_of, text_slices
+from .shared import LOWER, SLICE_BYTES, crc_mod, crc_of, excerpt, hash_share, text_slices
 
-#: Rows that the classifiers are fitted on, at most; texts above FIT_BYTES aren't among them.
+#: Rows that the classifiers are fitted on, at most, as many of each language, and bytes of each; of longer texts excerpts are taken.
 FIT_ROWS = 4000
 FIT_BYTES = 1 << 16
+#: Languages that are learned, at most: the most frequent ones.
+LANGUAGES = 1000
 BUCKETS = 1 << 12
+#: Rows whose features a task holds at once.
+SLICE_ROWS = 512
 UNKNOWN = "und"
-_LETTER = regex.compile(r"\p{L}")
+_LETTER = r"\pL"
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
@@ -44,20 +48,26 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 
 
 def gram_features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Rows of root frequencies of hashed byte 1-, 2- and 3-grams of the lower-case text."""
-    n = len(offsets) - 1
-    x = LOWER[data].astype(np.uint32)
-    rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
+    """Rows of root frequencies of hashed byte 1-, 2- and 3-grams of the lower-case text.
+
+    Bytes are looked at in stretches, so that a long text takes no more memory than a short one.
+    """
+    n, salt, shift = len(offsets) - 1, np.uint32(0x9E3779B1), np.uint32(32 - int(np.log2(buckets)))
     counts = np.zeros(n * buckets)
-    code, salt = np.zeros(len(x), np.uint32), np.uint32(0x9E3779B1)
-    for size in range(3):
-        # a gram ends in its row: its first byte must stand in the same row
-        code = (x << np.uint32(8 * size)) if size == 0 else np.concatenate((code[:1] * 0, code[:-1])) << np.uint32(8) | x
-        keep = slice(size, None)
-        same = rows[keep] == rows[: len(rows) - size]
-        key = ((code[keep] & np.uint32((1 << 8 * (size + 1)) - 1)) + np.uint32(size << 24)) * salt >> np.uint32(32 - int(np.log2(buckets)))
-        counts += np.bincount(rows[keep][same] * buckets + key[same], minlength=n * buckets)
-    counts = np.sqrt(counts.reshape(n, buckets))
+    for low in range(0, len(data), SLICE_BYTES):
+        # two bytes before the stretch may begin its first grams
+        start = max(low - 2, 0)
+        x = LOWER[data[start : low + SLICE_BYTES]].astype(np.uint32)
+        rows = np.searchsorted(offsets, np.arange(start, start + len(x)), side="right") - 1
+        code = np.zeros(len(x), np.uint32)
+        for size in range(3):
+            # a gram ends in its row: its first byte must stand in the same row
+            code = x if size == 0 else np.concatenate((code[:1] * 0, code[:-1])) << np.uint32(8) | x
+            keep = slice(max(size, low - start), None)
+            same = rows[keep] == rows[keep.start - size : len(rows) - size]
+            key = ((code[keep] & np.uint32((1 << 8 * (size + 1)) - 1)) + np.uint32(size << 24)) * salt >> shift
+            counts += np.bincount(rows[keep][same] * buckets + key[same], minlength=n * buckets)
+    counts = np.sqrt(counts, dtype=np.float32).reshape(n, buckets)
     return counts / np.maximum(np.sqrt((counts**2).sum(1, keepdims=True)), 1e-12)
 
 
@@ -79,12 +89,25 @@ class Classifiers:
 
 
 def fit(docs: DataFrame, held_out_mod: int = 5, held_out: int = 0, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS, rounds: int = 150) -> Classifiers:
-    """Fit on a bounded sample of rows with a language outside the held-out class."""
-    rows = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", held_out_mod) != held_out) & (F.octet_length("text") <= FIT_BYTES)).select("doc_id", "lang", "text")
-    sample = bounded_sample(rows, "doc_id", fit_rows, 11).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    """Fit on a bounded sample of rows with a language outside the held-out class, as many of each language.
+
+    Of rows that share id and language the one with the smallest text counts.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", held_out_mod) != held_out))
+    counts = known.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES).toPandas()
+    each = max(1, fit_rows // max(1, len(counts)))
+    # what the order below has to look at is cut down first; few rows miss a share of twice what is asked for
+    shares = docs.sparkSession.createDataFrame([(lang, 2.0 * each / n + 64.0 / n) for lang, n in zip(counts["lang"], counts["_n"], strict=True)], "lang string, _share double")
+    key = hash_share("doc_id", 11)
+    likely = known.select(F.col("lang").cast("string").alias("lang"), "doc_id").join(F.broadcast(shares), "lang").where(key < F.col("_share")).select("lang", "doc_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id"))
+    chosen = likely.withColumn("_nth", nth).where(F.col("_nth") <= each).select("lang", F.col("doc_id").alias("_id"))
+    rows = known.join(F.broadcast(chosen), (known["lang"] == chosen["lang"]) & known["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), excerpt("text", FIT_BYTES).alias("text")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    sample = rows.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     languages = sorted(set(sample.column("lang").to_pylist()))
     codes = codewords(len(languages))
-    features = [gram_features(p.data, p.offsets, buckets).astype(np.float32) for p in text_slices(iter(sample.to_batches()))]
+    features = [gram_features(p.data, p.offsets, buckets).astype(np.float32) for p in text_slices(iter(sample.to_batches()), most_rows=SLICE_ROWS)]
     bits = codes.shape[1]
     weights, bias = np.zeros((buckets, bits), np.float32), np.zeros(bits, np.float32)
     if not features or len(languages) < 2:
@@ -113,9 +136,9 @@ def identify(docs: DataFrame, model: Classifiers, lead: float = 0.2, held_out_mo
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for part in text_slices(batches):
-            texts, ids = part.column("text").to_pylist(), part.column("doc_id")
-            letters = np.array([bool(t and _LETTER.search(t)) for t in texts]) & bool(m.languages)
+        for part in text_slices(batches, most_rows=SLICE_ROWS):
+            ids = part.column("doc_id")
+            letters = pc.match_substring_regex(part.column("text"), _LETTER).fill_null(False).to_numpy(zero_copy_only=False) & bool(m.languages)
             if m.languages:
                 best, vote, ahead = m.decode(gram_features(part.data, part.offsets, m.weights.shape[0]))
             else:

@@ -7,7 +7,10 @@ max-pooled in segments of 256 bytes, and a text's largest and mean pooled
 values are combined into one probability.
 
 Texts lie in one buffer, each from a multiple of a segment on and followed by
-zeros, so that a slice of many texts is one matrix product.
+zeros, so that a slice of many texts is one matrix product.  A long text goes
+through in stretches that overlap by what a window and a repeat reach back;
+its largest and mean values are kept up on the way, so that memory doesn't
+grow with it.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, crc_mod, crc_of, text_slices
+from .shared import bounded_sample, crc_mod, crc_of, excerpt, one_text, text_slices
 
-#: Labelled rows of either class that the network is fitted on, at most; longer texts aren't among them.
+#: Labelled rows of either class that the network is fitted on, at most, and bytes of each; of longer texts excerpts are taken.
 FIT_ROWS = 1500
 FIT_BYTES = 8192
+#: Bytes that go through the network at once.
+STRETCH = 1 << 18
 CHANNELS, FILTERS, STRIDE, BLOCKS, SEGMENT, LAGS = 8, 24, 4, 4, 256, 40
 _GAP = 64
 _PART = CHANNELS * STRIDE
@@ -49,8 +54,9 @@ def lay_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     segments = (sizes + _GAP + SEGMENT - 1) // SEGMENT
     starts = (np.cumsum(segments) - segments) * SEGMENT
     x = np.zeros(int(segments.sum()) * SEGMENT + SEGMENT, np.uint8)
-    # zero bytes of a text count as blanks: zeros mark what isn't text
-    x[np.arange(len(data)) + np.repeat(starts - offsets[:-1], sizes)] = np.maximum(data, 1)
+    for i in np.flatnonzero(sizes):
+        # zero bytes of a text count as blanks: zeros mark what isn't text
+        x[starts[i] : starts[i] + sizes[i]] = np.maximum(data[offsets[i] : offsets[i + 1]], 1)
     return x, segments
 
 
@@ -97,10 +103,31 @@ class Network:
         return np.concatenate((np.maximum.reduceat(pooled, first, axis=0), np.add.reduceat(pooled, first, axis=0) / segments[:, None]), axis=1).astype(np.float32)
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        x, segments = lay_out(data, offsets)
-        f = self.features(self.pooled(x, repeats(x)), segments)
+        """The probability of each text; a slice of more than ``STRETCH`` bytes is one text."""
+        if len(offsets) == 2 and len(data) > STRETCH:
+            f = self.long_features(data)
+        else:
+            x, segments = lay_out(data, offsets)
+            f = self.features(self.pooled(x, repeats(x)), segments)
         return 1 / (1 + np.exp(-np.clip(f @ self.out + self.out_bias, -30, 30).astype(np.float64)))
 
+    def long_features(self, data: np.ndarray) -> np.ndarray:
+        """The same features of one long text, stretch by stretch."""
+        segments = (len(data) + _GAP + SEGMENT - 1) // SEGMENT
+        most, total = np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float64)
+        for first in range(0, segments, STRETCH // SEGMENT):
+            # a segment before, for what repeats, and one behind, for windows that reach over
+            last = min(first + STRETCH // SEGMENT, segments)
+            start, end = max(first - 1, 0) * SEGMENT, (last + 1) * SEGMENT
+            x = np.zeros(end - start, np.uint8)
+            part = data[start : min(end, len(data))]
+            x[: len(part)] = np.maximum(part, 1)
+            own = first * SEGMENT - start
+            pooled = self.pooled(x[own:], repeats(x)[own:])
+            most = np.maximum(most, pooled.max(0))
+            total += pooled.sum(0, dtype=np.float64)
+        return np.concatenate((most, total / segments)).astype(np.float32)[None]
+
     def gradients(self, x: np.ndarray, again: np.ndarray, segments: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Of the mean logistic loss, for all parts."""
         pooled, where, c = self.pooled(x, again, at=True)
@@ -124,7 +151,7 @@ class Network:
         back = (self.filters.T[flt] * g[:, None]).reshape(-1, CHANNELS)
         byte = x[(window[:, None] * STRIDE + np.arange(BLOCKS * STRIDE)).ravel()].astype(np.int64)
         d_bytes = np.stack([np.bincount(byte, back[:, i], 256) for i in range(CHANNELS)], axis=1).astype(np.float32)
-        d_bytes[:, -1] = 0
+        d_bytes[:, -1] = d_bytes[0] = 0  # neither is used
         return [d_bytes, d_filters, np.bincount(flt, g, FILTERS).astype(np.float32), f.T @ d, d.sum(keepdims=True)]
 
 
@@ -158,16 +185,19 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 5, batch: int = 32, r
 def fit(docs: DataFrame, labels: DataFrame, mod: int | None = 3, held_out: int = 1, fit_rows: int = FIT_ROWS) -> Network | None:
     """Fit on a bounded sample of labelled rows outside the held-out class; None without both classes.
 
-    ``mod=None`` holds nothing out.
+    At most twice ``fit_rows`` labelled ids of either class, one row of each,
+    are looked at, as not every label has its document.  ``mod=None`` holds
+    nothing out.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= FIT_BYTES)).select("doc_id", "text")
+    rows = docs.where(F.col("text").isNotNull())
     if mod is not None:
-        rows = rows.where(crc_mod("doc_id", mod) != held_out)
+        known = known.where(crc_mod("doc_id", mod) != held_out)
     # labels are narrow; which ids to fit on is settled before any text is read
     ids = [bounded_sample(known.where(F.col("quality") == q), "doc_id", fit_rows * 2, 13 + q) for q in (0, 1)]
     ids = ids[0].unionByName(ids[1])
-    sample = rows.join(F.broadcast(ids), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    sample = one_text(rows.join(F.broadcast(ids), "doc_id").select("doc_id", excerpt("text", FIT_BYTES).alias("text"), "quality"), "quality")
+    sample = sample.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     y = np.array(sample.column("quality").to_pylist(), np.float32)
     if len(y) == 0 or y.min() == y.max():
         return None
@@ -192,7 +222,7 @@ def score(docs: DataFrame, network: Network | None, mod: int = 3, held_out: int
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
-        for part in text_slices(batches, most=1 << 18):
+        for part in text_slices(batches, most=STRETCH):
             ids = part.column("doc_id")
             p = np.full(part.n, 0.5) if net is None else net.predict(part.data, part.offsets)
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(crc_of(ids.to_pylist()) % mod == held_out), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -211,7 +241,7 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFram
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
-        for part in text_slices(batches, most=1 << 18):
+        for part in text_slices(batches, most=STRETCH):
             if net is None:
                 yield part.rows
             else:

@@ -2,13 +2,13 @@
 
 Python tasks see text as one flat ``uint8`` array with row offsets, so that
 tokenising and hashing are a few numpy passes and never a loop over rows.
-Work is done in slices of about ``SLICE_BYTES`` of text, which bounds a task's
-memory whatever the batch size; one longer text is a slice of its own.
+Work is done in slices of about ``SLICE_BYTES`` of text and at most
+``SLICE_ROWS`` rows, which bounds a task's memory whatever the batch size; one
+longer text is a slice of its own.
 """
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -17,7 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, drop  # noqa: F401
+
 SLICE_BYTES = 1 << 20
+#: Rows of a slice, at most: what a task holds for each row is bounded too.
+SLICE_ROWS = 4096
 #: Distributed data is only broadcast below this many bytes.
 BROADCAST_BYTES = 16 << 20
 
@@ -33,22 +37,12 @@ _BYTE_KEYS = np.random.default_rng(20250824).integers(0, 1 << 63, 256, dtype=np.
 _powers: dict[str, np.ndarray] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    set only where none is set, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
-
-
 def small_or_not(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df``, written out, with a broadcast hint if its counted rows are below the bound."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    table = cut(df)
+    found = F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+    found._factmill_path = table._factmill_path
+    return found
 
 
 def crc_mod(column: str, n: int) -> Column:
@@ -67,14 +61,32 @@ def hash_share(column: str, seed: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, id_column: str, most: int, seed: int) -> DataFrame:
-    """About 95 % of ``most`` rows by a hash of their id, or all if they are fewer.
+    """At most ``most`` rows: those whose id hashes lowest, ties by all columns; all if they are fewer.
 
     Used for fitting only; the bound is the caller's documented parameter.
     """
     n = rows.count()
     if n <= most:
         return rows
-    return rows.where(hash_share(id_column, seed) < 0.95 * most / n).limit(most)
+    # what the order below has to look at is cut down first; few rows miss a share of twice what is asked for
+    likely = rows.where(hash_share(id_column, seed) < 2.0 * most / n + 64.0 / n)
+    return likely.orderBy(hash_share(id_column, seed), *rows.columns).limit(most)
+
+
+def excerpt(text: str, most: int, pieces: int = 8) -> Column:
+    """A text of at most ``most`` bytes whole, of a longer one ``pieces`` excerpts from all over it, of as many bytes together, about.
+
+    For fitting only: long texts stay in the sample, and it stays bounded.
+    """
+    size = most // pieces // 4
+    step = F.floor((F.length(text) - size) / F.lit(pieces - 1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(F.col(text), i * step + 1, F.lit(size)))
+    return F.when(F.octet_length(text) <= most, F.col(text)).otherwise(F.array_join(parts, " "))
+
+
+def one_text(rows: DataFrame, *kept: str) -> DataFrame:
+    """Of rows that share a ``doc_id``, the one with the smallest text."""
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", *kept)).alias("_row")).select("doc_id", "_row.*")
 
 
 class Slice:
@@ -92,8 +104,8 @@ class Slice:
         return np.searchsorted(self.offsets, positions, side="right") - 1
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cut batches into slices of about ``most`` bytes of text; null text is empty."""
+def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[Slice]:
+    """Cut batches into slices of about ``most`` bytes of text and at most ``most_rows`` rows; null text is empty."""
     for batch in batches:
         at, n = 0, batch.num_rows
         if not n:
@@ -104,7 +116,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int
         data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
         while at < n:
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
-            end = min(end, n)
+            end = min(end, n, at + most_rows)
             yield Slice(batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
             at = end
 
@@ -144,13 +156,22 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges: prefix sums of keyed bytes, shifted to each start."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_KEYS[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte ranges in ascending order: prefix sums of keyed bytes, shifted to each start.
+
+    A long text is taken piece by piece; where a piece begins doesn't matter to the hashes.
+    """
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        end = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+        first, last = starts[at:end] - base, ends[at:end] - base
+        part = data[base : ends[end - 1]]
+        up, down = _power_tables(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE_KEYS[part] * up[: len(part)], out=sums[1:])
+        out[at:end] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+        at = end
+    return out
 
 
 def count_sorted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,14 @@
 
 Categories are predicted one after the other; every model sees the text's
 features and the probabilities of the categories before it.  In training
-those probabilities are out-of-fold, so that a later model learns from
-predictions as they will be.  Features say which of the selected words and
-word beginnings stand anywhere in the whole text.
+those probabilities are out-of-fold, features selected without the fold
+included, so that a later model learns from predictions as they will be.
+Features say which of the selected words and word beginnings stand anywhere
+in the whole text.
+
+Where the labels name no categories but the last, the earlier ones are kinds
+of toxic texts found among the labelled ones: clusters of those that share
+telling words, whatever their language.
 """
 
 from __future__ import annotations
@@ -16,19 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, bounded_sample, hash_words, text_slices, word_bounds
+from .shared import LOWER, bounded_sample, crc_mod, crc_of, excerpt, hash_words, one_text, text_slices, word_bounds
 
-#: Labelled rows of either value of the last category that are fitted on, at most; longer texts aren't among them.
+#: Labelled rows of either value of the last category that are fitted on, at most, and bytes of each; of longer texts excerpts are taken.
 FIT_ROWS = 2000
 FIT_BYTES = 1 << 15
 FEATURES = 1024
 _SPACE_BITS = 20
 _PREFIXES = (4, 5, 6)
 FOLDS = 3
-
-#: Words that split labelled toxic texts into categories.  Fixed values.
-INSULT = "idiot|moron|clown|loser|stupid"
-CONTEMPT = "worthless|pathetic|disgusting|trash|scum"
+#: Kinds of toxic texts that are told apart before the last category.
+KINDS = ("kind_1", "kind_2", "kind_3")
+CATEGORIES = [*KINDS, "toxic"]
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[0x61:0x7B] = _WORD[0x80:] = True
@@ -92,105 +96,174 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 1
     return w, b
 
 
-def train(parts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, names: list[str], features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """Fit the chain on texts (``data, offsets`` parts) and their categories (a column each, in the chain's order)."""
-    pairs, at = [], 0
-    for data, offsets in parts:
-        keys, rows = word_features(data, offsets)
-        # rows and features of the bounded sample fit into 32 bits
-        pairs.append(np.unique(((rows + at) << _SPACE_BITS | keys).astype(np.uint32)))
-        at += len(offsets) - 1
-    if len(y) > 1 << 32 - _SPACE_BITS:
-        raise ValueError("too many rows to fit on")
-    pairs = np.concatenate(pairs)
-    rows, keys = (pairs >> np.uint32(_SPACE_BITS)).astype(np.int32), (pairs & np.uint32((1 << _SPACE_BITS) - 1)).astype(np.int32)
-    del pairs
-    # the features that tell each category best, by the difference of their shares in units of its spread
-    chosen: list[np.ndarray] = []
-    for k in range(y.shape[1]):
-        on = y[:, k] > 0
-        n1, n0 = max(on.sum(), 1), max((~on).sum(), 1)
-        a = np.bincount(keys[on[rows]], minlength=1 << _SPACE_BITS)
-        b = np.bincount(keys[~on[rows]], minlength=1 << _SPACE_BITS)
+class Sample:
+    """Rows and features of the texts that are fitted on: sorted pairs, each once."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        pairs, self.n = [], 0
+        for data, offsets in parts:
+            keys, rows = word_features(data, offsets)
+            pairs.append(np.unique((rows + self.n) << _SPACE_BITS | keys))
+            self.n += len(offsets) - 1
+        pairs = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+        self.rows, self.keys = pairs >> _SPACE_BITS, pairs & ((1 << _SPACE_BITS) - 1)
+
+    def telling(self, y: np.ndarray, use: np.ndarray, most: int) -> np.ndarray:
+        """Up to ``most`` features that tell the positives among the rows ``use`` best, the most telling first.
+
+        The measure is the difference of shares in units of its spread.  Only
+        features that mark positives count: common words tell a text's
+        length, and what clean texts have in common must not excuse a toxic one.
+        """
+        on, off = (y > 0) & use, (y <= 0) & use
+        n1, n0 = max(on.sum(), 1), max(off.sum(), 1)
+        a = np.bincount(self.keys[on[self.rows]], minlength=1 << _SPACE_BITS)
+        b = np.bincount(self.keys[off[self.rows]], minlength=1 << _SPACE_BITS)
         share = (a + b) / (n1 + n0)
         tell = np.where(a + b >= 3, np.abs(a / n1 - b / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12), 0)
-        # only what is several times as frequent on one side: common words tell a text's length
         tell[np.maximum(a / n1, 0.1 / n1) < 6 * np.maximum(b / n0, 0.1 / n0)] = 0
-        best = np.argsort(-tell, kind="stable")[: max(1, features // y.shape[1])]
-        chosen.append(best[tell[best] > 3])
-    columns = np.unique(np.concatenate(chosen)) if len(np.concatenate(chosen)) else np.zeros(1, np.int64)
+        best = np.argsort(-tell, kind="stable")[:most]
+        return best[tell[best] > 3]
+
+    def matrix(self, columns: np.ndarray) -> np.ndarray:
+        """A row for each text, a column for each of the given features."""
+        slot = slots(columns)
+        x = np.zeros((self.n, len(columns)), np.float32)
+        hit = slot[self.keys] >= 0
+        x[self.rows[hit], slot[self.keys[hit]]] = 1
+        return x
+
+
+def slots(columns: np.ndarray) -> np.ndarray:
+    """The column of each feature, or -1."""
     slot = np.full(1 << _SPACE_BITS, -1, np.int32)
     slot[columns] = np.arange(len(columns))
-    x = np.zeros((len(y), len(columns)), np.float32)
-    hit = slot[keys] >= 0
-    x[rows[hit], slot[keys[hit]]] = 1
+    return slot
+
+
+def chosen_features(sample: Sample, y: np.ndarray, use: np.ndarray, features: int) -> np.ndarray:
+    """Features for all categories, chosen on the rows ``use``; one at least, so that there is a matrix."""
+    found = np.unique(np.concatenate([sample.telling(y[:, k], use, max(1, features // y.shape[1])) for k in range(y.shape[1])]))
+    return found if len(found) else np.zeros(1, np.int64)
+
+
+def kinds(sample: Sample, toxic: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+    """A 0/1 column for each of ``k`` kinds of toxic texts: those nearest to one of ``k`` centres in the telling features.
+
+    Centres begin with the most telling features that seldom stand together
+    and settle as the means of their texts; a text without telling features
+    has no kind.
+    """
+    out = np.zeros((len(toxic), k), np.float32)
+    columns = sample.telling(toxic, np.ones(len(toxic), dtype=bool), 256)
+    if not len(columns):
+        return out
+    x = sample.matrix(columns)
+    x[toxic <= 0] = 0
+    size = np.sqrt((x**2).sum(1, keepdims=True))
+    unit = x / np.maximum(size, 1)
+    together = x.T @ x
+    first: list[int] = []
+    for _ in range(min(k, len(columns))):
+        # how often a feature stands without those that were taken
+        alone = np.diag(together) - (together[first].max(0) if first else 0)
+        first.append(int(np.argmax(alone)))
+    centres = np.eye(len(columns), dtype=np.float32)[first]
+    for _ in range(rounds):
+        near = unit @ centres.T
+        own = np.where(near.max(1) > 0, near.argmax(1), -1)
+        for j in range(len(centres)):
+            if (own == j).any():
+                mean = unit[own == j].mean(0)
+                centres[j] = mean / max(float(np.sqrt((mean**2).sum())), 1e-9)
+    near = unit @ centres.T
+    own = np.where(near.max(1) > 0, near.argmax(1), -1)
+    out[np.flatnonzero(own >= 0), own[own >= 0]] = 1
+    return out
+
+
+def train(sample: Sample, y: np.ndarray, names: list[str], features: int = FEATURES, folds: int = FOLDS) -> Chain:
+    """Fit the chain on texts and their categories (a column each, in the chain's order)."""
+    everything = np.ones(len(y), dtype=bool)
+    columns = chosen_features(sample, y, everything, features)
+    x = sample.matrix(columns)
     fold = np.random.default_rng(17).permutation(len(y)) % folds
-    weights, biases = [], []
+    # what each fold's models see was chosen without the fold
+    inner = [sample.matrix(chosen_features(sample, y, fold != f, features)) for f in range(folds)]
+    weights, biases, earlier = [], [], np.zeros((len(y), 0), np.float32)
     for k in range(y.shape[1]):
-        w, b = logistic(x, y[:, k])
+        w, b = logistic(np.concatenate((x, earlier), axis=1), y[:, k])
         weights.append(w)
         biases.append(b)
         if k + 1 < y.shape[1]:
-            out_of_fold = np.zeros(len(y), np.float32)
+            out_of_fold = np.zeros((len(y), 1), np.float32)
             for f in range(folds):
-                w, b = logistic(x[fold != f], y[fold != f, k])
-                out_of_fold[fold == f] = _sigmoid(x[fold == f] @ w + b)
-            x = np.concatenate((x, out_of_fold[:, None]), axis=1)
-    base = len(columns)
-    chain = Chain(names, slot, weights, biases)
-    assert all(len(w) == base + i for i, w in enumerate(weights))
-    return chain
-
-
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text`` and the categories insult, contempt and toxic of labelled documents."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+                seen = np.concatenate((inner[f], earlier), axis=1)
+                w, b = logistic(seen[fold != f], y[fold != f, k])
+                out_of_fold[fold == f, 0] = _sigmoid(seen[fold == f] @ w + b)
+            earlier = np.concatenate((earlier, out_of_fold), axis=1)
+    return Chain(names, slots(columns), weights, biases)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, categories: list[str] | None = None, mod: int | None = 3, held_out: int = 1) -> DataFrame:
+    """``doc_id, text`` and the labels of a bounded sample of labelled documents, one row an id.
+
+    ``categories`` are 0/1 columns of ``labels``, the last one ``toxic``.
+    ``mod=None`` holds nothing out.
+    """
+    columns = [*(categories or []), "toxic"] if "toxic" not in (categories or []) else categories
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.coalesce(F.max(c), F.lit(0)).cast("int").alias(c) for c in columns])
+    if mod is not None:
+        known = known.where(crc_mod("doc_id", mod) != held_out)
     ids = [bounded_sample(known.where(F.col("toxic") == t), "doc_id", FIT_ROWS, 19 + t) for t in (0, 1)]
-    rows = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= FIT_BYTES)).select("doc_id", "text")
-    rows = rows.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
-    has = lambda words: (F.col("toxic") * F.lower("text").rlike(rf"\b({words})").cast("int")).cast("int")
-    return rows.select("doc_id", "text", has(INSULT).alias("insult"), has(CONTEMPT).alias("contempt"), F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    return one_text(rows.select("doc_id", excerpt("text", FIT_BYTES).alias("text"), *columns), *columns)
+
 
+def fit(sample: DataFrame, categories: list[str] | None = None) -> Chain | None:
+    """Fit on rows with a ``text`` and a 0/1 column for each category; None without rows.
 
-def fit(sample: DataFrame, categories: list[str]) -> Chain | None:
-    """Fit on rows with a ``text`` and a 0/1 column for each category; None without rows."""
-    rows = sample.select("doc_id", "text", *categories).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    Without ``categories`` there is ``toxic`` alone, and kinds of toxic texts come before it.
+    """
+    rows = sample.select("doc_id", "text", *(categories or ["toxic"])).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     if not rows.num_rows:
         return None
-    y = np.stack([np.array(rows.column(c).to_pylist(), np.float32) for c in categories], axis=1)
-    return train([(p.data, p.offsets) for p in text_slices(iter(rows.to_batches()))], y, categories)
+    texts = Sample([(p.data, p.offsets) for p in text_slices(iter(rows.to_batches()))])
+    y = np.stack([np.array(rows.column(c).to_pylist(), np.float32) for c in (categories or ["toxic"])], axis=1)
+    if not categories:
+        y = np.concatenate((kinds(texts, y[:, 0], len(KINDS)), y), axis=1)
+    return train(texts, y, categories or CATEGORIES)
 
 
-def score(docs: DataFrame, chain: Chain | None, categories: list[str]) -> DataFrame:
-    """``doc_id``, a probability for each category, and ``predicted`` (the last one is 0.5 or more).
+def score(docs: DataFrame, chain: Chain | None, categories: list[str] | None = None, mod: int = 3, held_out: int = 1) -> DataFrame:
+    """``doc_id, held_out``, a probability for each category, and ``predicted`` (the last one is 0.5 or more).
 
     Null and empty texts have no features and get the models' bias.  Without
     labels all probabilities are 0.  Repeated rows are scored each; an empty
     table gives no rows; other columns are ignored.
     """
+    names = categories or CATEGORIES
     held = docs.sparkSession.sparkContext.broadcast(chain)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
         for part in text_slices(batches):
-            p = np.zeros((part.n, len(categories))) if c is None else c.predict(part.data, part.offsets)
-            arrays = [part.column("doc_id").cast(pa.int64()), *(pa.array(p[:, i].astype(np.float64)) for i in range(len(categories))), pa.array((p[:, -1] >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *categories, "predicted"])
-
-    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id bigint, {', '.join(f'{c} double' for c in categories)}, predicted int")
-
+            p = np.zeros((part.n, len(names))) if c is None else c.predict(part.data, part.offsets)
+            ids = part.column("doc_id")
+            arrays = [ids.cast(pa.int64()), pa.array(crc_of(ids.to_pylist()) % mod == held_out), *(pa.array(p[:, i].astype(np.float64)) for i in range(len(names))), pa.array((p[:, -1] >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", *names, "predicted"])
 
-CATEGORIES = ["insult", "contempt", "toxic"]
+    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id bigint, held_out boolean, {', '.join(f'{c} double' for c in names)}, predicted int")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on a bounded sample of labelled documents and score all documents."""
-    return score(docs, fit(labelled(docs, labels), CATEGORIES), CATEGORIES)
+def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str] | None = None, mod: int = 3, held_out: int = 1) -> DataFrame:
+    """Fit on a bounded sample of labelled documents outside the held-out class and score all documents."""
+    return score(docs, fit(labelled(docs, labels, categories, mod, held_out), categories), categories, mod, held_out)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose last category stays below ``most``, all columns kept."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, labels), CATEGORIES))
+    """The rows of ``docs`` whose last category stays below ``most``, all columns kept; nothing is held out."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, labels, mod=None)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
