@@ -14,6 +14,10 @@ smallest class of each of its lists; the links found make components.  Only
 classes that may be similar to one of another component are looked at after
 that: an exact prefix and position filter on their full sets gives the pairs
 that are left to verify, so that the final components are those of all links.
+
+No key meets in one task: the centre of a large group is copied to as many
+salts as its pairs need, and a list or shingle with many members is compared
+in blocks.  What is written on the way is deleted as soon as nothing reads it.
 """
 
 from __future__ import annotations
@@ -26,15 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, cut, hash_words, lists, mix, small_or_not, text_slices, word_bounds
+from .shared import LOWER, cut, drop, hash_words, lists, mix, small_or_not, text_slices, word_bounds
 
-SKETCH = 64
+SKETCH = 32
 #: Values that are ordered as frequent ones, at most; all others count as equally rare.
 FREQUENT = 1 << 18
 #: Ranges of hashes that a signature has two bits for.
 BITS = 64
-#: A link at exactly the wanted similarity is missed with this chance at most.
+#: A link at exactly the wanted similarity is missed with this chance at most, at each of three steps (overlap of
+#: retained values, signature, union sketch): of ten billion links at the very threshold thirty may go, of those above it far fewer.
 MISS = 1e-9
+#: Members of a list that one task compares with all of it, and pairs of a class that one task gets, about.
+BLOCK = 4096
+BLOCK_PAIRS = 256
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -122,6 +130,31 @@ def _full_sets(batches: Iterator[pa.RecordBatch], width: int, name: str = "doc_i
         yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists(values.view(np.int64), size)], names=[name, "shingles"])
 
 
+def similar(values_a: np.ndarray, size_a: np.ndarray, values_b: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sets of each row have the wanted Jaccard similarity."""
+    rows = np.concatenate((np.repeat(np.arange(len(size_a)), size_a), np.repeat(np.arange(len(size_b)), size_b)))
+    values = np.concatenate((values_a, values_b))
+    order = np.lexsort((values, rows))
+    values, rows = values[order], rows[order]
+    twice = np.flatnonzero((values[1:] == values[:-1]) & (rows[1:] == rows[:-1]))
+    both = np.bincount(rows[twice], minlength=len(size_a))
+    return both * 100 >= (size_a + size_b - both) * percent
+
+
+def _compare(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``a, b, text_a, text_b`` whose full shingle sets are similar: ``a, b``."""
+    for part in text_slices(batches, "text_b"):
+        set_b = row_sets(part.data, part.offsets, width)
+        at = 0
+        for other in text_slices(iter([part.rows]), "text_a"):
+            values, size = row_sets(other.data, other.offsets, width)
+            own = slice(at, at + other.n)
+            first = int(set_b[1][:at].sum())
+            good = similar(values, size, set_b[0][first : first + int(set_b[1][own].sum())], set_b[1][own], percent)
+            at += other.n
+            yield other.rows.select(["a", "b"]).filter(pa.array(good))
+
+
 def _need(n: Column, k: int, percent: int) -> Column:
     """Retained values that a class of ``n`` shingles shares with any similar one."""
     sure, least = certain_overlap(k, percent), F.ceil(n * F.lit(percent) / F.lit(100))
@@ -129,10 +162,9 @@ def _need(n: Column, k: int, percent: int) -> Column:
     return F.when(n * F.lit(100) < F.lit(k * percent), least).otherwise(F.least(F.lit(sure), least))
 
 
-def inverted_lists(classes: DataFrame, k: int, percent: int, frequent: int) -> DataFrame:
-    """``value, rep, n, bits, bits2``: each class under the rarest of its retained values."""
-    values = classes.select(F.explode("sketch").alias("value")).groupBy("value").count().where("count > 1")
-    values = cut(values)
+def inverted_lists(classes: DataFrame, k: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """``value, rep, n, bits, bits2``: each class under the rarest of its retained values; and ``value, parts`` of long lists."""
+    values = cut(classes.select(F.explode("sketch").alias("value")).groupBy("value").count().where("count > 1"))
     steps = values.groupBy(F.floor(F.log2("count") * 4).alias("step")).count().orderBy(F.desc("step")).collect()
     reach, least = 0, 1 << 62
     for step in steps:
@@ -162,8 +194,8 @@ def inverted_lists(classes: DataFrame, k: int, percent: int, frequent: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(flat[chosen]), *(pa.array(b.column(i).to_numpy()[rows[chosen]]) for i in range(4))], names=["value", "rep", "n", "bits", "bits2"])
 
     index = classes.select("rep", "n", "bits", "bits2", _need(F.col("n"), k, percent).cast("int").alias("need"), "sketch").mapInArrow(rarest, "value bigint, rep bigint, n bigint, bits bigint, bits2 bigint")
-    # a list needs two members
-    return index.join(values.select("value"), "value", "left_semi")
+    # lists that may have more members than one task compares with each other
+    return cut(index), small_or_not(values.where(F.col("count") > BLOCK).select("value", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("parts")), 32)
 
 
 def _may_be_similar(a: str, b: str, percent: int) -> Column:
@@ -175,28 +207,58 @@ def _may_be_similar(a: str, b: str, percent: int) -> Column:
     return sizes & (apart <= F.lit(BITS - certain_overlap(BITS, percent + (100 - percent) // 4)))
 
 
-def _sketch_filter(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose union sketch allows the wanted similarity."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+def _with_sides(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` with what the tables ``a`` and ``b`` hold of either.
+
+    A class ``b`` has few pairs, but one that stands for a list or a large
+    group may be ``a`` in very many: its row is copied to as many salts as
+    there are blocks of its pairs.
+    """
+    busy = small_or_not(pairs.groupBy("a").count().where(F.col("count") > BLOCK_PAIRS).select("a", F.ceil(F.col("count") / F.lit(BLOCK_PAIRS)).cast("int").alias("_salts")), 32)
+    salted = pairs.join(busy, "a", "left").withColumn("_salt", F.pmod(F.xxhash64("b"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copied = a.join(busy, "a", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return salted.join(b, "b").join(copied, ["a", "_salt"]).drop("_salt")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """``node``: every class that stands in a pair, written out."""
+    return small_or_not(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), 64)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, k: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` that the sketch of their union allows and whose full shingle sets have the wanted similarity."""
+    ends = _ends(pairs)
+    asked = classes.join(ends, F.col("rep") == F.col("node"), "left_semi")
+    side = lambda x: asked.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    joined = _with_sides(pairs, side("a"), side("b"))
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
     joined = joined.select("a", "b", union.alias("_union"), F.array_intersect("sketch_a", "sketch_b").alias("_both"))
     shared, seen = F.size(F.array_intersect("_union", "_both")), F.size("_union")
     least = F.when(seen < k, F.ceil(seen * F.lit(percent) / F.lit(100))).otherwise(F.lit(certain_overlap(k, percent)))
-    return joined.where(shared >= least).select("a", "b")
+    likely = cut(joined.where(shared >= least).select("a", "b"))
+    drop(ends)
+    # texts travel to where their pair is checked: compressed, they are smaller than their sets of hashes
+    ends = _ends(likely)
+    # any one text of an id that stands in several rows: their links are found through either
+    texts = docs.select("doc_id", "text").join(ends, F.col("doc_id") == F.col("node"), "left_semi")
+    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    pairs_of = _with_sides(likely, side("a"), side("b")).select("a", "b", "text_a", "text_b")
+    links = cut(pairs_of.mapInArrow(lambda batches: _compare(batches, width, percent), "a bigint, b bigint").distinct())
+    drop(ends, likely)
+    return links
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose full shingle sets have the wanted similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    asked = docs.join(small_or_not(ids, 64), "doc_id", "left_semi")
-    # any one text of an id that stands in several rows: their links are found through either
-    sets = asked.select("doc_id", "text").mapInArrow(lambda b: _full_sets(b, width), "doc_id bigint, shingles array<bigint>")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    inter = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - inter
-    return joined.where(inter * F.lit(100) >= union * F.lit(percent)).select("a", "b").distinct()
+def _blocked(rows: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two sides of a join of ``rows`` with themselves by ``value``: a long list is dealt to parts on one and copied to all of them on the other."""
+    dealt = rows.join(parts, "value", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    one = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    return one.alias("x"), dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+
+
+def _short_and_long(rows: DataFrame, long: DataFrame) -> list[tuple[DataFrame, bool]]:
+    """Rows of short lists, dealt out by their list once for all that follows, and rows of long ones, left where they are."""
+    short = rows.join(long, "value", "left_anti").repartition("value")
+    return [(short, False), (rows.join(long, "value", "left_semi"), True)] if long.take(1) else [(rows.repartition("value"), False)]
 
 
 def _prefix_pairs(left: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -206,21 +268,27 @@ def _prefix_pairs(left: DataFrame, docs: DataFrame, width: int, percent: int) ->
     first; similar sets share one among their first few, and behind the first
     shared one both must have enough left for the overlap that is needed.
     """
-    asked = docs.join(small_or_not(left.select(F.col("rep").alias("doc_id")), 64), "doc_id", "left_semi")
-    sets = asked.select("doc_id", "text").mapInArrow(lambda b: _full_sets(b, width, "rep"), "rep bigint, shingles array<bigint>")
-    rows = cut(sets).select("rep", F.explode("shingles").alias("value"))
-    often = rows.groupBy("value").count().where("count > 1")
-    shared = rows.join(often, "value").join(small_or_not(left, 64), "rep")
+    wanted = small_or_not(left.select(F.col("rep").alias("doc_id")), 64)
+    sets = cut(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lambda b: _full_sets(b, width, "rep"), "rep bigint, shingles array<bigint>"))
+    rows = sets.select("rep", F.explode("shingles").alias("value"))
+    often = cut(rows.groupBy("value").count().where("count > 1"))
+    small = small_or_not(left, 64)
+    shared = rows.join(often, "value").join(small, "rep")
     order = Window.partitionBy("rep").orderBy("count", "value")
     # shingles that no other set has come first; their number follows from those that remain
     alone = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
     placed = shared.withColumn("place", alone + F.row_number().over(order) - 1)
     placed = cut(placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100))).drop("count"))
-    x, y = placed.alias("x"), placed.alias("y")
+    drop(sets, wanted, small)
+    long = small_or_not(often.where(F.col("count") > BLOCK).select("value", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("parts")), 32)
+    drop(often)
+    x, y = _blocked(placed, long)
     most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     enough = most * F.lit(100 + percent) >= (F.col("x.n") + F.col("y.n")) * F.lit(percent)
-    pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & enough & _may_be_similar("x", "y", percent))
-    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & enough & _may_be_similar("x", "y", percent))
+    pairs = cut(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    drop(placed, long)
+    return pairs
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -235,7 +303,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     last = None
     while (now := sign(edges)) != last:
-        last = now
+        last, before = now, edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -243,9 +311,12 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut(small)
+        drop(before)
     found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    roots = found.select(F.col("component").alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
-    return found.union(roots)
+    roots = edges.select(F.col("v").alias("node")).distinct().join(edges.select(F.col("u").alias("node")).distinct(), "node", "left_anti").withColumn("component", F.col("node"))
+    nodes = small_or_not(found.union(roots), 64)
+    drop(edges)
+    return nodes
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH, frequent: int = FREQUENT) -> DataFrame:
@@ -265,34 +336,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     sign = ["n", "sign_a", "sign_b"]
     linked = signed.where("n > 0 and doc_id is not null")
     classes = cut(linked.groupBy(*sign).agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("sketch").alias("sketch")))
-    index = cut(inverted_lists(classes, k, percent, frequent))
-    # the smallest class of a list stands for it; the size of a set decides between its lists
-    low = index.groupBy("value").agg(F.min(F.struct("rep", "n", "bits", "bits2")).alias("low")).select("value", "low.*")
-    x, y = low.alias("x"), index.alias("y")
-    star = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & _may_be_similar("x", "y", percent))
-    star = star.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    tried = cut(star)
-    links = cut(_verify(cut(_sketch_filter(tried, classes, k, percent)), docs, width, percent))
-    found = cut(components(links))
+    # the result needs no sketches
+    narrow, names = cut(signed.select("doc_id", *sign)), cut(classes.select("rep", *sign))
+    drop(signed)
+    index, long = inverted_lists(classes, k, percent, frequent)
+    table, index = index, index.where(" and ".join(f"{c} is not null" for c in index.columns))  # what joins would ask of either side: one shuffle serves both
+    # the smallest class of a list stands for it
+    star = None
+    for rows, is_long in _short_and_long(index, long):
+        low = rows.groupBy("value").agg(F.min(F.struct("rep", "n", "bits", "bits2")).alias("low")).select("value", "low.*")
+        x, y = (small_or_not(low, 64) if is_long else low).alias("x"), rows.alias("y")
+        met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & _may_be_similar("x", "y", percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        star = met if star is None else star.union(met)
+    tried = cut(star.distinct())
+    links = _verified(tried, classes, docs, width, k, percent)
+    found = components(links)
     # sets of one list that the links so far don't connect, though they may be similar
     named = index.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", "bits", "bits2", F.coalesce("component", "rep").alias("component"))
-    mixed = named.groupBy("value").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("value")
-    open_ = cut(named.join(mixed, "value", "left_semi"))
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.value") == F.col("y.value")) & (F.col("x.component") != F.col("y.component"))
-    left = cut(x.join(y, apart & _may_be_similar("x", "y", percent), "left_semi").groupBy("rep").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("component").alias("component")))
-    more = cut(_verify(cut(_prefix_pairs(left, docs, width, percent).join(tried, ["a", "b"], "left_anti")), docs, width, percent))
+    left = None
+    for rows, is_long in _short_and_long(named, long):
+        mixed = rows.groupBy("value").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("value")
+        open_ = rows.join(small_or_not(mixed, 32) if is_long else mixed, "value")
+        x, y = _blocked(open_, long) if is_long else (open_.alias("x"), open_.alias("y"))
+        same = (F.col("x.value") == F.col("y.value")) & ((F.col("x.part") == F.col("y.part")) if is_long else F.lit(True))
+        met = x.join(y, same & (F.col("x.rep") != F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_be_similar("x", "y", percent), "left_semi").select("rep", "n", "bits", "bits2", "component")
+        left = met if left is None else left.union(met)
+    left = cut(left.groupBy("rep").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("component").alias("component")))
+    drop(table, long)
+    final = found
+    if left.take(1):
+        pairs = _prefix_pairs(left, docs, width, percent)
+        more = _verified(pairs.join(tried, ["a", "b"], "left_anti"), classes, docs, width, k, percent)
+        if more.take(1):
+            final = components(links.union(more))
+            drop(found)
+        drop(pairs, more)
+    drop(left, tried, links, classes)
     # classes of one id are one node already: equal ids
-    final = components(links.union(more)) if more.take(1) else found
-    classes = classes.select(*sign, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select(*sign, F.coalesce("component", "rep").alias("_component"))
-    out = signed.select("doc_id", *sign).join(classes, sign, "left")
+    named = names.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*sign, F.coalesce("component", "rep").alias("_component"))
+    out = narrow.join(named, sign, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("_component", "doc_id")).cast("long")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their group; rows without an id stay."""
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(small_or_not(gone, 64), "doc_id", "left_anti")
+    """The rows of ``docs`` that stand for their group.
+
+    Of rows with the id and the text of a kept document one stays, by the
+    order of all columns; rows without an id are copies where their texts are
+    equal, and one of each stays.
+    """
+    gone = small_or_not(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct(), 64)
+    stay = docs.join(gone, "doc_id", "left_anti")
+    # ids are narrow; texts are only moved where an id is missing or stands in several rows
+    again = small_or_not(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), 64)
+    if not again.take(1):
+        return stay
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    first = Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"])
+    few = stay.join(again, same, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    return stay.join(again, same, "left_anti").unionByName(few)
