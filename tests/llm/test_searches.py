@@ -46,12 +46,32 @@ def test_top_k(spark):
 def test_bounds_hold():
     random = np.random.default_rng(1)
     block, queries = random.integers(-300, 300, (500, 16)), random.integers(-300, 300, (20, 16))
-    for q, (near, score) in zip(queries, topk.no_random_access(queries, block, 4), strict=True):
-        exact = block @ q
-        assert (score == exact[near]).all()
-        assert set(np.flatnonzero(exact >= np.sort(exact)[-4])) <= set(near)
+    queries[3] = 0
+    for kind in (np.float64, object):
+        for q, (near, score, read) in zip(queries, topk.no_random_access(queries.astype(kind), topk.Lists(block.astype(kind)), 4), strict=True):
+            exact = block @ q
+            assert (score == exact[near]).all() and 0 < read <= 500
+            assert set(np.flatnonzero(exact >= np.sort(exact)[-4])) <= set(near)
     huge = block.astype(np.int64) << 40
-    assert topk.exact_type(huge, huge) is np.int64
+    assert topk.exact(huge, huge)[0].dtype == object and topk.exact(block, queries)[0].dtype == np.float64
+
+
+def test_stops_early(spark):
+    """Where a few components decide, few entries are read, and short vectors aren't looked at."""
+    random = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in random.normal(size=6) * np.array([1000, 300, 1, 1, 0.5, 0.5]) * (0.001 if i % 3 else 1)], 0, None) for i in range(1500)]
+    table = spark.createDataFrame(rows, VECTORS).repartition(4)
+    whole = np.floor(256 * np.array([np.array(v, np.float32) for _, v, *_ in rows], np.float64)).astype(np.int64)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_inner_products(table, block_rows=400).collect()}
+    for q in range(0, 1500, 50):
+        best = sorted((-int(whole[q] @ whole[i]), i) for i in range(1500) if i != q)[:5]
+        assert [got[q, r + 1] for r in range(5)] == [(i, -s) for s, i in best]
+    shares = [r["share"] for r in topk.shares_read(table, block_rows=400).collect()]
+    assert len(shares) == 30 and np.median(shares) < 0.5 and max(shares) < 0.9
+    # scores beyond 64 bits are an error, not a wrong number
+    wide = spark.createDataFrame([(i, [1e16, 1e16], 0, None) for i in (0, 1)], "vec_id long, embedding array<double>, label int, score string")
+    with pytest.raises(Exception, match="(?i)overflow|too large"):
+        topk.top_inner_products(wide).collect()
 
 
 def test_neighbours(spark):
