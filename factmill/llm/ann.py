@@ -5,33 +5,49 @@ A table has a few hash functions ``floor((a . x + b) / w)`` with normal
 and those one step away, in the order of how likely a neighbour lies there,
 which falls with the summed squared distances to the crossed borders.  All
 candidates in the visited buckets are ranked by their exact distance.
+
+How many hash functions, how wide, and how many probes is tried out on a
+bounded sample: of the settings that find the wanted share of the sample's
+own nearest neighbours, the one that looks at fewest rows.  Neighbours among
+all rows are nearer than those in a sample, so more of them are found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from functools import cache
+from itertools import combinations, product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, cut
+from .shared import bounded_sample, cut, drop, small_or_not
 from .vectors import distinct_vectors, matrix, ranked, usable
 
-TABLES, HASHES, PROBES, WIDTH = 3, 4, 20, 2.0
-#: Rows that the bucket width is fitted on, at most; every row is indexed.
-FIT_ROWS = 5000
-#: Larger buckets are dealt into parts; every query that visits a bucket visits all parts.
-PART_ROWS = 4096
+#: Share of the sample's nearest neighbours that a setting must find.
+RECALL = 0.93
+#: Rows that the settings are tried on, at most, and how many of them ask; every row is indexed.
+FIT_ROWS, FIT_QUERIES = 4000, 200
+TABLES, HASHES, WIDTHS, PROBES = (2, 3), (2, 3, 4, 6, 8), (0.5, 1.0, 2.0, 4.0), (1, 2, 4, 8, 16, 32)
+#: Larger buckets are dealt into parts of about so many rows, and their queries into parts of theirs.
+PART_ROWS, PART_QUERIES = 4096, 1024
+
+
+class Setting(NamedTuple):
+    tables: int
+    hashes: int
+    width: float
+    probes: int
 
 
 class Hashes:
     """The tables' hash functions for vectors of one length; ``scale`` is the spread of a projection."""
 
-    def __init__(self, size: int, scale: float, tables: int, hashes: int, width: float, seed: int = 23):
-        random = np.random.default_rng([seed, size])
+    def __init__(self, size: int, scale: float, setting: Setting, seed: int = 23):
+        random, (tables, hashes, width, _) = np.random.default_rng([seed, size]), setting
         self.tables, self.hashes = tables, hashes
         self.direction = random.normal(size=(size, tables * hashes)) / (scale * width)
         self.shift = random.uniform(0, 1, tables * hashes)
@@ -48,23 +64,62 @@ def bucket_codes(cells: np.ndarray) -> np.ndarray:
     return code
 
 
+@cache
+def _steps(hashes: int) -> np.ndarray:
+    """Moves to buckets one step away in at most four hashes: further ones are never among the likeliest."""
+    moves = [np.zeros((1, hashes), int)]
+    for n in range(1, min(hashes, 4) + 1):
+        for at in combinations(range(hashes), n):
+            signs = np.array(list(product((-1, 1), repeat=n)))
+            part = np.zeros((len(signs), hashes), int)
+            part[:, at] = signs
+            moves.append(part)
+    return np.concatenate(moves)
+
+
 def probe_codes(positions: np.ndarray, probes: int) -> np.ndarray:
     """Codes of the first ``probes`` buckets of each row and table, likeliest first."""
-    steps = np.array(list(product((0, -1, 1), repeat=positions.shape[-1])))
+    steps = _steps(positions.shape[-1])
     cells = np.floor(positions)
     inside = positions - cells
-    cost = np.stack((np.zeros_like(inside), inside**2, (1 - inside) ** 2), axis=-1)
-    total = sum(cost[..., i, :][..., np.where(steps[:, i] < 0, 1, np.where(steps[:, i] > 0, 2, 0))] for i in range(steps.shape[1]))
-    order = np.argsort(total, axis=-1, kind="stable")[..., :probes]
+    down, up = (steps < 0).astype(float), (steps > 0).astype(float)
+    total = inside**2 @ down.T + (1 - inside) ** 2 @ up.T
+    few = np.argpartition(total, min(probes, total.shape[-1]) - 1, axis=-1)[..., :probes]
+    order = np.take_along_axis(few, np.argsort(np.take_along_axis(total, few, -1), axis=-1, kind="stable"), -1)
     return bucket_codes(cells[..., None, :] + steps[order])
 
 
-def _spread(sample: pa.Table) -> dict[int, float]:
-    """Root of the summed variances, for each length of vector."""
-    by_size: dict[int, list] = {}
-    for v in sample.column("v").to_pylist():
-        by_size.setdefault(len(v), []).append(v)
-    return {n: float(np.sqrt(np.var(np.array(v), axis=0).sum())) or 1.0 for n, v in by_size.items()}
+def spread(v: np.ndarray) -> float:
+    """Root of the summed variances."""
+    return float(np.sqrt(np.var(v, axis=0).sum())) or 1.0
+
+
+def tuned(v: np.ndarray, k: int, recall: float = RECALL) -> Setting:
+    """The setting that finds the share ``recall`` of the sample's neighbours and looks at fewest rows."""
+    n, scale = len(v), spread(v)
+    asked = np.unique(np.linspace(0, n - 1, min(n, FIT_QUERIES)).astype(int))
+    apart = ((v**2).sum(1) - 2 * v[asked] @ v.T).astype(np.float64)
+    apart[np.arange(len(asked)), asked] = np.inf
+    near = np.argpartition(apart, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)] if n > 1 else np.zeros((len(asked), 0), int)
+    best, least, fallback, most = None, np.inf, None, -1.0
+    for tables, hashes, width in product(TABLES, HASHES, WIDTHS):
+        setting = Setting(tables, hashes, width, max(PROBES))
+        at = Hashes(v.shape[1], scale, setting).positions(v)
+        own, probed = bucket_codes(np.floor(at)), probe_codes(at[asked], max(PROBES))
+        # the probe that first reaches each row, a table at a time
+        first = np.full((len(asked), n, tables), 10**6)
+        for t in range(tables):
+            for j in range(probed.shape[2] - 1, -1, -1):
+                first[..., t][probed[:, t, j, None] == own[None, :, t]] = j
+        for probes in PROBES:
+            seen = first < probes
+            found = np.take_along_axis(seen.any(-1), near, 1).mean() if near.size else 1.0
+            cost = seen.sum() / (len(asked) * n)
+            if found >= recall and cost < least:
+                best, least = setting._replace(probes=probes), cost
+            if found > most:
+                fallback, most = setting._replace(probes=probes), found
+    return best or fallback
 
 
 def nearest(queries: np.ndarray, block: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -83,7 +138,7 @@ def nearest(queries: np.ndarray, block: np.ndarray, k: int) -> list[tuple[np.nda
     return out
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 10, query_mod: int = 100, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH, part_rows: int = PART_ROWS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 10, query_mod: int = 100, recall: float = RECALL, setting: Setting | None = None, part_rows: int = PART_ROWS, part_queries: int = PART_QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each query, by Euclidean distance.
 
     Queries are the rows whose id is divisible by ``query_mod``, candidates
@@ -96,47 +151,63 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, query_mod: int = 100, ta
     then visits all buckets, so that it gets ``k`` or all candidates.  An
     empty table gives no rows; other columns are ignored.
     """
-    whole = cut(usable(vectors, nonzero=True))
-    spread = _spread(bounded_sample(whole, "vec_id", FIT_ROWS, 31).toArrow())
-    make = lambda size: Hashes(size, spread.get(size, 1.0), tables, hashes, width)
+    whole = cut(usable(vectors, nonzero=True, narrow=True).withColumn("size", F.size("v")))
+    samples: dict[int, list] = {}
+    for row in bounded_sample(whole, "vec_id", FIT_ROWS, 31).toArrow().column("v").to_pylist():
+        samples.setdefault(len(row), []).append(row)
+    fitted = {n: (spread(np.array(v)), setting or tuned(np.array(v), k, recall)) for n, v in samples.items()}
+    usual = setting or max(fitted.values(), default=(1.0, Setting(2, 4, 2.0, 8)), key=lambda x: x[1].probes)[1]
+    make = lambda size: (Hashes(size, *fitted.get(size, (1.0, usual))), fitted.get(size, (1.0, usual))[1])
     queries = whole.where(F.col("vec_id") % query_mod == 0)
-    candidates = cut(distinct_vectors(whole, k + 1).withColumn("size", F.size("v")))
+    candidates = cut(distinct_vectors(whole.select("vec_id", "v"), k + 1).withColumn("size", F.size("v")))
+    kind = whole.schema["v"].dataType.simpleString()
 
     def hash_rows(batches: Iterator[pa.RecordBatch], probing: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(batch.schema.get_field_index("size")).to_numpy()
             for size in np.unique(sizes):
                 rows = batch.filter(pa.array(sizes == size))
-                at = make(int(size)).positions(matrix(rows.column(rows.schema.get_field_index("v"))))
-                codes = probe_codes(at, probes) if probing else bucket_codes(np.floor(at))[..., None]
+                hashes, own = make(int(size))
+                at = hashes.positions(matrix(rows.column(rows.schema.get_field_index("v"))))
+                codes = probe_codes(at, own.probes) if probing else bucket_codes(np.floor(at))[..., None]
                 n, count = len(rows), codes.shape[1] * codes.shape[2]
-                repeated = rows.take(pa.array(np.repeat(np.arange(n), count)))
-                table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), codes.shape[2]), n)
-                names = [*repeated.schema.names, "table", "bucket"]
-                yield pa.RecordBatch.from_arrays([*repeated.columns, pa.array(table), pa.array(codes.reshape(-1))], names=names)
-
-    left = candidates.mapInArrow(lambda b: hash_rows(b, False), "v array<double>, ids array<bigint>, size int, table int, bucket bigint")
-    right = queries.withColumn("size", F.size("v")).mapInArrow(lambda b: hash_rows(b, True), "vec_id bigint, v array<double>, size int, table int, bucket bigint")
+                table = np.tile(np.repeat(np.arange(own.tables, dtype=np.int32), codes.shape[2]), n)
+                for low in range(0, n, 1024):
+                    repeated = rows.slice(low, 1024).take(pa.array(np.repeat(np.arange(min(1024, n - low)), count)))
+                    part = slice(low * count, (low + len(repeated) // count) * count)
+                    yield pa.RecordBatch.from_arrays([*repeated.columns, pa.array(table[part]), pa.array(codes.reshape(-1)[part])], names=[*repeated.schema.names, "table", "bucket"])
+
+    left = candidates.mapInArrow(lambda b: hash_rows(b, False), f"v {kind}, ids array<bigint>, size int, table int, bucket bigint")
+    right = queries.mapInArrow(lambda b: hash_rows(b, True), f"vec_id bigint, v {kind}, size int, table int, bucket bigint")
+    left, right = cut(left), cut(right)
     cell = ["size", "table", "bucket"]
-    left = cut(left)
-    parts = left.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("parts"))
-    left = left.join(parts, cell).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
-    right = right.join(parts, cell).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    key = [*cell, "part"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: _search(a, b, k), "query_id bigint, vec_id bigint, score double")
+    # of all buckets only those count that are too large for one task, for their rows or for their queries: few enough to look up anywhere
+    large = lambda rows, most, name: small_or_not(rows.groupBy(*cell).count().where(F.col("count") > most).select(*cell, F.ceil(F.col("count") / F.lit(most)).cast("int").alias(name)), 64)
+    parts, turns = large(left, part_rows, "parts"), large(right, part_queries, "turns")
+
+    def dealt(rows: DataFrame, name: str, mine: str, other: str) -> DataFrame:
+        split = rows.join(parts, cell, "left").join(turns, cell, "left").na.fill(1, ["parts", "turns"])
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))
+        return split.withColumn(mine, F.pmod(F.xxhash64(name), F.col(f"{mine}s")).cast("int")).withColumn(other, every).drop("parts", "turns")
+
+    key = [*cell, "part", "turn"]
+    mine, asked = dealt(left, "v", "part", "turn"), dealt(right, "vec_id", "turn", "part")
+    found = mine.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(lambda a, b: _search(a, b, k), "query_id bigint, vec_id bigint, score double")
     found = cut(ranked(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k, [F.asc("score")]))
+    drop(left, right)
     # what the visited buckets couldn't fill: these queries see all candidates, in blocks
     got = found.groupBy("query_id").count()
     everyone = candidates.groupBy("size").agg(F.sum(F.size("ids")).alias("_rows"))
-    sized = queries.withColumn("size", F.size("v"))
-    short = sized.join(got, F.col("vec_id") == F.col("query_id"), "left").join(everyone, "size")
+    short = queries.join(got, F.col("vec_id") == F.col("query_id"), "left").join(everyone, "size")
     short = cut(short.where(F.coalesce("count", F.lit(0)) < F.least(F.lit(k), F.col("_rows") - 1)).select("vec_id", "v", "size"))
-    if not short.take(1):
+    if not (n := short.count()):
         return found
-    blocks = max(1, -(-candidates.count() // part_rows))
-    spread_out = candidates.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
-    asked = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    more = spread_out.groupBy("size", "part").cogroup(asked.groupBy("size", "part")).applyInArrow(lambda a, b: _search(a, b, k), "query_id bigint, vec_id bigint, score double")
+    blocks, turn = max(1, -(-candidates.count() // part_rows)), max(1, -(-n // part_queries))
+    of = lambda rows, by, count: rows.withColumn("part" if by == "v" else "turn", F.pmod(F.xxhash64(by), F.lit(count)).cast("int"))
+    to = lambda rows, name, count: rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    key = ["size", "part", "turn"]
+    mine, asked = to(of(candidates, "v", blocks), "turn", turn), to(of(short, "vec_id", turn), "part", blocks)
+    more = mine.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(lambda a, b: _search(a, b, k), "query_id bigint, vec_id bigint, score double")
     more = ranked(more, k, [F.asc("score")])
     return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(more)
 

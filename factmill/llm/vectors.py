@@ -13,19 +13,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", nonzero: bool = False) -> DataFrame:
+def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", nonzero: bool = False, narrow: bool = False) -> DataFrame:
     """``vec_id, v``: vectors that aren't null and hold finite components only, one row per id.
 
     Of several rows with one id, the smallest vector counts; rows without an
-    id take no part.
+    id take no part.  ``v`` holds doubles, or with ``narrow`` single-precision
+    numbers where the table has no others, which is half as much to shuffle.
     """
     v = F.col(vector_column).cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     if nonzero:
         good = good & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & (F.size(vector_column) > 0)).where(good)
+    kind = "array<float>" if narrow and vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "array<double>"
     # 0.0 and -0.0 are one component
-    return rows.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).cast(kind).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:

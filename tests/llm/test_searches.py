@@ -1,5 +1,8 @@
 """Vector searches and packing against brute force."""
 
+import itertools
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +11,7 @@ from factmill.llm import ann, packing, topk
 
 from .helpers import documents, empty
 
+DATA = os.environ.get("FACTMILL_DATA", "/root/testdata")
 VECTORS = "vec_id long, embedding array<float>, label int, score string"
 
 
@@ -93,11 +97,42 @@ def test_neighbours(spark):
         for score, i in found:
             assert score == pytest.approx(float(np.sqrt(((good[q] - good[i]) ** 2).sum())))
     # with few probes some queries must see all candidates
-    few = ann.nearest_neighbours(table, tables=1, probes=1, width=0.2)
+    few = ann.nearest_neighbours(table, setting=ann.Setting(1, 4, 0.2, 1))
     assert few.groupBy("query_id").count().where("count < 10").count() == 0
     assert ann.nearest_neighbours(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_recall_on_the_shipped_table(spark):
+    """64 dimensions, near-uniform: recall, and that blocks of rows and of queries change nothing."""
+    table = spark.read.parquet(f"{DATA}/sf0.01/embeddings.parquet")
+    good = usable([(r["vec_id"], r["embedding"]) for r in table.collect()], nonzero=True)
+    ids, v = np.array(list(good)), np.array(list(good.values()))
+    got = {}
+    rows = ann.nearest_neighbours(table).collect()
+    for r in rows:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for q in (i for i in good if i % 100 == 0):
+        order = np.lexsort((ids, ((v - good[q]) ** 2).sum(1)))
+        near = [int(i) for i in ids[order] if i != q][:10]
+        hits, total = hits + len(got[q] & set(near)), total + len(near)
+    assert hits / total >= 0.9
+    again = ann.nearest_neighbours(table, part_rows=40, part_queries=2).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+
+
+def test_probes_in_order():
+    """The likeliest buckets come first: against all steps of one, ranked one by one."""
+    random = np.random.default_rng(7)
+    for hashes in (2, 3):
+        at = random.uniform(-3, 3, (20, 2, hashes))
+        for row, codes in zip(at, ann.probe_codes(at, 6), strict=True):
+            for position, found in zip(row, codes, strict=True):
+                cell = np.floor(position)
+                ranked = sorted((sum((p - c) ** 2 if s < 0 else (1 - p + c) ** 2 if s else 0 for s, p, c in zip(step, position, cell, strict=True)), step) for step in itertools.product((-1, 0, 1), repeat=hashes))
+                assert list(found) == [ann.bucket_codes(cell + np.array(step)) for _, step in ranked[:6]]
+
+
 def brute_fit(pieces, capacity):
     bins, out = [], []
     for size, source, cluster in pieces:
