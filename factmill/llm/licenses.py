@@ -34,7 +34,13 @@ NOTICES = (
     ("cc-by", "creative commons attribution", 2),
     ("cc-by-nc", "licensed under cc by nc 4 0", 2),
     ("unlicense", "free and unencumbered software released into the public domain", 4),
+    # the phrases themselves, misspelt
+    ("mit", "mit license", 1),
+    ("apache", "apache license", 2),
+    ("gpl", "general public license", 2),
 )
+#: What must stand unchanged at a notice's beginning, where any change would make it another one: a bit, kit or exit license isn't MIT's.
+UNCHANGED = {"mit license": "mit "}
 
 #: True for the bytes of words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` once A-Z are lower case.
 WORD_BYTES = np.zeros(256, dtype=bool)
@@ -47,7 +53,9 @@ _SPAN = pa.struct([("label", pa.string()), ("notice", pa.string()), ("first_word
 
 
 def seeds_of(notice: str, edits: int) -> list[tuple[int, str]]:
-    """The notice cut into ``edits + 1`` parts of near-equal length, with their places."""
+    """The notice cut into ``edits + 1`` parts of near-equal length, with their places; or the part that must not change."""
+    if head := UNCHANGED.get(notice):
+        return [(0, head)]
     parts, size = edits + 1, len(notice)
     bounds = [size * i // parts for i in range(parts + 1)]
     return [(a, notice[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -57,8 +65,11 @@ def seeds_of(notice: str, edits: int) -> list[tuple[int, str]]:
 def _matchers(notices: tuple) -> list:
     found = []
     for label, notice, edits in notices:
-        body = regex.escape(notice.encode(), special_only=True, literal_spaces=True)
-        found.append((label, notice, edits, regex.compile(rb"(?b)(?:" + body + rb"){e<=" + str(edits).encode() + rb"}"), [(at, part.encode()) for at, part in seeds_of(notice, edits)]))
+        head = UNCHANGED.get(notice, "")
+        head, body = (regex.escape(x.encode(), special_only=True, literal_spaces=True) for x in (head, notice[len(head) :]))
+        # up to a word's end; where it begins is tried at word beginnings
+        pattern = rb"(?b)" + head + rb"(?:" + body + rb"){e<=" + str(edits).encode() + rb"}(?= )"
+        found.append((label, notice, edits, regex.compile(pattern), [(at, part.encode()) for at, part in seeds_of(notice, edits)]))
     return found
 
 
@@ -104,8 +115,11 @@ def scan_batch(text: bytes, bounds: np.ndarray, phrases: dict[str, str], notices
             row = int(np.searchsorted(bounds, max(start, 0), side="right")) - 1
             seen = {row, int(np.searchsorted(bounds, min(start + len(notice), len(text) - 1), side="right")) - 1}
             for r in sorted(seen):
-                low, high = max(int(bounds[r]), start - edits), min(int(bounds[r + 1]) - 1, start + len(notice) + edits)
-                if high > low and (m := matcher.search(text, low, high)):
+                low, high = max(int(bounds[r]), start - edits), min(int(bounds[r + 1]) - 1, start + len(notice) + edits + 1)
+                words = [at for at in range(low, min(high, start + edits + 1)) if at == bounds[r] or text[at - 1] == _SPACE]
+                tried = [m for at in words if (m := matcher.match(text, at, high))]
+                if tried:
+                    m = min(tried, key=lambda m: (sum(m.fuzzy_counts), m.start()))
                     spans.append((r, m.start(), m.end(), sum(m.fuzzy_counts), label, notice))
                     done = max(done, m.end())
     return base, sorted(set(spans))

@@ -10,14 +10,14 @@ these few, then running sums inside each range.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, small_or_not
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Rows of one key range, about; a parameter of ``mix_sources``.
-RANGE_ROWS = 4096
 _KEY_SPACE = float(1 << 60)
 
 
@@ -40,7 +40,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
     source's size and the excess is shared again by weight.  The fixed point
     is found at once: sources fill up in the order of limit over weight, so
     running sums in that order tell which are full when it settles.
-    One row per source is all that this window sees.
+    One row per source is all that this window sees, in one task: sources are
+    names of collections, of which there may be millions, not one per document.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -58,7 +59,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
     return settled.select("source", "source_size", "weight", F.when(F.col("_full"), F.col("_limit")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most_epochs: float = 2.0, seed: int = 20250824, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most_epochs: float = 2.0, seed: int = 20250824, range_rows: int | None = None) -> DataFrame:
     """How many words of each document the mixture takes.
 
     Returns ``id, source, size, source_size, target, taken``: ``taken`` counts
@@ -70,8 +71,10 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows of their own; rows with equal keys are ordered by id and size.  An
     empty table gives no rows.  Other columns are not looked at.
     """
+    # ``range_rows``: rows of one key range, about; as many as there are ranges, if they are many
     narrow = cut(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), count_words(text_column).alias("size"), random_key(id_column, seed).alias("_key")))
-    ranges = max(1, -(-narrow.count() // range_rows))
+    n = narrow.count()
+    ranges = max(1, -(-n // (range_rows or max(512, isqrt(n)))))
     # a source as a non-null key
     narrow = narrow.withColumn("_source", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source")))
     narrow = narrow.withColumn("_range", F.floor(F.col("_key") / F.lit(_KEY_SPACE) * F.lit(ranges)).cast("int"))

@@ -55,19 +55,24 @@ def best_fit(pieces: Iterable[tuple[int, int, int]], capacity: int, one_per_sour
     return out
 
 
-def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, one_per_source: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, one_per_source: bool = True, cluster_column: str | None = None) -> DataFrame:
     """One row per piece: ``doc_id, copy, piece, first_word, n_words, source, bin_id, bin_words``.
 
     A bin holds at most ``capacity`` words, at most one piece of each source
-    (if ``one_per_source``) and of each duplicate cluster (documents with the
-    same text).  ``copy`` numbers the repeated rows of a document from 0.
+    (if ``one_per_source``) and of each duplicate cluster: documents with the
+    same text, or with the same value of ``cluster_column``, such as the
+    components of near-duplicates; a null one is a cluster by its text.
+    ``copy`` numbers the repeated rows of a document from 0.
 
     Documents without words (null or empty text) come back with a null
     ``bin_id``.  A null source conflicts with no other.  Ties between pieces
     go to the smaller id, piece and copy.  An empty table gives no rows;
     other columns are ignored.
     """
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).cast("string").alias("source"), count_words(text_column).alias("size"), F.xxhash64(text_column).alias("cluster"))
+    cluster = F.xxhash64(text_column)
+    if cluster_column:
+        cluster = F.when(F.col(cluster_column).isNull(), cluster).otherwise(F.xxhash64(F.lit("cluster"), F.col(cluster_column)))
+    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).cast("string").alias("source"), count_words(text_column).alias("size"), cluster.alias("cluster"))
     # repeated rows are numbered from their count, so that none of them needs to meet another
     narrow = cut(narrow.groupBy("doc_id", "source", "size", "cluster").count())
     narrow = narrow.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("count") - 1).cast("int")))).drop("count")

@@ -15,7 +15,7 @@ from .helpers import documents, empty, prose
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-TEXTS = ["MIT License", "the MIT\nLicense, mit license. Apache-License 2", "amit license", "mit licenses", "GNU General Public License v3; general public  license", "mit", "license", "Relaesed under the MIT Licence.", "Licensed under teh Apache Licence, Version 2.0!", "Licensed under CC BY-NC 4.0.", "Licensd under CC BY-NC 4.0", "x " * 500 + "Permission is hereby granted, free of charge, to any person obtaining a copy" + " y" * 500]
+TEXTS = ["MIT License", "the MIT\nLicense, mit license. Apache-License 2", "amit license", "mit licenses", "GNU General Public License v3; general public  license", "mit", "license", "Relaesed under the MIT Licence.", "Licensed under teh Apache Licence, Version 2.0!", "Licensed under CC BY-NC 4.0.", "Licensd under CC BY-NC 4.0", "the general public licence", "an MIT licence", "a bit license, permit license", "x " * 500 + "Permission is hereby granted, free of charge, to any person obtaining a copy" + " y" * 500]
 
 
 def test_licenses(spark):
@@ -36,10 +36,34 @@ def test_licenses(spark):
             shown = " ".join(words[s["first_word"] : s["last_word"] + 1])
             assert edits(shown, s["notice"]) <= s["edits"] + 6
     labels = {g["doc_id"]: g["labels"] for g in got}
-    assert labels[507] == "mit" and labels[508] == "apache" and labels[509] == labels[510] == "cc-by-nc" and labels[511] == "mit"
+    assert labels[507] == "mit" and labels[508] == "apache" and labels[509] == labels[510] == "cc-by-nc" and labels[511] == "gpl" and labels[512] == "mit" and labels[513] == "" and labels[514] == "mit"
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def fuzzy(words, notice, most):
+    """Whether some run of whole words is within ``most`` edits of the notice, tried one by one."""
+    n = len(notice.split())
+    head = licenses.UNCHANGED.get(notice, "")
+    runs = (" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(len(words), i + n + most + 1) + 1))
+    return any(abs(len(x) - len(notice)) <= most and x.startswith(head) and edits(x[len(head) :], notice[len(head) :]) <= most for x in runs)
+
+
+def test_labels_against_unseeded_search(spark):
+    """Misspelt notices among other words: the labels are those of a search that tries every place."""
+    r, texts = Random(11), []
+    for i in range(150):
+        label, notice, most = licenses.NOTICES[i % len(licenses.NOTICES)]
+        for _ in range(r.randint(0, most + 2)):
+            at = r.randrange(len(notice))
+            notice = r.choice([notice[:at] + notice[at + 1 :], notice[:at] + r.choice("aeq ") + notice[at:], notice[:at] + "x" + notice[at + 1 :]])
+        texts.append(f"{prose(r, 'en', r.randint(0, 8))} {notice} {prose(r, 'en', r.randint(0, 8))}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for g in licenses.scan_licenses(docs).collect():
+        words = WORDS.findall(texts[g["doc_id"]].translate(LOWER))
+        want = {label for label, notice, most in licenses.NOTICES if fuzzy(words, notice, most)}
+        assert g["labels"] == ",".join(sorted(want | set(filter(None, g["base_labels"].split(","))))), texts[g["doc_id"]]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
