@@ -91,9 +91,9 @@ s AS (
 c AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
 u AS (SELECT rep, n, unnest(s) AS shingle FROM c),
 p AS (
-  SELECT a.rep AS a, b.rep AS b, a.n AS n_a, b.n AS n_b, count(*) AS both FROM u a JOIN u b USING (shingle)
+  SELECT a.rep AS a, b.rep AS b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM u a JOIN u b USING (shingle)
   WHERE a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
-l AS (SELECT a, b FROM p WHERE 100 * both >= 80 * (n_a + n_b - both)),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 80 * (n_a + n_b - shared)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT rep AS node, rep AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
 m AS (SELECT node, min(root) AS component FROM r GROUP BY node)
