@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.evaluate import let
 from .numbers import strip
 
 #: Hue bands in degrees, and words that stand for each other.  Fixed values.
@@ -32,46 +31,60 @@ _HEX = r"^#?([0-9a-fA-F]{6})$"
 
 def hue_saturation_lightness(colour: Column) -> Column:
     """Hue in degrees, saturation and lightness of six hexadecimal digits, else null."""
-    digits = F.regexp_extract(strip(colour), _HEX, 1)
-    r, g, b = (F.conv(F.substring(digits, i, 2), 16, 10).cast("double") / 255 for i in (1, 3, 5))
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
-    spread, light = high - low, (high + low) / 2
-    saturation = F.when(spread == 0, 0.0).when(light <= 0.5, F.try_divide(spread, high + low)).otherwise(F.try_divide(spread, 2 - high - low))
-    rc, gc, bc = (F.try_divide(high - x, spread) for x in (r, g, b))
-    turn = F.when(r == high, bc - gc).when(g == high, 2 + rc - bc).otherwise(4 + gc - rc) / 6
-    hue = F.when(spread == 0, 0.0).otherwise(turn - F.floor(turn)) * 360
-    return F.when(digits != "", F.struct(hue.alias("hue"), saturation.alias("saturation"), light.alias("lightness")))
+    def parts(c: Column) -> Column:
+        high, low = F.array_max(c), F.array_min(c)
+        return F.struct(c.alias("c"), high.alias("high"), (high - low).alias("spread"), ((high + low) / 2).alias("light"))
+
+    def found(x: Column) -> Column:
+        high, spread, light = x["high"], x["spread"], x["light"]
+        away = [F.try_divide(high - F.get(x["c"], i), spread) for i in range(3)]
+        saturation = F.when(spread == 0, 0.0).otherwise(F.try_divide(spread, F.when(light <= 0.5, 2 * light).otherwise(2 - 2 * light)))
+        turn = F.when(F.get(x["c"], 0) == high, away[2] - away[1]).when(F.get(x["c"], 1) == high, 2 + away[0] - away[2]).otherwise(4 + away[1] - away[0]) / 6
+        hue = F.when(spread == 0, 0.0).otherwise(turn - F.floor(turn)) * 360
+        return F.struct(hue.alias("hue"), saturation.alias("saturation"), light.alias("lightness"))
+
+    byte = lambda digits, i: F.conv(F.substring(digits, i, 2), 16, 10).cast("double") / 255
+    return let(F.regexp_extract(strip(colour), _HEX, 1), lambda d: F.when(d != "", let(let(F.array(byte(d, 1), byte(d, 3), byte(d, 5)), parts), found)))
 
 
 def _words(*words: str | Column) -> Column:
     return F.array(*[F.lit(w) if isinstance(w, str) else w for w in words])
 
 
-def names_for(colour: Column) -> Column:
-    """The distinct words that may be said of a colour, sorted."""
-    plain = F.lower(strip(colour))
-    parts = F.split(plain, r"(?U)\s+")
-    synonyms = reduce(lambda rest, item: F.when(plain == item[0], _words(*item[1])).otherwise(rest), SYNONYMS.items(), F.array().cast("array<string>"))
-    shade = F.when((F.size(parts) == 2) & F.get(parts, 0).isin("dark", "light", "deep", "pale"), F.array(F.get(parts, 1))).otherwise(F.array().cast("array<string>"))
-    worded = F.array_distinct(F.concat(F.array(plain), synonyms, shade))
-    hsl = hue_saturation_lightness(colour)
-    hue, sat, light = hsl["hue"], hsl["saturation"], hsl["lightness"]
-    base = reduce(lambda rest, band: F.when((hue >= band[0]) & (hue < band[1]), F.lit(band[2])).otherwise(rest), reversed(HUES), F.lit("blue"))
+def _of_shade(hsl: Column, base: Column) -> Column:
+    """Words of a colour by its lightness and saturation; ``base`` is its hue's."""
+    sat, light = hsl["saturation"], hsl["lightness"]
     if_base = lambda name, word: F.when(base == name, F.lit(word))
     dim = F.when(sat > 0.12, base).otherwise(F.lit("grey"))
-    very_dark = _words("black", "dark", F.concat(F.lit("dark "), dim), dim, F.when(dim == "blue", F.lit("navy")))
     greyish = F.concat(_words("grey", "gray", "silver"), F.when(light < 0.4, _words("dark grey", "dark gray")).otherwise(_words("light grey", "light gray")))
-    dark = _words(base, F.concat(F.lit("dark "), base), if_base("blue", "navy"), if_base("red", "maroon"))
-    bright = _words(base, F.concat(F.lit("light "), base), if_base("blue", "sky blue"))
-    found = (
-        F.when(light <= 0.10, _words("black", "dark")).when(light <= 0.22, very_dark).when(light >= 0.92, _words("white", "light"))
-        .when(sat <= 0.12, greyish).when(light < 0.38, dark).when(light > 0.62, bright).otherwise(_words(base))
-    )
-    by_kind = F.when(hsl.isNotNull(), found).when(plain != "", worded).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.array_compact(by_kind)))
+    return (
+        F.when(light <= 0.10, _words("black", "dark"))
+        .when(light <= 0.22, let(dim, lambda d: _words("black", "dark", F.concat(F.lit("dark "), d), d, F.when(d == "blue", F.lit("navy")))))
+        .when(light >= 0.92, _words("white", "light"))
+        .when(sat <= 0.12, greyish)
+        .when(light < 0.38, _words(base, F.concat(F.lit("dark "), base), if_base("blue", "navy"), if_base("red", "maroon")))
+        .when(light > 0.62, _words(base, F.concat(F.lit("light "), base), if_base("blue", "sky blue")))
+        .otherwise(_words(base))
+    )
+
+
+def names_for(colour: Column) -> Column:
+    """The distinct words that may be said of a colour, sorted."""
+    def worded(plain: Column) -> Column:
+        known = F.create_map(*[x for word, others in SYNONYMS.items() for x in (F.lit(word), _words(*others))])
+        shade = let(F.split(plain, r"(?U)\s+"), lambda p: F.when((F.size(p) == 2) & F.get(p, 0).isin("dark", "light", "deep", "pale"), F.get(p, 1)))
+        return F.when(plain != "", F.concat(F.array(plain), F.coalesce(F.try_element_at(known, plain), F.array().cast("array<string>")), F.array(shade)))
+
+    def hued(hsl: Column) -> Column:
+        bands = F.array(*[F.struct(F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"), F.lit(name).alias("name")) for low, high, name in HUES])
+        base = F.get(F.filter(bands, lambda b: (hsl["hue"] >= b["low"]) & (hsl["hue"] < b["high"])), 0)["name"]
+        return F.when(hsl.isNotNull(), let(F.coalesce(base, F.lit("blue")), lambda b: _of_shade(hsl, b)))
+
+    found = F.coalesce(let(hue_saturation_lightness(colour), hued), let(F.lower(strip(colour)), worded), F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.array_compact(found)))
 
 
 def describe_colour(colour: Column) -> Column:
     """The word that says most: more words, then more letters, then the alphabet."""
-    ranked = F.transform(names_for(colour), lambda n: F.struct((-F.size(F.split(n, " "))).alias("words"), (-F.length(n)).alias("letters"), n.alias("name")))
-    return F.coalesce(F.array_min(ranked)["name"], F.lit(""))
+    ranked = lambda names: F.transform(names, lambda n: F.struct((-F.size(F.split(n, " "))).alias("words"), (-F.length(n)).alias("letters"), n.alias("name")))
+    return F.coalesce(let(names_for(colour), lambda names: F.array_min(ranked(names)))["name"], F.lit(""))

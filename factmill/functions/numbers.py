@@ -69,6 +69,12 @@ def relaxed_correctness(target: Column, prediction: Column, tolerance: float = 0
     return F.coalesce(F.when(t.isNotNull() & (t != 0) & p.isNotNull(), close).otherwise(_same_text(target, prediction)), F.lit(False))
 
 
+def relaxed_close(target: Column, prediction: Column, tolerance: float = 0.05) -> Column:
+    """P50 for numbers that are numbers already: within 5 % of a target that isn't zero, or equal to it."""
+    close = F.abs(prediction - target) / F.abs(F.nullif(target, F.lit(0.0))) <= F.lit(tolerance)
+    return F.coalesce(F.when(target == 0, prediction == 0).otherwise(close), F.lit(False))
+
+
 def answers_agree(a: Column, b: Column, tolerance: float = 0.05) -> Column:
     """The symmetric test; two zeros agree, texts that aren't numbers are compared as texts."""
     x, y = parse_numeric(a), parse_numeric(b)

@@ -1,8 +1,8 @@
 """Plans that differ from row to row: JSON, read as VARIANT and evaluated in place.
 
-A plan is at most four operators deep, so its recursion is written out: each
-level is one ``transform`` over the operands of the level above.  No row
-leaves its place, and no shuffle is needed.
+A plan is at most four operators deep; its nodes are listed level by level and
+folded from the deepest one up.  No row leaves its place, and no shuffle is
+needed.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import specs
-from .evaluate import apply, fact_value, let, value
+from .evaluate import VALUE, apply, fact_value, let, value
 from .specs import SPECS
 
 
@@ -64,22 +64,48 @@ def evaluate(plan: Column, facts: Column, depth: int = specs.MAX_DEPTH, by_label
     return let(F.struct(plan.alias("plan"), facts.alias("facts")), lambda s: evaluate_in_place(s["plan"], s["facts"], depth, by_label))
 
 
-def evaluate_in_place(plan: Column, facts: Column, depth: int, by_label: bool = False) -> Column:
-    """The same where plan and facts are cheap to name often."""
+def placed_nodes(plan: Column, depth: int = specs.MAX_DEPTH) -> Column:
+    """All operator nodes with their paths (``""``, ``.0``, ``.0.1`` …), the deepest level first."""
+    none = F.array().cast("array<variant>")
+    path = lambda above, i: F.concat(above, F.lit("."), i.cast("string"))
+    below = lambda n: F.transform(F.coalesce(operands(n["node"]), none), lambda a, i: F.struct(path(n["path"], i).alias("path"), a.alias("node")))
+    is_operator = lambda n: get(n["node"], "op").isNotNull()
+    found = level = F.filter(F.array(F.struct(F.lit("").alias("path"), plan.alias("node"))), is_operator)
+    for _ in range(depth - 1):
+        level = F.filter(F.flatten(F.transform(level, below)), is_operator)
+        found = F.concat(level, found)
+    return found
 
-    def operand(node: Column, left: int) -> Column:
-        nested = evaluate_in_place(node, facts, left, by_label) if left else value(err="too deep")
-        found = F.when(is_ref(node), fact_of(get(node, "ref"), facts))
-        if by_label:
-            found = found.when(kind(node) == "STRING", fact_named(node.try_cast("string"), facts))
-        return found.otherwise(nested)
 
+def evaluate_in_place(plan: Column, facts: Column, depth: int, by_label: bool = False) -> Column:
+    """The same where plan and facts are cheap to name often.
+
+    Nodes are folded from the deepest level up; each finds its operands'
+    values by their paths.  An operator's expression stands once in the
+    plan, however deep plans are.
+    """
     none = F.array().cast("array<variant>")
-    args = F.transform(F.coalesce(operands(plan), none), lambda a: operand(a, depth - 1))
-    if by_label:
-        implicit = get(plan, "op").isin(*specs.FOLDS) & (F.size(operands(plan)) == 0)
-        args = F.when(implicit, F.transform(facts, fact_value)).otherwise(args)
-    return apply(get(plan, "op"), args, get(plan, "position", "int"), get(plan, "order"), get(plan, "compare"), get(plan, "threshold", "double"))
+
+    def step(known: Column, n: Column) -> Column:
+        node, path = n["node"], n["path"]
+
+        def operand(a: Column, i: Column) -> Column:
+            nested = F.get(F.filter(known, lambda k: k["path"] == F.concat(path, F.lit("."), i.cast("string"))), 0)["value"]
+            found = F.when(is_ref(a), fact_of(get(a, "ref"), facts))
+            if by_label:
+                found = found.when(kind(a) == "STRING", fact_named(a.try_cast("string"), facts))
+            return found.otherwise(F.coalesce(nested, value(err="not an operation, or too deep")))
+
+        args = F.transform(F.coalesce(operands(node), none), operand)
+        if by_label:
+            implicit = get(node, "op").isin(*specs.FOLDS) & (F.size(operands(node)) == 0)
+            args = F.when(implicit, F.transform(facts, fact_value)).otherwise(args)
+        result = apply(get(node, "op"), args, get(node, "position", "int"), get(node, "order"), get(node, "compare"), get(node, "threshold", "double"))
+        return F.array_append(known, F.struct(path.alias("path"), result.alias("value")))
+
+    start = F.array().cast(f"array<struct<path:string,value:{VALUE}>>")
+    # the root comes last
+    return F.aggregate(placed_nodes(plan, depth), start, step, lambda known: F.coalesce(F.get(known, F.size(known) - 1)["value"], value(err="unknown operator")))
 
 
 def nodes(plan: Column, depth: int = specs.MAX_DEPTH) -> Column:

@@ -249,8 +249,8 @@ SELECT kind, kind IS NULL AS overall, count(*) AS n, avg((abs(p - t) / abs(t) <=
 def relaxed_accuracy_by_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of predictions within 5 % of the target, overall and by kind."""
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_extendedprice", "l_quantity").join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
-    t, p = F.col("l_extendedprice").cast("string"), (F.col("l_quantity") * F.col("p_retailprice")).cast("string")
-    return metrics.accuracy_by_subset(rows.withColumnRenamed("l_returnflag", "kind"), "kind", numbers.relaxed_correctness(t, p))
+    close = numbers.relaxed_close(F.col("l_extendedprice"), F.col("l_quantity") * F.col("p_retailprice"))
+    return metrics.accuracy_by_subset(rows.withColumnRenamed("l_returnflag", "kind"), "kind", close)
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS n, (p_size + CASE WHEN p_size % 2 = 0 THEN 1200 ELSE 0 END)::DOUBLE AS total FROM part""")
