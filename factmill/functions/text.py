@@ -24,7 +24,7 @@ NAMES_A_POINT = r"(?i)\b(1[89]\d\d|20\d\d|january|february|march|april|may|june|
 
 @F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
 @F.pandas_udf(StringType())
@@ -37,10 +37,10 @@ def one_spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def normalise_question(question: Column, nfkc: bool = False) -> Column:
-    """Lower case, one space between words, no closing ``?.!`` or space.
+def normalise_question(question: Column, nfkc: bool = True) -> Column:
+    """Unicode compatibility folding, lower case, one space between words, no closing ``?.!`` or space.
 
-    ``nfkc`` adds Unicode compatibility folding, which ASCII text doesn't need.
+    Without ``nfkc``, for text that is known to be folded, no Python is needed.
     """
     text = _nfkc(question) if nfkc else question
     return strip(F.rtrim(one_spaced(F.lower(text)), F.lit(" ?.!")))

@@ -31,7 +31,9 @@ def grouped(records: DataFrame, key: str = "key", sources: tuple[str, ...] = SOU
     """One row per (split, key) with the merged record and what contradicts.
 
     ``records``: ``split``, the key, ``record_id``, ``source``, ``row``,
-    ``answer``, ``table``, ``plan`` (canonical text) and ``boxes``.
+    ``answer``, ``table``, ``plan`` (canonical text) and ``boxes``.  Copies
+    of boxes and ids are dropped before the shuffle; the merged row itself
+    lists a group's ids, so it is as long as the group has ids.
     """
     order = F.struct(source_rank(F.col("source"), sources).alias("rank"), "record_id", "row")
     known = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(order.alias("order"), F.col(c).alias("value"))))
@@ -43,7 +45,7 @@ def grouped(records: DataFrame, key: str = "key", sources: tuple[str, ...] = SOU
         known("answer")["value"].alias("answer"),
         known("table")["value"].alias("table"),
         known("plan")["value"].alias("plan"),
-        union_boxes(F.flatten(F.collect_list("boxes"))).alias("boxes"),
+        union_boxes(F.flatten(F.collect_set("boxes"))).alias("boxes"),
         F.array_sort(F.collect_set("source")).alias("merged_from"),
         F.array_sort(F.collect_set("record_id")).alias("merged_record_ids"),
         F.coalesce(F.when(differ("_answer"), "answer"), F.when(differ("table"), "table"), F.when(differ("plan"), "plan")).alias("conflict"),

@@ -84,8 +84,14 @@ def zip_by_position(left: DataFrame, right: DataFrame, order_left: str, order_ri
 
 
 def numbered(df: DataFrame, order: str, start: int = 0) -> DataFrame:
-    """A dense ``_place`` in the order of a column, without one window over all rows."""
-    ranged = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, order).sortWithinPartitions(order)
+    """A dense ``_place`` in the order of a column, without one window over all rows.
+
+    Equal values are ordered, and dealt out, by a hash of the whole row, so
+    that places are the same in every run and a very common value is many
+    tasks' work.
+    """
+    tie = F.xxhash64(*df.columns)
+    ranged = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, order, tie).sortWithinPartitions(order, tie)
     # both uses below must see the same partitions
     placed = cut(ranged.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)

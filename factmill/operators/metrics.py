@@ -96,12 +96,32 @@ def average_precision(hits: DataFrame, truths: int) -> DataFrame:
     return found.agg(F.avg("precision").alias("ap"))
 
 
-def bootstrap_interval(values: DataFrame, column: str, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0, slices: int = 8) -> DataFrame:
+def grounding_report(answers: DataFrame, detections: DataFrame, truths: DataFrame, ok: Column, kinds: tuple[str, ...] = ("human", "machine", "pot"), least_iou: float = 0.5) -> DataFrame:
+    """``kind, n, accuracy, ap`` of grounded answers, overall (null kind) and for each kind that has rows.
+
+    ``answers``: ``image, kind`` and what ``ok`` looks at; ``detections`` and
+    ``truths`` as for ``match_detections``.
+    """
+    known = answers.select("image", "kind").distinct()
+    hits = cut(match_detections(detections, truths, least_iou).join(known, "image"))
+    there = truths.join(known, "image").groupBy("kind").count().collect()  # one row a kind
+    count = {r["kind"]: r["count"] for r in there}
+    shares = accuracy_by_subset(answers, "kind", ok)
+    parts = [average_precision(hits, sum(count.values())).select(F.lit(None).cast("string").alias("_kind"), "ap")]
+    parts += [average_precision(hits.where(F.col("kind") == k), count[k]).select(F.lit(k).alias("_kind"), "ap") for k in kinds if count.get(k)]
+    ap = parts[0]
+    for part in parts[1:]:
+        ap = ap.unionByName(part)
+    return shares.where(F.col("overall") | F.col("kind").isin(*kinds)).join(ap, F.col("kind").eqNullSafe(F.col("_kind")), "left").select("kind", "n", "accuracy", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+def bootstrap_interval(values: DataFrame, column: str, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0, id_columns: list[str] | None = None) -> DataFrame:
     """Mean and percentile interval.
 
     Each row gets a Poisson weight per resample (the limit of drawing with
     replacement), so that every task adds up its own rows for all resamples
-    and only sums are shuffled.
+    and only sums are shuffled.  Weights come from ``id_columns``, which tell
+    rows apart; without them from the values, numbered where they repeat.
     """
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = np.zeros(resamples), np.zeros(resamples)
@@ -110,14 +130,17 @@ def bootstrap_interval(values: DataFrame, column: str, resamples: int = 10_000,
                 continue
             x = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
             keys = batch.column(1).to_numpy()
-            for at in range(0, len(x), 256):
-                part = x[at : at + 256]
-                w = np.random.default_rng([seed, *keys[at : at + 1].view(np.uint64)]).poisson(1.0, (len(part), resamples))
-                total += part @ w
-                weight += w.sum(0)
+            for value, key in zip(x, keys, strict=True):
+                w = np.random.default_rng([seed, int(key) & (1 << 64) - 1]).poisson(1.0, resamples)
+                total += value * w
+                weight += w
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(total), pa.array(weight)], names=["i", "total", "weight"])
 
-    rows = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double"), F.xxhash64(column, F.monotonically_increasing_id()))
+    rows = values.where(F.col(column).isNotNull())
+    # equal rows are told apart by a number among them, so that the interval doesn't hang on partitions
+    content = F.xxhash64(*(id_columns or [column]))
+    nth = F.lit(0) if id_columns else F.row_number().over(Window.partitionBy(column).orderBy(F.lit(0)))
+    rows = rows.select(F.col(column).cast("double"), F.xxhash64(content, nth))
     sums = rows.mapInArrow(draw, "i bigint, total double, weight double").groupBy("i").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("mean"))
     bounds = sums.agg(F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("b"))
     return bounds.crossJoin(values.agg(F.avg(column).alias("mean"))).select("mean", F.get("b", 0).alias("low"), F.get("b", 1).alias("high"))

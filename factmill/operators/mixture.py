@@ -6,6 +6,9 @@ and come from counts, of which there is one per stratum.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,26 @@ def without_absent_types(records: DataFrame, column: str = "chart_type") -> Data
     return records.where(~F.coalesce(F.col(column).isin(*ABSENT_TYPES), F.lit(False)))
 
 
+def within_length(records: DataFrame, column: str, lengths: Callable[[list], list[int]], most: int) -> DataFrame:
+    """records whose length, as a tokenizer counts it, is at most ``most``.
+
+    ``lengths`` counts a batch.  Where it fails, records are counted one by
+    one, and one that fails by itself counts as too long.
+    """
+    def fits(values: list) -> list[bool]:
+        try:
+            return [n <= most for n in lengths(values)]
+        except Exception:
+            return [False] if len(values) == 1 else [fits([v])[0] for v in values]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(fits(batch.column(batch.schema.get_field_index(column)).to_pylist()), pa.bool_()))
+
+    return records.mapInArrow(keep, records.schema)
+
+
 def is_holdout(style: Column, seed: Column) -> Column:
     """synthetic examples of held-out styles or seeds."""
     return F.coalesce(style.isin(*HELD_OUT_STYLES), F.lit(False)) | F.coalesce(seed >= HELD_OUT_SEED, F.lit(False))
@@ -91,8 +114,15 @@ def _table(records: DataFrame, strata: list[str], quotas: dict) -> DataFrame:
     return records.sparkSession.createDataFrame([(*k, n) for k, n in quotas.items()], f"{fields}, _quota int")
 
 
+#: Strata that quotas are computed for, at most: one row each comes to the driver.
+MOST_STRATA = 100_000
+
+
 def _counts(records: DataFrame, strata: list[str]) -> dict:
-    return {tuple(r[c] for c in strata): r["count"] for r in records.groupBy(*strata).count().collect()}
+    rows = records.groupBy(*strata).count().limit(MOST_STRATA + 1).collect()
+    if len(rows) > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} strata")
+    return {tuple(r[c] for c in strata): r["count"] for r in rows}
 
 
 def balance_by_level(records: DataFrame, level: str, total: int, seed: int, id_column: str) -> DataFrame:
@@ -131,12 +161,13 @@ def curriculum(synthetic: DataFrame, real: DataFrame, cap: int) -> DataFrame:
 
 def replay_mixture(real: DataFrame, synthetic: DataFrame, cap: int, replay: int, seed: int, id_column: str) -> DataFrame:
     """``cap - replay`` real rows and ``replay`` synthetic ones in random order, with ``position``."""
+    from .keyed import numbered
+
     key = shuffled(seed, id_column)
     take = lambda df, n, part: df.withColumn("_key", key).orderBy("_key", id_column).limit(n).withColumn("part", F.lit(part))
     both = take(real, cap - replay, "real").unionByName(take(synthetic, replay, "replay"))
-    # cap bounds the rows that this order sees
-    order = Window.orderBy(shuffled(seed + 1, id_column), id_column)
-    return both.withColumn("position", F.row_number().over(order)).drop("_key")
+    mixed = numbered(both.withColumn("_order", F.struct(shuffled(seed + 1, id_column), id_column)), "_order", 1)
+    return mixed.withColumn("position", F.col("_place").cast("int")).drop("_key", "_order", "_place")
 
 
 def composition(records: DataFrame, columns: list[str]) -> DataFrame:
@@ -161,3 +192,8 @@ def epoch_order(records: DataFrame, epochs: int, seed: int, id_column: str) -> D
     """Rows of each epoch with a key that orders them; ``(epoch, key, id)`` is a position to resume from."""
     repeated = records.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     return repeated.withColumn("key", F.sha2(F.concat(F.lit(f"{seed}|"), F.col("epoch").cast("string"), F.lit("|"), F.col(id_column).cast("string")), 256))
+
+
+def resumed(feed: DataFrame, epoch: int, key: str) -> DataFrame:
+    """What comes after a position of ``epoch_order``."""
+    return feed.where((F.col("epoch") > epoch) | ((F.col("epoch") == epoch) & (F.col("key") > key)))

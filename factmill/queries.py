@@ -92,7 +92,7 @@ PLANS: dict[str, tuple] = {
     "plan_median": (op("median", ALL), "list_sort(n)[3]", "NULL", "'USD'", "NULL"),
     "plan_min": (op("min", ALL), "list_min(n)", "NULL", "'USD'", "NULL"),
     "plan_max": (op("max", ALL), "list_max(n)", "NULL", "'USD'", "NULL"),
-    "plan_count": (op("count", ALL), "5.0", "NULL", "''", "NULL"),
+    "plan_count": (op("count", ALL), "len(n)", "NULL", "''", "NULL"),
     "plan_argmin": (op("argmin", ALL), "NULL", _LABEL.format("list_min(n)"), "''", "NULL"),
     "plan_argmax": (op("argmax", ALL), "NULL", _LABEL.format("list_max(n)"), "''", "NULL"),
     "plan_rank": (op("rank", ALL, position=2, order="descending"), "NULL", _LABEL.format("list_reverse_sort(n)[2]"), "''", "NULL"),
@@ -100,7 +100,7 @@ PLANS: dict[str, tuple] = {
     "plan_compare": (op("compare", _refs(1, 2)), "NULL", "CASE WHEN n[1] > n[2] THEN 'greater' WHEN n[1] < n[2] THEN 'less' ELSE 'equal' END", "''", "NULL"),
     "plan_greater_than": (op("greater_than", _refs(1, 2)), "NULL", _yes("n[1] > n[2]"), "''", "NULL"),
     "plan_less_than": (op("less_than", _refs(1, 2)), "NULL", _yes("n[1] < n[2]"), "''", "NULL"),
-    "plan_equal_to": (op("equal_to", _refs(1, 1)), "NULL", "'Yes'", "''", "NULL"),
+    "plan_equal_to": (op("equal_to", _refs(1), op("min", ALL)), "NULL", _yes("n[1] = list_min(n)"), "''", "NULL"),
     "plan_meets_threshold": (op("meets_threshold", _refs(3), **_PASS), "NULL", _yes("n[3] > 1e7"), "''", "NULL"),
     "plan_count_where": (op("count_where", ALL, **_PASS), f"len({_WHERE})", "NULL", "''", "NULL"),
     "plan_sum_where": (op("sum_where", ALL, **_PASS), f"CASE WHEN len({_WHERE}) > 0 THEN {_FOLD.format(_WHERE)} END", "NULL", f"CASE WHEN len({_WHERE}) > 0 THEN 'USD' END", f"CASE WHEN len({_WHERE}) = 0 THEN 'nothing passes' END"),
@@ -271,7 +271,25 @@ def quarantine_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+COLOURS_SQL = """
+WITH c AS (SELECT p_partkey, '#' || lpad(lower(to_hex((p_partkey * 7919 + p_size * 104729) % 16777216)), 6, '0') AS colour FROM part),
+x AS (SELECT *, ('0x' || substr(colour, 2, 2))::INT / 255 AS r, ('0x' || substr(colour, 4, 2))::INT / 255 AS g, ('0x' || substr(colour, 6, 2))::INT / 255 AS b FROM c),
+y AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS s, (greatest(r, g, b) + least(r, g, b)) / 2 AS l FROM x),
+z AS (SELECT *, CASE WHEN s = 0 THEN 0 WHEN r = hi THEN (hi - b) / s - (hi - g) / s WHEN g = hi THEN 2 + (hi - r) / s - (hi - b) / s ELSE 4 + (hi - g) / s - (hi - r) / s END / 6 AS t,
+  CASE WHEN s = 0 THEN 0 WHEN l <= 0.5 THEN s / (2 * l) ELSE s / (2 - 2 * l) END AS sat FROM y),
+h AS (SELECT *, (t - floor(t)) * 360 AS hue FROM z),
+n AS (SELECT *, CASE WHEN hue >= 345 OR hue < 12 THEN 'red' WHEN hue < 40 THEN 'orange' WHEN hue < 68 THEN 'yellow' WHEN hue < 160 THEN 'green' WHEN hue < 195 THEN 'teal' WHEN hue < 255 THEN 'blue' WHEN hue < 290 THEN 'purple' ELSE 'pink' END AS base FROM h),
+w AS (SELECT p_partkey, colour, CASE WHEN l <= 0.10 THEN ['black', 'dark']
+  WHEN l <= 0.22 AND sat > 0.12 THEN ['black', 'dark', 'dark ' || base, base] || CASE WHEN base = 'blue' THEN ['navy'] ELSE [] END WHEN l <= 0.22 THEN ['black', 'dark', 'dark grey', 'grey']
+  WHEN l >= 0.92 THEN ['white', 'light'] WHEN sat <= 0.12 AND l < 0.4 THEN ['grey', 'gray', 'silver', 'dark grey', 'dark gray'] WHEN sat <= 0.12 THEN ['grey', 'gray', 'silver', 'light grey', 'light gray']
+  WHEN l < 0.38 THEN [base, 'dark ' || base] || CASE base WHEN 'blue' THEN ['navy'] WHEN 'red' THEN ['maroon'] ELSE [] END
+  WHEN l > 0.62 THEN [base, 'light ' || base] || CASE WHEN base = 'blue' THEN ['sky blue'] ELSE [] END ELSE [base] END AS words FROM n),
+e AS (SELECT p_partkey, unnest(words) AS word FROM w),
+d AS (SELECT p_partkey, word, row_number() OVER (PARTITION BY p_partkey ORDER BY -len(string_split(word, ' ')), -len(word), word) AS nth FROM e)
+SELECT w.p_partkey, w.colour, d.word, array_to_string(list_sort(words), ',') AS words FROM w JOIN d ON w.p_partkey = d.p_partkey AND nth = 1"""
+
+
+@query(COLOURS_SQL)
 def colour_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12, P13 over colours made from part keys."""
     digits = F.concat(F.lit("#"), F.lpad(F.lower(F.hex((F.col("p_partkey") * 7919 + F.col("p_size") * 104729) % 16777216)), 6, "0"))
@@ -469,7 +487,7 @@ def detection_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean order price and its interval."""
-    return metrics.bootstrap_interval(table(spark, sf_dir, "orders").select("o_totalprice"), "o_totalprice")
+    return metrics.bootstrap_interval(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", id_columns=["o_orderkey"])
 
 
 # --- samples and mixtures of documents
@@ -533,10 +551,11 @@ def mixture_stage2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.replay_mixture(d.where("lang = 'en'").select("doc_id"), d.where("lang <> 'en'").select("doc_id"), 80, 20, 5, "doc_id")
 
 
-@query("SELECT doc_id, epoch FROM documents, (SELECT unnest([0, 1, 2])::INT AS epoch)")
+@query("SELECT doc_id, epoch, sha256('1|' || epoch || '|' || doc_id) AS key FROM documents, (SELECT unnest([0, 1, 2])::INT AS epoch) WHERE epoch > 1 OR (epoch = 1 AND sha256('1|1|' || doc_id) > '8')")
 def epoch_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three epochs, each in an order of its own."""
-    return mixture.epoch_order(table(spark, sf_dir, "documents").select("doc_id"), 3, 1, "doc_id").select("doc_id", "epoch")
+    """Three epochs, each in an order of its own, taken up in the midst of the second."""
+    feed = mixture.epoch_order(table(spark, sf_dir, "documents").select("doc_id"), 3, 1, "doc_id")
+    return mixture.resumed(feed, 1, "8").select("doc_id", "epoch", "key")
 
 
 @query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 10)::BIGINT AS batch FROM documents")
@@ -644,7 +663,7 @@ def plan_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT level, 'agrees' AS trip, 100 AS n FROM (VALUES ('L1'), ('L2'), ('L3'), ('L4')) t(level)")
 def synthetic_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated plans run and give the answer that printing their value states."""
+    """G10, V07 and parts of G01 to G05: generated plans run and give the answer that printing their value states."""
     rows = synthetic.questions(synthetic.series(synthetic.schedule(spark, 400)))
     result = nodes.evaluate(nodes.read(F.col("plan")), F.col("facts"), 2)
     rows = rows.withColumn("r", result)
