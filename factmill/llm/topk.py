@@ -29,9 +29,9 @@ from .vectors import distinct_vectors, matrix, ranked, usable
 BLOCK_ROWS = 32768
 BLOCK_QUERIES = 8192
 #: Depths, as shares of a list, at which the bounds are looked at.
-DEPTHS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0)
+DEPTHS = (1 / 8, 3 / 8, 1.0)
 #: Rows and queries whose bounds a task holds at once.
-_ROWS, _QUERIES = 4096, 128
+_ROWS, _QUERIES = 4096, 256
 
 
 def exact(queries: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,32 +48,45 @@ class Lists:
         self.n, self.size = block.shape
         self.order = np.argsort(-block, axis=0, kind="stable").T
         self.values = np.take_along_axis(block.T, self.order, axis=1)
+        self.worst, self.best = self.values[:, -1], self.values[:, 0]
+        self._steps: dict = {}
+
+    def step(self, read: int, reach: int) -> tuple[np.ndarray, ...]:
+        """What reading on from ``read`` to ``reach`` entries says of each candidate, from a list's top and from its end.
+
+        How much better than the list's far end its component is, where it
+        was read in this step, and where it is still unread after it.  A
+        step is made once for all queries that take it.
+        """
+        if (read, reach) not in self._steps:
+            d, made = np.arange(self.size)[:, None], []
+            for entries, far, seen in ((slice(read, reach), self.worst, slice(0, reach)), (slice(self.n - reach, self.n - read), self.best, slice(self.n - reach, self.n))):
+                gain = np.zeros((self.n, self.size), self.values.dtype)
+                gain[self.order[:, entries], d] = self.values[:, entries] - far[:, None]
+                unread = np.ones((self.n, self.size))
+                unread[self.order[:, seen], d] = 0
+                made += [gain, unread]
+            self._steps[read, reach] = tuple(made)
+        return self._steps[read, reach]
 
 
 def no_random_access(queries: np.ndarray, lists: Lists, k: int, depths: tuple = DEPTHS) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """For each query, candidates that hold its ``k`` best (and all ties), their exact scores, and how deep its lists were read."""
-    n, values, order = lists.n, lists.values, lists.order
+    n, values = lists.n, lists.values
     done: list = [None] * len(queries)
     active, read = np.arange(len(queries)), 0
+    # a query reads from the top where its component is positive, from the end where it is negative
     plus, minus = np.where(queries > 0, queries, 0).T, np.where(queries < 0, queries, 0).T
-    worst, best = values[:, -1], values[:, 0]
     # nothing read: every component is as bad as its list allows
-    lower = np.repeat((plus * worst[:, None] + minus * best[:, None]).sum(0)[None], n, axis=0)
-    unread_top, unread_end = np.ones((n, lists.size)), np.ones((n, lists.size))
+    lower = np.repeat((plus * lists.worst[:, None] + minus * lists.best[:, None]).sum(0)[None], n, axis=0)
     for depth in depths:
         reach = max(read, min(n, int(np.ceil(depth * n))))
-        for d in range(lists.size):
-            # queries with a positive component read from the top, those with a negative one from the end
-            top, end = order[d, read:reach], order[d, n - reach : n - read]
-            lower[top] += (values[d, read:reach] - worst[d])[:, None] * plus[d]
-            lower[end] += (values[d, n - reach : n - read] - best[d])[:, None] * minus[d]
-            unread_top[top, d] = unread_end[end, d] = 0
-        read = reach
-        if read == n:
-            upper = lower
-        else:
-            top, end = values[:, read - 1] - worst, values[:, n - read] - best
-            upper = lower + unread_top @ (top[:, None] * plus) + unread_end @ (end[:, None] * minus)
+        top, unread_top, end, unread_end = lists.step(read, reach)
+        lower = lower + top @ plus + end @ minus
+        read, upper = reach, lower
+        if read < n:
+            # what is unread is no better than the frontier
+            upper = lower + unread_top @ ((values[:, read - 1] - lists.worst)[:, None] * plus) + unread_end @ ((values[:, n - read] - lists.best)[:, None] * minus)
         kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(active), -np.inf)
         in_play = upper >= kth
         stop = (in_play.sum(0) <= 4 * k) | (read == n)
@@ -94,7 +107,7 @@ def _resolved(lists: Lists, query: np.ndarray, rows: np.ndarray, lower: np.ndarr
     for d in np.flatnonzero(query != 0) if read < lists.n else ():
         rest = slice(read, None) if query[d] > 0 else slice(None, lists.n - read)
         at = place[lists.order[d, rest]]
-        far = lists.values[d, -1] if query[d] > 0 else lists.values[d, 0]
+        far = lists.worst[d] if query[d] > 0 else lists.best[d]
         # a candidate stands in a list once
         score[at[at >= 0]] += (lists.values[d, rest][at >= 0] - far) * query[d]
     return score
