@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,26 +40,40 @@ def match_detections(detections: DataFrame, truths: DataFrame, least_iou: float
     one group, bounded by ``most`` detections.
     """
     order = Window.partitionBy("image").orderBy(F.desc("score"), "seq")
-    best = detections.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).drop("_nth")
-
-    def match(own: pa.Table, there: pa.Table) -> pa.Table:
-        own = own.sort_by([("score", "descending"), ("seq", "ascending")])
-        boxes = np.array(there.sort_by("seq").column("bbox").to_pylist(), float).reshape(-1, 4)
-        free, hits = np.ones(len(boxes), dtype=bool), []
-        for box in np.array(own.column("bbox").to_pylist(), float).reshape(-1, 4):
-            low, high = np.maximum(boxes[:, :2], box[:2]), np.minimum(boxes[:, 2:], box[2:])
-            inter = np.prod(np.clip(high - low, 0, None), axis=1)
-            union = np.prod(box[2:] - box[:2]) + np.prod(boxes[:, 2:] - boxes[:, :2], axis=1) - inter
-            overlap = np.where(free & (union > 0), inter / np.where(union > 0, union, 1), -1.0)
-            top = len(overlap) - 1 - int(np.argmax(overlap[::-1])) if len(overlap) else -1
-            hit = top >= 0 and overlap[top] >= least_iou
-            hits.append(bool(hit))
-            if hit:
-                free[top] = False
-        return pa.table({"image": own.column("image"), "seq": own.column("seq"), "score": own.column("score"), "hit": pa.array(hits, pa.bool_())})
-
+    best = detections.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most)
+    best = best.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("_nth", "seq", "score", "bbox"))).alias("found"))
+    there = truths.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("seq", "bbox"))).alias("there"))
     kind = detections.schema["image"].dataType.simpleString()
-    return best.groupBy("image").cogroup(truths.groupBy("image")).applyInArrow(match, f"image {kind}, seq bigint, score double, hit boolean")
+    return best.join(there, "image", "left").mapInArrow(_matched(least_iou), f"image {kind}, seq bigint, score double, hit boolean")
+
+
+def _matched(least_iou: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Greedy matches of batches of images, each with its sorted lists ``found`` and ``there``."""
+    def overlaps(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+        sides = np.minimum(boxes[:, 2:], box[2:]) - np.maximum(boxes[:, :2], box[:2])
+        inter = np.prod(np.clip(sides, 0, None), axis=1)
+        union = np.prod(box[2:] - box[:2]) + np.prod(boxes[:, 2:] - boxes[:, :2], axis=1) - inter
+        return np.where(union > 0, inter / np.where(union > 0, union, 1), -1.0)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            images, rows = batch.column(batch.schema.get_field_index("image")), []
+            lists = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("found", "there")]
+            for i, (found, there) in enumerate(zip(*lists, strict=True)):
+                boxes = np.array([t["bbox"] for t in there or ()], float).reshape(-1, 4)
+                free = np.ones(len(boxes), dtype=bool)
+                for d in found:
+                    overlap = np.where(free, overlaps(np.array(d["bbox"], float), boxes), -1.0)
+                    # of equal overlaps the later truth
+                    top = len(overlap) - 1 - int(np.argmax(overlap[::-1])) if len(overlap) else -1
+                    hit = top >= 0 and overlap[top] >= least_iou
+                    if hit:
+                        free[top] = False
+                    rows.append((i, d["seq"], d["score"], bool(hit)))
+            of, seq, score, hits = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([images.take(pa.array(of, pa.int64())), pa.array(seq, pa.int64()), pa.array(score, pa.float64()), pa.array(hits, pa.bool_())], names=["image", "seq", "score", "hit"])
+
+    return match
 
 
 def precision_recall(hits: DataFrame, truths: int, ranges: int = 16) -> DataFrame:
