@@ -154,7 +154,8 @@ def bootstrap_interval(values: DataFrame, column: str, resamples: int = 10_000,
     # equal rows are told apart by a number among them, so that the interval doesn't hang on partitions
     content = F.xxhash64(*(id_columns or [column]))
     nth = F.lit(0) if id_columns else F.row_number().over(Window.partitionBy(column).orderBy(F.lit(0)))
-    rows = rows.select(F.col(column).cast("double"), F.xxhash64(content, nth))
+    # drawing is dear and rows are narrow: every core gets some
+    rows = rows.select(F.col(column).cast("double"), F.xxhash64(content, nth)).repartition(values.sparkSession.sparkContext.defaultParallelism)
     sums = rows.mapInArrow(draw, "i bigint, total double, weight double").groupBy("i").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("mean"))
     bounds = sums.agg(F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("b"))
     return bounds.crossJoin(values.agg(F.avg(column).alias("mean"))).select("mean", F.get("b", 0).alias("low"), F.get("b", 1).alias("high"))
