@@ -661,18 +661,29 @@ def plan_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- synthetic examples, targets, tables
 
-@query("SELECT level, 'agrees' AS trip, 100 AS n FROM (VALUES ('L1'), ('L2'), ('L3'), ('L4')) t(level)")
+@query("""SELECT level, 'agrees' AS trip, count(*) AS n FROM (SELECT ['L1', 'L2', 'L3', 'L4'][(i // 8 % 4 + 1)::INT] AS level FROM range((SELECT count(*) FROM customer)) r(i)) GROUP BY level""")
 def synthetic_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G10, V07 and parts of G01 to G05: generated plans run and give the answer that printing their value states."""
-    rows = synthetic.questions(synthetic.series(synthetic.schedule(spark, 400)))
-    result = nodes.evaluate(nodes.read(F.col("plan")), F.col("facts"), 2)
-    rows = rows.withColumn("r", result)
+    """As many examples as customers, all accepted; their plans give the answer that printing their value states."""
+    made = synthetic.generate(spark, table(spark, sf_dir, "customer").count())
+    rows = made.where(F.col("status") == synthetic.ACCEPTED).withColumn("r", nodes.evaluate(nodes.read(F.col("plan")), F.col("facts"), 2))
     # printed with enough digits that the reader's tolerance is met
-    answer = F.when(F.col("r.num").isNotNull(), F.format_string("%.6f", "r.num")).otherwise(F.col("r.str"))
+    answer = F.when(F.col("answer_number").isNotNull(), F.format_string("%.6f", "answer_number")).otherwise(F.col("answer_text"))
     trip = F.when(F.col("r.err").isNotNull(), "raises").when(numbers.result_matches_gold(F.col("r.num"), F.col("r.str"), answer), "agrees").otherwise("disagrees")
     return rows.groupBy("level", trip.alias("trip")).agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH s AS (SELECT i, held, i % 8 AS kind, i // 8 % 4 AS level, i // 32 * 8 + i % 8 AS nth FROM range((SELECT count(*) FROM orders)) r(i), (VALUES (false), (true)) h(held))
+SELECT i, held AS holdout, ['vbar', 'hbar', 'grouped_bar', 'line', 'multi_line', 'pie', 'scatter', 'area'][(kind + 1)::INT] AS chart_type, 'L' || (level + 1) AS level,
+  CASE WHEN level = 1 THEN ['signed_difference', 'absolute_distance', 'ratio', 'winner', 'greater', 'less', 'equal'][(nth % 7 + 1)::INT] END AS form,
+  CASE WHEN held THEN [7, 13, 23][(i % 3 + 1)::INT] ELSE [s FOR s IN range(60) IF s NOT IN (7, 13, 23)][(i % 57 + 1)::INT] END AS style,
+  CASE WHEN held THEN 900000 + i % 50000 ELSE i % 900000 END AS data_seed FROM s""")
+def synthetic_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types, levels, forms and styles of as many examples as orders, held out and not."""
+    n = table(spark, sf_dir, "orders").count()
+    return synthetic.schedule(spark, n).unionByName(synthetic.schedule(spark, n, holdout=True)).drop("seed")
+
+
 @query(FACTS_SQL + "SELECT chart, 'ok' AS status, 5 AS n_facts FROM f")
 def training_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record that a model should write for each chart's sum."""
