@@ -6,6 +6,8 @@ import json
 import uuid
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from .operators import align, facts, keyed, metrics, mixture
 from .plans import nodes
 from .queries import _folders, op, query, table
 from .session import shared_folder
-from .sources import files, teacher
+from .sources import files, pictures, teacher
 from .sources.archive import ZipSource
 
 # --- sources: what a query writes, it reads back
@@ -447,6 +449,22 @@ def attached_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("record_id").alias("doc_id"), F.get("table.columns", 0).alias("from_table"), F.get("elements", 0).alias("element"))
 
 
+@query("""WITH p AS (SELECT p_partkey, (p_size % 5 + 1)::INT AS w, (p_partkey % 3 + 1)::INT AS h FROM part)
+SELECT p_partkey, w AS image_width, h AS image_height, NULL::VARCHAR AS image_error, sha256(encode(w || 'x' || h || ':') || unhex(list_aggregate([printf('%02x', (p_partkey * 7 + i * i) % 256) FOR i IN range(3 * w * h)], 'string_agg', ''))) AS image_sha256 FROM p""")
+def picture_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and pixel hashes of small pictures, written with the five line filters in turn."""
+    def drawn(batches):
+        for batch in batches:
+            found = []
+            for key, w, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rgb = np.array([(key * 7 + i * i) % 256 for i in range(3 * w * h)], np.uint8).reshape(h, -1)
+                found.append(pictures.as_png(rgb, 2, key % 5))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["p_partkey", "content"])
+
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long"), (F.col("p_size") % 5 + 1).cast("int"), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return pictures.with_pixel_hash(p.mapInArrow(drawn, "p_partkey long, content binary"))
+
+
 @query("""WITH h AS (SELECT sha256(text) AS h, min(doc_id) AS first FROM documents WHERE doc_id % 4 <> 0 GROUP BY text)
 SELECT doc_id, first AS found FROM documents LEFT JOIN h ON sha256(text) = h""")
 def pictures_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
