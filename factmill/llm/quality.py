@@ -207,8 +207,10 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int | None = 3, held_out: int =
         own = random.permutation(np.flatnonzero(y == q))[:fit_rows]
         chosen.append(np.resize(own, min(fit_rows, max((y == 0).sum(), (y == 1).sum()))))
     chosen = np.concatenate(chosen)
-    texts = sample.column("text").to_pylist()
-    return train([texts[i].encode() for i in chosen], y[chosen])
+    column = sample.column("text")
+    texts = {i: column[i].as_py().encode() for i in np.unique(chosen).tolist()}
+    del sample, column
+    return train([texts[i] for i in chosen.tolist()], y[chosen])
 
 
 def score(docs: DataFrame, network: Network | None, mod: int = 3, held_out: int = 1) -> DataFrame:

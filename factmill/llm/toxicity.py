@@ -106,7 +106,9 @@ class Sample:
             pairs.append(np.unique((rows + self.n) << _SPACE_BITS | keys))
             self.n += len(offsets) - 1
         pairs = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
-        self.rows, self.keys = pairs >> _SPACE_BITS, pairs & ((1 << _SPACE_BITS) - 1)
+        # half as wide: they are held while the chain is fitted
+        self.rows, self.keys = (pairs >> _SPACE_BITS).astype(np.int32), (pairs & ((1 << _SPACE_BITS) - 1)).astype(np.int32)
+        self.known = np.unique(self.keys)
 
     def telling(self, y: np.ndarray, use: np.ndarray, most: int) -> np.ndarray:
         """Up to ``most`` features that tell the positives among the rows ``use`` best, the most telling first.
@@ -117,13 +119,14 @@ class Sample:
         """
         on, off = (y > 0) & use, (y <= 0) & use
         n1, n0 = max(on.sum(), 1), max(off.sum(), 1)
-        a = np.bincount(self.keys[on[self.rows]], minlength=1 << _SPACE_BITS)
-        b = np.bincount(self.keys[off[self.rows]], minlength=1 << _SPACE_BITS)
+        # of the features that occur; there are far fewer than the space holds
+        a = np.bincount(self.keys[on[self.rows]], minlength=1 << _SPACE_BITS)[self.known]
+        b = np.bincount(self.keys[off[self.rows]], minlength=1 << _SPACE_BITS)[self.known]
         share = (a + b) / (n1 + n0)
         tell = np.where(a + b >= 3, np.abs(a / n1 - b / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12), 0)
         tell[np.maximum(a / n1, 0.1 / n1) < 6 * np.maximum(b / n0, 0.1 / n0)] = 0
         best = np.argsort(-tell, kind="stable")[:most]
-        return best[tell[best] > 3]
+        return self.known[best[tell[best] > 3]].astype(np.int64)
 
     def matrix(self, columns: np.ndarray) -> np.ndarray:
         """A row for each text, a column for each of the given features."""
@@ -188,8 +191,8 @@ def train(sample: Sample, y: np.ndarray, names: list[str], features: int = FEATU
     columns = chosen_features(sample, y, everything, features)
     x = sample.matrix(columns)
     fold = np.random.default_rng(17).permutation(len(y)) % folds
-    # what each fold's models see was chosen without the fold
-    inner = [sample.matrix(chosen_features(sample, y, fold != f, features)) for f in range(folds)]
+    # what each fold's models see was chosen without the fold; the matrices are made when they are needed
+    inner = [chosen_features(sample, y, fold != f, features) for f in range(folds)]
     weights, biases, earlier = [], [], np.zeros((len(y), 0), np.float32)
     for k in range(y.shape[1]):
         w, b = logistic(np.concatenate((x, earlier), axis=1), y[:, k])
@@ -198,7 +201,7 @@ def train(sample: Sample, y: np.ndarray, names: list[str], features: int = FEATU
         if k + 1 < y.shape[1]:
             out_of_fold = np.zeros((len(y), 1), np.float32)
             for f in range(folds):
-                seen = np.concatenate((inner[f], earlier), axis=1)
+                seen = np.concatenate((sample.matrix(inner[f]), earlier), axis=1)
                 w, b = logistic(seen[fold != f], y[fold != f, k])
                 out_of_fold[fold == f, 0] = _sigmoid(seen[fold == f] @ w + b)
             earlier = np.concatenate((earlier, out_of_fold), axis=1)
