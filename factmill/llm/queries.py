@@ -1,13 +1,18 @@
-"""The queries of the ten operators and the SQL that some of them can be held against."""
+"""The queries of the operators and the SQL that some of them can be held against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, licenses, lm_scoring, mixing, near_dedup, packing, quality, topk, toxicity
+from . import ann, importance, language_id, licenses, lm_scoring, mixing, near_dedup, packing, periods, pieces, quality, topk, toxicity
+from .shared import crc_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +60,46 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_top_k, op6_packing, op7_language_id, op8_license_scan, op9_nearest_neighbours, op10_lm_scoring)}
+def planted(ids: list, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a document begins to repeat and its period: of those whose crc32(id) is divisible by 10."""
+    h = crc_of(ids)
+    g = h // 10
+    begin = g % np.maximum(n_words, 1)
+    return begin, np.where((h % 10 == 0) & (n_words > 0), 1 + (n_words - begin) // (3 + g % 8), 0)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(_table(spark, sf_dir, "documents"), remake=planted)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    length = -F.col("best.shorter")
+    exponent = F.floor(1000 * length / F.col("best.period"))
+    return found.select("doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"), exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    model_path = model_path or public_tokenizers.path("piece_bpe_32k.model")
+    decoded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), model_path), model_path)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, ids, text = batch.columns
+            sizes, flat = ids.value_lengths(), ids.flatten().to_numpy().astype("<u4", copy=False)
+            ends = np.cumsum(sizes.to_numpy())
+            hexes = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends - sizes.to_numpy(), ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([doc, sizes.cast(pa.int64()), pa.array(hexes, pa.string()), text], names=["doc_id", "n_tokens", "ids_sha256", "text"])
+
+    digests = decoded.mapInArrow(digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, text string")
+    return digests.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_top_k, op6_packing, op7_language_id, op8_license_scan, op9_nearest_neighbours, op10_lm_scoring, op11_periodic_runs, op12_importance_resampling, op13_sentencepiece)}
 
 #: Operators that DuckDB can express.
 ORACLE_SQL: dict[str, str] = {

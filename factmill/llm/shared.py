@@ -136,6 +136,65 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NON
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
+def long_word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NON_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as ``word_bounds``; a slice of one long text is looked at in stretches."""
+    if len(offsets) > 2 or len(data) <= 2 * SLICE_BYTES:
+        return word_bounds(data, offsets, is_word)
+    starts, ends = [], []
+    for at in range(0, len(data), SLICE_BYTES):
+        # one byte more on either side; no word goes on beyond the text
+        first, last = max(at - 1, 0), min(at + SLICE_BYTES + 1, len(data))
+        inside = is_word[data[first:last]]
+        begins, stops = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        stops[:-1] &= ~inside[1:]
+        begins, stops = np.flatnonzero(begins) + first, np.flatnonzero(stops) + first
+        starts.append(begins[(begins >= at) & (begins < at + SLICE_BYTES)])
+        ends.append(stops[(stops >= at) & (stops < at + SLICE_BYTES)] + 1)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
+    return starts, ends, np.array([len(starts)])
+
+
+def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of ranges, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def in_pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last of consecutive ranges that make up about ``SLICE_BYTES`` together."""
+    piece = np.cumsum(sizes) // SLICE_BYTES
+    edges = np.append(np.flatnonzero(np.diff(piece, prepend=-1)), len(sizes)).tolist()
+    yield from zip(edges[:-1], edges[1:], strict=True)
+
+
+def same_bytes(data: np.ndarray, first: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether ranges that begin at ``first`` and at ``second`` hold the same bytes, all of them; in pieces of bounded size."""
+    apart = first != second
+    first, second, sizes = first[apart], second[apart], sizes[apart]
+    for at, end in in_pieces(sizes):
+        if end - at == 1:  # may be long
+            if not np.array_equal(data[first[at] : first[at] + sizes[at]], data[second[at] : second[at] + sizes[at]]):
+                return False
+        elif (data[places(first[at:end], sizes[at:end])] != data[places(second[at:end], sizes[at:end])]).any():
+            return False
+    return True
+
+
+def number_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number from 0 on for each byte range, the same exactly where the bytes are, and each number's first range.
+
+    Ranges are told apart by their hashes, and those of one hash are compared
+    byte by byte; should two of them differ, a dictionary numbers all.
+    """
+    _, first, numbers = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
+    sizes, head = ends - starts, first[numbers]
+    if (sizes != sizes[head]).any() or not same_bytes(data, starts, starts[head], sizes):
+        known: dict[bytes, int] = {}
+        numbers = np.array([known.setdefault(data[s:e].tobytes(), len(known)) for s, e in zip(starts, ends, strict=True)], np.int64)
+        first = np.unique(numbers, return_index=True)[1]
+    return numbers, first
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
