@@ -125,7 +125,8 @@ def stem(path: Column) -> Column:
 def safe_file_name(index: Column, identifier: Column) -> Column:
     """A row's number and its id with nothing but letters, digits, ``_.-``."""
     safe = F.substring(F.regexp_replace(identifier, r"[^A-Za-z0-9_.-]+", "_"), 1, 80)
-    return F.concat(F.lpad(index.cast("string"), 6, "0"), F.lit("_"), safe, F.lit(".png"))
+    number = index.cast("string")
+    return F.concat(F.lpad(number, F.greatest(F.length(number), F.lit(6)), F.lit("0")), F.lit("_"), safe, F.lit(".png"))
 
 
 def fill_template(template: str, **columns: Column) -> Column:

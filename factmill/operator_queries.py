@@ -16,8 +16,10 @@ from .operators import align, facts, keyed, metrics, mixture
 from .plans import nodes
 from .queries import _folders, op, query, table
 from .session import shared_folder
-from .sources import files, pictures, teacher
+from .sources import cache_build as caches
+from .sources import files, pictures, shards, teacher
 from .sources.archive import ZipSource
+from .streaming import feed
 
 # --- sources: what a query writes, it reads back
 
@@ -166,6 +168,95 @@ def row_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(split.alias("split"), outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def _pinned(rows: DataFrame, order: str, path: str, n: int = 6) -> DataFrame:
+    """Rows written as shards in the order of a column, and their pins, read from their file."""
+    rows.repartitionByRange(n, order).sortWithinPartitions(order).write.parquet(f"{path}/shards")
+    shards.write_pins(shards.pin(rows.sparkSession, f"{path}/shards"), f"{path}/pins")
+    return shards.read_pins(rows.sparkSession, f"{path}/pins")
+
+
+@query("SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS source_row_index FROM documents")
+def pinned_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in pinned shards, with a file beside them that isn't; rows counted through all shards."""
+    path = _new_path(spark, "shards")
+    pins = _pinned(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", path)
+    spark.range(3).selectExpr("-id AS doc_id", "'no' AS lang").write.mode("append").parquet(f"{path}/shards")
+    return shards.read_pinned(spark, f"{path}/shards", pins)
+
+
+CACHE_SQL = """
+WITH l AS (SELECT doc_id, min(quality) AS quality, min(toxic) AS toxic FROM labels GROUP BY doc_id),
+s AS (
+  SELECT d.doc_id, row_number() OVER (ORDER BY d.doc_id) - 1 AS source_row_index, CASE WHEN n_chars % 13 <> 0 THEN sha256(text) END AS hash,
+    CASE quality WHEN 1 THEN 'human' WHEN 0 THEN 'machine' ELSE CASE WHEN lang = 'en' THEN 'pot' END END AS kind,
+    CASE WHEN toxic = 1 THEN 0 ELSE d.doc_id % 3 + 1 END AS raw, d.doc_id % 17 = 0 AND toxic IS DISTINCT FROM 1 AS bad,
+    list_transform(range(CASE WHEN toxic = 1 THEN 0 ELSE d.doc_id % 3 + 1 END), lambda k: d.doc_id * 37 % 900 + k * 10) AS x, n_chars % 50 AS w, n_chars % 300 AS y
+  FROM documents d LEFT JOIN l USING (doc_id) WHERE d.doc_id % 10 < 9),
+b AS (SELECT *, list_filter(list_transform(x, lambda a: [least(1000.0, 1000.0 * a / 800), least(1000.0, 1000.0 * (a + w) / 800)]::DOUBLE[]), lambda p: p[2] > p[1]) AS boxes FROM s),
+o AS (
+  SELECT *, CASE WHEN hash IS NULL THEN 'missing_image' WHEN kind IS NULL OR bad THEN 'malformed' WHEN len(boxes) = 0 THEN 'no_usable_box'
+    WHEN hash IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 9) THEN 'held_out_image' ELSE 'accepted' END AS outcome FROM b)
+"""
+
+
+def _built_cache(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as rows of a grounded set, cached from shards in batches of two; a second run finds nothing to do."""
+    path, i, n = _new_path(spark, "cache"), F.col("doc_id"), F.col("n_chars")
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
+    width = F.when(i % 17 == 0, F.lit(-1.0)).otherwise((n % 50).cast("double"))
+    box = lambda k: F.struct((i * 37 % 900 + k * 10).cast("double").alias("x"), (n % 300).cast("double").alias("y"), width.alias("w"), F.lit(20.0).alias("h"))
+    rows = docs.where(i % 10 < 9).join(labels, "doc_id", "left").select(
+        i.alias("id"), F.when(n % 13 != 0, F.sha2("text", 256)).alias("image_hash"), F.lit(800).alias("width"), F.lit(400).alias("height"),
+        F.concat(F.lit("What does  "), i.cast("string"), F.lit(" say?")).alias("query"), F.col("lang").alias("label"),
+        F.when(F.col("quality") == 1, "Human").when(F.col("quality") == 0, "MACHINE").when(F.col("lang") == "en", "pot").otherwise("chart").alias("type"),
+        F.when(F.coalesce(F.col("toxic"), F.lit(0)) == 0, F.transform(F.sequence(F.lit(0).cast("long"), i % 3), box)).alias("grounding_bboxes"), F.lit(None).cast("string").alias("response"),
+    )
+    pins = _pinned(rows, "id", path)
+    held_out = docs.where(i % 10 == 9).select(F.sha2("text", 256).alias("image_hash"))
+    for _ in range(2):
+        caches.build(shards.stream_pinned(spark, f"{path}/shards", pins, 2), held_out, f"{path}/cache")
+    return f"{path}/cache"
+
+
+@query(CACHE_SQL + """SELECT source_row_index, doc_id::VARCHAR AS source_id, kind AS question_kind, len(boxes)::INT AS n_boxes, (raw - len(boxes))::INT AS dropped, boxes[1][1] AS x1, boxes[1][2] AS x2,
+  'grounded_train_' || substr(sha256('grounded|train|' || source_row_index || '|' || hash || '|what does ' || doc_id || ' say'), 1, 16) AS record_id FROM o WHERE outcome = 'accepted'""")
+def cache_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of a cache."""
+    first = F.element_at("boxes", 1)
+    rows = caches.records(spark, _built_cache(spark, sf_dir))
+    return rows.select("source_row_index", "source_id", "question_kind", F.size("evidence").alias("n_boxes"), F.col("meta.boxes_dropped_outside_image").alias("dropped"), first[0].alias("x1"), first[2].alias("x2"), "record_id")
+
+
+@query(CACHE_SQL + "SELECT outcome, count(*) AS n FROM o GROUP BY outcome")
+def cache_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of the rows of a cache."""
+    return caches.outcomes(spark, _built_cache(spark, sf_dir))
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents),
+d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents),
+k AS (SELECT e.range AS epoch, r.range AS r, sha256('11|' || e.range || '|' || r.range) AS h FROM range(3) e, range({feed.ROUNDS}) r),
+kk AS (SELECT epoch, r, ('0x' || substr(h, 1, 15))::BIGINT % n AS middle, ('0x' || substr(h, 16, 7))::BIGINT AS a, ('0x' || substr(h, 23, 7))::BIGINT AS b FROM k, n),
+p AS (SELECT unnest(range(3 * (n // 2 + 1))) AS place, n FROM n),
+w AS (
+  SELECT place, n, place // n AS epoch, place % n AS x, 0 AS r FROM p
+  UNION ALL
+  SELECT place, n, epoch, CASE WHEN (c * c + b) % 2147483647 // 1024 % 2 = 1 THEN m ELSE x END, r + 1
+  FROM (SELECT *, (greatest(x, m) + a) % 2147483647 AS c FROM (SELECT w.*, a, b, (middle + n - x) % n AS m FROM w JOIN kk USING (epoch, r))))
+SELECT doc_id, place, epoch, place % n AS position, (row_number() OVER (ORDER BY place) - 1) // 16 AS number FROM w JOIN d ON d.row = w.x WHERE r = {feed.ROUNDS} AND doc_id % 7 <> 0""")
+def endless_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of half an epoch each, the last two by a second run; usable documents in numbered training batches."""
+    path = _new_path(spark, "feed")
+    docs = keyed.numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").withColumnRenamed("_place", "row")
+    size = docs.count() // 2 + 1
+    for until in (1, 3):
+        feed.run(docs, F.col("doc_id") % 7 != 0, path, size, until, 11)
+    fed = feed.training_batches(spark, path, 16)
+    return fed.where("batch < 3").select("doc_id", "place", "epoch", "position", "number")
+
+
 ANNOTATION_SQL = """WITH m AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS k FROM nation)
 """
 
