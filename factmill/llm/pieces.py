@@ -14,7 +14,7 @@ which it begins anew; what is in it doesn't change results.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -207,8 +207,12 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_col
     return docs.select(docs[id_column].alias("_id"), docs[text_column].alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
-def decode(encoded: DataFrame, model_path: str, ids_column: str = "ids") -> DataFrame:
-    """``encoded`` with a ``text`` behind its columns: what the library decodes from the ids; null ids give a null text."""
+def decode(encoded: DataFrame, model_path: str, ids_column: str = "ids", then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str | None = None) -> DataFrame:
+    """``encoded`` with a ``text`` behind its columns: what the library decodes from the ids; null ids give a null text.
+
+    ``then`` makes other rows, of ``schema``, of each batch in the same worker:
+    neither ids nor texts travel further than they have to.
+    """
     held = encoded.sparkSession.sparkContext.broadcast(_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +225,7 @@ def decode(encoded: DataFrame, model_path: str, ids_column: str = "ids") -> Data
                 texts = encoder.decode(column.flatten().to_numpy(zero_copy_only=False), offsets)
                 if column.null_count:
                     texts = pa.array([None if n else t for n, t in zip(column.is_null().to_pylist(), texts.to_pylist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "text"])
+                made = pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "text"])
+                yield then(made) if then else made
 
-    return encoded.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, text string")
+    return encoded.mapInArrow(run, schema or f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, text string")

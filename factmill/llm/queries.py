@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -85,18 +85,17 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     model_path = model_path or public_tokenizers.path("piece_bpe_32k.model")
-    decoded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), model_path), model_path)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, ids, text = batch.columns
-            sizes, flat = ids.value_lengths(), ids.flatten().to_numpy().astype("<u4", copy=False)
-            ends = np.cumsum(sizes.to_numpy())
-            hexes = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends - sizes.to_numpy(), ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([doc, sizes.cast(pa.int64()), pa.array(hexes, pa.string()), text], names=["doc_id", "n_tokens", "ids_sha256", "text"])
-
-    digests = decoded.mapInArrow(digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, text string")
-    return digests.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc, ids, text = batch.columns
+        sizes, flat = ids.value_lengths(), ids.flatten().to_numpy().astype("<u4", copy=False)
+        ends = np.cumsum(sizes.to_numpy())
+        of_ids = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends - sizes.to_numpy(), ends, strict=True)]
+        of_text = [hashlib.sha256(t.encode()).hexdigest() for t in text.to_pylist()]
+        return pa.RecordBatch.from_arrays([doc, sizes.cast(pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    encoded = pieces.encode(_table(spark, sf_dir, "documents"), model_path)
+    return pieces.decode(encoded, model_path, then=digest, schema="doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_top_k, op6_packing, op7_language_id, op8_license_scan, op9_nearest_neighbours, op10_lm_scoring, op11_periodic_runs, op12_importance_resampling, op13_sentencepiece)}
