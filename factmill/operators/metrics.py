@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .keyed import broadcast_if_small
 
 
 def accuracy_by_subset(scored: DataFrame, subset: str, ok: Column) -> DataFrame:
@@ -76,89 +77,125 @@ def _matched(least_iou: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return match
 
 
-def precision_recall(hits: DataFrame, truths: int, ranges: int = 16) -> DataFrame:
-    """Running precision and recall in the order of scores: ``place, precision, recall``.
+def precision_recall(hits: DataFrame, truths: DataFrame, ranges: int = 16) -> DataFrame:
+    """Running precision and recall of each group in the order of scores: ``group, place, precision, recall``.
 
-    ``hits``: ``score, image, seq, hit``.  Scores are cut into ranges and the
-    ranges' sums are added up first, so that no task sees all detections.
+    ``hits``: ``groups`` (those that a detection counts for), ``score, image,
+    seq, hit``; ``truths``: ``group, truths``, one row a group.  Scores are cut
+    into ranges once for all groups, and sums of a group's ranges are added up
+    first, so that no task sees all detections.
     """
     placed = hits.repartitionByRange(ranges, F.desc("score"), "image", "seq").sortWithinPartitions(F.desc("score"), "image", "seq")
-    placed = cut(placed.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)))
-    one = F.col("hit").cast("int")
-    sums = placed.groupBy("_part").agg(F.sum(one).alias("_tp"), F.count("*").alias("_n"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_part", F.coalesce(F.sum("_tp").over(earlier), F.lit(0)).alias("_tp0"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"))
-    inside = Window.partitionBy("_part").orderBy("_id")
-    run = placed.join(F.broadcast(sums), "_part").withColumn("place", F.col("_n0") + F.row_number().over(inside)).withColumn("_hits", F.col("_tp0") + F.sum(one).over(inside))
-    return run.select("place", (F.col("_hits") / F.col("place")).alias("precision"), (F.col("_hits") / F.lit(float(truths))).alias("recall"))
-
-
-def average_precision(hits: DataFrame, truths: int) -> DataFrame:
-    """A10: mean over 101 recall levels of the best precision at that recall or beyond.
+    placed = cut(placed.select("groups", F.col("hit").cast("int").alias("_one"), F.monotonically_increasing_id().alias("_id")))
+    placed = placed.select(F.explode("groups").alias("group"), "_one", "_id", F.shiftright("_id", 33).alias("_part"))
+    sums = placed.groupBy("group", "_part").agg(F.sum("_one").alias("_tp"), F.count("*").alias("_n"))
+    # a row for each group and range
+    earlier = Window.partitionBy("group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("group", "_part", F.coalesce(F.sum("_tp").over(earlier), F.lit(0)).alias("_tp0"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"))
+    inside = Window.partitionBy("group", "_part").orderBy("_id")
+    run = placed.withColumn("_nth", F.row_number().over(inside)).withColumn("_sum", F.sum("_one").over(inside))
+    run = run.join(sums, ["group", "_part"]).join(broadcast_if_small(truths), "group")
+    place, found = F.col("_n0") + F.col("_nth"), F.col("_tp0") + F.col("_sum")
+    return run.select("group", place.alias("place"), (found / place).alias("precision"), (found / F.col("truths").cast("double")).alias("recall"))
+
+
+def average_precisions(hits: DataFrame, truths: DataFrame) -> DataFrame:
+    """A10: ``group, ap`` for each group of ``truths``: the mean over 101 recall levels of the best precision at that recall or beyond.
 
     The best precision from a level on is the largest of all places with at
-    least that recall; 101 maxima need no sorted window over all places.
+    least that recall: 101 maxima a group, and no sorted window over all
+    places.  A group without truths or detections has 0.
     """
-    if truths == 0:
-        return hits.sparkSession.createDataFrame([(0.0,)], "ap double")
-    curve = precision_recall(hits, truths)
+    truths = cut(truths)
+    curve = precision_recall(hits, truths.where("truths > 0"))
     # a place counts for all levels up to its recall; only each level step's best matters
-    step = F.floor(F.col("recall") * 100 + F.lit(1e-9)).cast("int")
-    best = curve.groupBy(step.alias("step")).agg(F.max("precision").alias("precision"))
-    levels = hits.sparkSession.range(101).select(F.col("id").cast("int").alias("level"))
-    found = levels.join(F.broadcast(best), F.col("step") >= F.col("level"), "left").groupBy("level").agg(F.coalesce(F.max("precision"), F.lit(0.0)).alias("precision"))
-    return found.agg(F.avg("precision").alias("ap"))
+    step = F.least(F.floor(F.col("recall") * 100 + F.lit(1e-9)), F.lit(100)).cast("int")
+    best = curve.groupBy("group", step.alias("step")).agg(F.max("precision").alias("precision"))
+    steps = best.groupBy("group").agg(F.collect_list(F.struct("step", "precision")).alias("steps"))
+    level = lambda i: F.coalesce(F.array_max(F.transform(F.filter("steps", lambda s: s["step"] >= i), lambda s: s["precision"])), F.lit(0.0))
+    ap = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(100)), level), F.lit(0.0), lambda a, b: a + b) / 101
+    return truths.join(steps, "group", "left").select("group", F.coalesce(F.when(F.col("steps").isNotNull(), ap), F.lit(0.0)).alias("ap"))
+
+
+def average_precision(hits: DataFrame, truths: int) -> DataFrame:
+    """A10: ``ap`` of ``hits`` (``score, image, seq, hit``) as one group."""
+    one = hits.sparkSession.range(1).select(F.lit("all").alias("group"), F.lit(truths).cast("long").alias("truths"))
+    return average_precisions(hits.withColumn("groups", F.array(F.lit("all"))), one).select("ap")
 
 
 def grounding_report(answers: DataFrame, detections: DataFrame, truths: DataFrame, ok: Column, kinds: tuple[str, ...] = ("human", "machine", "pot"), least_iou: float = 0.5) -> DataFrame:
     """``kind, n, accuracy, ap`` of grounded answers, overall (null kind) and for each kind that has rows.
 
     ``answers``: ``image, kind`` and what ``ok`` looks at; ``detections`` and
-    ``truths`` as for ``match_detections``.
+    ``truths`` as for ``match_detections``.  All kinds' curves come from one
+    order of all detections.
     """
     known = answers.select("image", "kind").distinct()
-    hits = cut(match_detections(detections, truths, least_iou).join(known, "image"))
-    there = truths.join(known, "image").groupBy("kind").count().collect()  # one row a kind
-    count = {r["kind"]: r["count"] for r in there}
-    shares = accuracy_by_subset(answers, "kind", ok)
-    parts = [average_precision(hits, sum(count.values())).select(F.lit(None).cast("string").alias("_kind"), "ap")]
-    parts += [average_precision(hits.where(F.col("kind") == k), count[k]).select(F.lit(k).alias("_kind"), "ap") for k in kinds if count.get(k)]
-    ap = parts[0]
-    for part in parts[1:]:
-        ap = ap.unionByName(part)
-    return shares.where(F.col("overall") | F.col("kind").isin(*kinds)).join(ap, F.col("kind").eqNullSafe(F.col("_kind")), "left").select("kind", "n", "accuracy", F.coalesce("ap", F.lit(0.0)).alias("ap"))
-
-
-def bootstrap_interval(values: DataFrame, column: str, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0, id_columns: list[str] | None = None) -> DataFrame:
-    """Mean and percentile interval.
-
-    Each row gets a Poisson weight per resample (the limit of drawing with
-    replacement), so that every task adds up its own rows for all resamples
-    and only sums are shuffled.  Weights come from ``id_columns``, which tell
-    rows apart; without them from the values, numbered where they repeat.
+    # a detection counts overall and for its kind
+    groups = F.when(F.col("kind").isin(*kinds), F.array(F.lit("all"), F.concat(F.lit("="), "kind"))).otherwise(F.array(F.lit("all")))
+    hits = match_detections(detections, truths, least_iou).join(known, "image").withColumn("groups", groups)
+    there = truths.join(known, "image").select(F.explode(groups).alias("group")).groupBy("group").agg(F.count("*").alias("truths"))
+    ap = average_precisions(hits, there).select("group", "ap")
+    shares = accuracy_by_subset(answers, "kind", ok).where(F.col("overall") | F.col("kind").isin(*kinds))
+    own = F.when(F.col("overall"), F.lit("all")).otherwise(F.concat(F.lit("="), "kind"))
+    return shares.withColumn("group", own).join(ap, "group", "left").select("kind", "n", "accuracy", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+#: Values that are drawn together, about, and values of one number that are drawn as so many single ones.
+BLOCK, SINGLE = 4096, 16
+
+
+def resampled_sums(values: np.ndarray, counts: np.ndarray, resamples: int, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and sizes of ``resamples`` draws in which each value occurs Poisson(count) times.
+
+    Rare values are drawn together: as many as a Poisson number says, each of
+    them any of the rows.  That is the same as a Poisson number for each row,
+    and costs one number for each that is drawn.
     """
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = np.zeros(resamples), np.zeros(resamples)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
-            keys = batch.column(1).to_numpy()
-            for value, key in zip(x, keys, strict=True):
-                w = np.random.default_rng([seed, int(key) & (1 << 64) - 1]).poisson(1.0, resamples)
-                total += value * w
-                weight += w
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(total), pa.array(weight)], names=["i", "total", "weight"])
-
-    rows = values.where(F.col(column).isNotNull())
-    # equal rows are told apart by a number among them, so that the interval doesn't hang on partitions
-    content = F.xxhash64(*(id_columns or [column]))
-    nth = F.lit(0) if id_columns else F.row_number().over(Window.partitionBy(column).orderBy(F.lit(0)))
-    # drawing is dear and rows are narrow: every core gets some
-    rows = rows.select(F.col(column).cast("double"), F.xxhash64(content, nth)).repartition(values.sparkSession.sparkContext.defaultParallelism)
-    sums = rows.mapInArrow(draw, "i bigint, total double, weight double").groupBy("i").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("mean"))
+    random = np.random.Generator(np.random.Philox(seed))
+    often = counts > SINGLE
+    total, size = np.zeros(resamples), np.zeros(resamples)
+    for value, count in zip(values[often], counts[often], strict=True):
+        drawn = random.poisson(count, resamples)
+        total += value * drawn
+        size += drawn
+    rows = np.repeat(values[~often], counts[~often])
+    if len(rows):
+        n = random.poisson(len(rows), resamples)
+        step = max(1, (1 << 20) // len(rows))
+        for at in range(0, resamples, step):
+            own = n[at : at + step]
+            picked = np.append(rows[random.integers(0, len(rows), int(own.sum()), dtype=np.int32)], 0.0)
+            sums = np.add.reduceat(picked, np.cumsum(own) - own)
+            total[at : at + step] += np.where(own > 0, sums, 0.0)
+        size += n
+    return total, size
+
+
+def bootstrap_interval(values: DataFrame, column: str, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Mean and percentile interval; nulls don't count, without values all three are null.
+
+    Each row occurs a Poisson number of times in a resample (the limit of
+    drawing with replacement).  Equal values are counted first, and a value
+    that occurs often takes one draw a resample for all its rows.  Distinct
+    values are dealt to blocks by their hash, each with numbers of its own, so
+    that the interval doesn't hang on partitions; tasks add up their blocks
+    and only sums are shuffled.
+    """
+    rows = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("count"))
+    rows = cut(rows)
+    blocks = max(1, -(-rows.count() // BLOCK))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks)))
+
+    def draw(table: pa.Table) -> pa.Table:
+        table = table.sort_by("value")
+        total, size = resampled_sums(table.column("value").to_numpy(), table.column("count").to_numpy(), resamples, [seed, table.column("block")[0].as_py()])
+        return pa.table({"i": np.arange(resamples), "total": total, "size": size})
+
+    sums = rows.groupBy("block").applyInArrow(draw, "i bigint, total double, size double").groupBy("i").agg((F.sum("total") / F.nullif(F.sum("size"), F.lit(0.0))).alias("mean"))
     bounds = sums.agg(F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("b"))
-    return bounds.crossJoin(values.agg(F.avg(column).alias("mean"))).select("mean", F.get("b", 0).alias("low"), F.get("b", 1).alias("high"))
+    mean = rows.agg((F.sum(F.col("value") * F.col("count")) / F.sum("count")).alias("mean"))
+    return bounds.crossJoin(mean).select("mean", F.get("b", 0).alias("low"), F.get("b", 1).alias("high"))
 
 
 def weighted_loss(chunks: DataFrame) -> DataFrame:

@@ -59,21 +59,84 @@ def split_by_usability(records: DataFrame, stage1: Column, stage2: Column) -> tu
     return flagged.where("_one").drop("_one", "_two"), flagged.where("_two").drop("_one", "_two")
 
 
-def _sampled(records: DataFrame, strata: list[str], quotas: DataFrame, seed: int, id_column: str, flag: str, most: int | None = None) -> DataFrame:
-    """Rows with ``flag``: whether they are within their stratum's quota in random order.
+#: Quotas up to which Spark cuts a window off before its shuffle (its own default).
+GROUP_LIMIT = 1000
+#: Rows of a stratum among which the last one within its quota is looked for by order; more are counted by prefixes of their keys first.
+FEW_ROWS = 4096
+#: Digits of a key by which a prefix grows.
+DIGITS = 3
 
-    ``most``, the largest quota where only rows within it are wanted, is a
-    limit that Spark applies before the shuffle.
+
+def _same(records: DataFrame, table: DataFrame, strata: list[str]) -> Column:
+    same = F.lit(True)
+    for c in strata:
+        same = same & records[c].eqNullSafe(table[f"_{c}"])
+    return same
+
+
+def _sampled(records: DataFrame, strata: list[str], counts: dict, quotas: dict, seed: int, id_column: str) -> DataFrame:
+    """The rows within their stratum's quota in random order.
+
+    Small quotas are a limit that Spark applies before the shuffle.
     """
+    most = max(quotas.values(), default=0)
+    if most > GROUP_LIMIT:
+        return _within(records, strata, counts, quotas, seed, id_column, "_in").where("_in").drop("_in")
     order = Window.partitionBy(*strata).orderBy(shuffled(seed, id_column), id_column)
-    joined = records.withColumn("_nth", F.row_number().over(order))
-    if most is not None:
-        joined = joined.where(F.col("_nth") <= most)
-    on = [records[c].eqNullSafe(quotas[f"_{c}"]) for c in strata]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    return joined.join(F.broadcast(quotas), condition, "left").withColumn(flag, F.col("_nth") <= F.coalesce("_quota", F.lit(0))).drop("_nth", "_quota", *[f"_{c}" for c in strata])
+    first = records.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most)
+    table = _table(records, strata, quotas)
+    return first.join(F.broadcast(table), _same(first, table, strata)).where("_nth <= _quota").drop("_nth", "_quota", *[f"_{c}" for c in strata])
+
+
+def _within(records: DataFrame, strata: list[str], counts: dict, quotas: dict, seed: int, id_column: str, flag: str) -> DataFrame:
+    """All rows with ``flag``: whether they are within their stratum's quota in random order.
+
+    Keys are hashes, so a stratum's rows are counted by the first digits of
+    theirs, then, within the prefix that the quota ends in, by the next ones,
+    until few rows share a prefix.  The last row's key and id are the
+    stratum's threshold, and comparing with it is all that rows have to go
+    through: no stratum is sorted.  One row a stratum comes to the driver.
+    """
+    spark, key = records.sparkSession, F.coalesce(shuffled(seed, id_column), F.lit(""))
+    narrow = records.select(*strata, F.col(id_column).alias("_id"), key.alias("_key"))
+    fields = ", ".join(f"_{c} {records.schema[c].dataType.simpleString()}" for c in strata)
+    levels = list(quotas)
+    # prefix, rows that are left to take from it, rows that it has
+    at = {i: ["", min(quotas[k], counts[k]), counts[k]] for i, k in enumerate(levels) if 0 < quotas[k] < counts[k]}
+
+    def found(which: list[int]) -> DataFrame:
+        table = spark.createDataFrame([(*levels[i], i, *at[i][:2]) for i in which], f"{fields}, _s int, _prefix string, _rest long")
+        return narrow.join(F.broadcast(table), _same(narrow, table, strata) & F.startswith("_key", "_prefix"))
+
+    while wide := [i for i, (prefix, _, rows) in at.items() if rows > FEW_ROWS and len(prefix) < 64]:
+        bins = found(wide).groupBy("_s", "_rest", F.expr(f"substring(_key, 1, length(_prefix) + {DIGITS})").alias("_bin")).agg(F.count("*").alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy("_s").orderBy("_bin")) - F.col("_n")
+        last = bins.withColumn("_before", before).where((F.col("_before") < F.col("_rest")) & (F.col("_rest") <= F.col("_before") + F.col("_n")))
+        for r in last.collect():
+            at[r["_s"]] = [r["_bin"], r["_rest"] - r["_before"], r["_n"]]
+    ends = []
+    if at:
+        # rows with one key and id are one candidate with a count
+        single = found(list(at)).groupBy("_s", "_rest", "_key", "_id").agg(F.count("*").alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy("_s").orderBy("_key", "_id")) - F.col("_n")
+        last = single.withColumn("_before", before).where((F.col("_before") < F.col("_rest")) & (F.col("_rest") <= F.col("_before") + F.col("_n")))
+        ends = [(*levels[r["_s"]], r["_key"], r["_id"], r["_rest"] - r["_before"], r["_n"]) for r in last.collect()]
+    kind = records.schema[id_column].dataType.simpleString()
+    # a key is hexadecimal: anything is before the end of a stratum that is taken whole
+    ends += [(*k, "~", None, 1, 1) for k in levels if quotas[k] >= counts[k] > 0]
+    table = spark.createDataFrame(ends, f"{fields}, _end string, _last {kind}, _take long, _equal long")
+    joined = records.withColumn("_key", key).join(F.broadcast(table), _same(records, table, strata), "left")
+    row, end = F.struct("_key", F.col(id_column).alias("_id")), F.struct(F.col("_end").alias("_key"), F.col("_last").alias("_id"))
+    inside = F.col("_end").isNotNull() & ((row < end) | ((row == end) & (F.col("_take") == F.col("_equal"))))
+    marked = joined.withColumn(flag, F.coalesce(inside, F.lit(False)))
+    gone = ["_key", "_end", "_last", "_take", "_equal", *[f"_{c}" for c in strata]]
+    if not any(take < equal for *_, take, equal in ends):
+        return marked.drop(*gone)
+    # of rows that repeat the last id, only some are taken: these alone are numbered
+    repeats = F.coalesce((row == end) & (F.col("_take") < F.col("_equal")), F.lit(False))
+    nth = F.row_number().over(Window.partitionBy(*strata).orderBy(F.xxhash64(*records.columns)))
+    some = joined.where(repeats).withColumn(flag, nth <= F.col("_take"))
+    return marked.where(~repeats).drop(*gone).unionByName(some.drop(*gone))
 
 
 def balanced_quotas(available: dict, total: int) -> dict:
@@ -127,14 +190,15 @@ def _counts(records: DataFrame, strata: list[str]) -> dict:
 
 def balance_by_level(records: DataFrame, level: str, total: int, seed: int, id_column: str) -> DataFrame:
     """``total`` rows with levels as even as they can be."""
-    quotas = balanced_quotas({k[0]: n for k, n in _counts(records, [level]).items()}, total)
-    return _sampled(records, [level], _table(records, [level], {(k,): n for k, n in quotas.items()}), seed, id_column, "_in", max(quotas.values(), default=0)).where("_in").drop("_in")
+    counts = _counts(records, [level])
+    quotas = balanced_quotas({k[0]: n for k, n in counts.items()}, total)
+    return _sampled(records, [level], counts, {(k,): n for k, n in quotas.items()}, seed, id_column)
 
 
 def stratified_holdout(records: DataFrame, strata: list[str], size: int, seed: int, id_column: str) -> DataFrame:
     """All rows with ``held``: whether they are in the proportional sample of ``size``."""
-    quotas = holdout_quotas(_counts(records, strata), size)
-    return _sampled(records, strata, _table(records, strata, quotas), seed, id_column, "held")
+    counts = _counts(records, strata)
+    return _within(records, strata, counts, holdout_quotas(counts, size), seed, id_column, "held")
 
 
 def sample_per_kind(records: DataFrame, kind: str, most: int, seed: int, id_column: str) -> DataFrame:
@@ -146,8 +210,9 @@ def sample_per_kind(records: DataFrame, kind: str, most: int, seed: int, id_colu
 def reservoir_sample(records: DataFrame, kinds: list[str], kind: str, n: int, seed: int, id_column: str) -> DataFrame:
     """``n`` rows over the named kinds, the first ones taking the remainder."""
     base, rest = divmod(n, len(kinds))
+    counts = _counts(records, [kind])
     quotas = {(k,): base + (i < rest) for i, k in enumerate(kinds)}
-    return _sampled(records, [kind], _table(records, [kind], quotas), seed, id_column, "_in", max(quotas.values(), default=0)).where("_in").drop("_in")
+    return _sampled(records, [kind], {k: counts.get(k, 0) for k in quotas}, quotas, seed, id_column)
 
 
 def curriculum(synthetic: DataFrame, real: DataFrame, cap: int) -> DataFrame:

@@ -487,7 +487,7 @@ def detection_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean order price and its interval."""
-    return metrics.bootstrap_interval(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", id_columns=["o_orderkey"])
+    return metrics.bootstrap_interval(table(spark, sf_dir, "orders"), "o_totalprice")
 
 
 # --- samples and mixtures of documents

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 
 import numpy as np
@@ -105,13 +106,56 @@ def test_interval(spark):
     random_ = np.random.default_rng(5)
     values = random_.normal(10, 3, 400)
     table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, x double")
-    got = [metrics.bootstrap_interval(table.repartition(n), "x", resamples=2000, id_columns=["i"]).first() for n in (2, 5)]
+    got = [metrics.bootstrap_interval(table.repartition(n), "x", resamples=2000).first() for n in (2, 5)]
     assert got[0]["low"] == pytest.approx(got[1]["low"], rel=1e-9) and got[0]["high"] == pytest.approx(got[1]["high"], rel=1e-9)
     means = random_.choice(values, (2000, 400)).mean(1)
     assert got[0]["mean"] == pytest.approx(values.mean())
     assert [got[0]["low"], got[0]["high"]] == pytest.approx(np.percentile(means, [2.5, 97.5]), abs=0.06)
 
 
+def test_intervals_of_few_and_of_many_values(spark, monkeypatch):
+    """Zeros and ones are two rows, drawn once for all that are equal; blocks, and no values at all."""
+    random_ = np.random.default_rng(6)
+    ones = spark.range(3000).select((F.col("id") % 10 == 0).cast("int").alias("x"))
+    got = metrics.bootstrap_interval(ones.unionByName(spark.range(50).select(F.lit(None).cast("int").alias("x"))), "x", resamples=4000).first()
+    means = random_.binomial(3000, 0.1, 4000) / 3000
+    assert got["mean"] == pytest.approx(0.1) and [got["low"], got["high"]] == pytest.approx(np.percentile(means, [2.5, 97.5]), abs=0.0015)
+    monkeypatch.setattr(metrics, "BLOCK", 50)
+    values = np.repeat(random_.normal(10, 3, 600), random_.integers(1, 40, 600))
+    got = metrics.bootstrap_interval(spark.createDataFrame([(float(v),) for v in values], "x double"), "x", resamples=2000, alpha=0.1).first()
+    means = random_.choice(values, (2000, len(values))).mean(1)
+    assert got["mean"] == pytest.approx(values.mean()) and [got["low"], got["high"]] == pytest.approx(np.percentile(means, [5, 95]), abs=0.02)
+    assert tuple(metrics.bootstrap_interval(ones.where("x > 1"), "x", resamples=10).first()) == (None, None, None)
+
+
+def test_drawn_sums():
+    """Single rows drawn together, and values of a count drawn by it, have the mean and spread of one Poisson number for each row."""
+    for counts in (np.ones(50, np.int64), np.full(50, 100), np.array([1, 30] * 25)):
+        values = np.linspace(-1, 3, 50)
+        total, size = metrics.resampled_sums(values, counts, 20_000, [1, 2])
+        n = counts.sum()
+        assert size.mean() == pytest.approx(n, rel=0.02) and size.var() == pytest.approx(n, rel=0.05)
+        assert total.mean() == pytest.approx((values * counts).sum(), rel=0.03) and total.var() == pytest.approx((values**2 * counts).sum(), rel=0.05)
+
+
+def test_average_precisions_of_groups(spark):
+    """Each group's mean of best precisions, by definition; ties, a group without detections, one without truths."""
+    r = random.Random(8)
+    hits = [([g for g in ("all", "a", "b") if g == "all" or r.random() < 0.5], r.choice([0.1, 0.2, 0.5, r.random()]), r.randrange(20), i, r.random() < 0.6) for i in range(150)]
+    truths = {"all": 120, "a": 40, "b": 200, "none": 5, "no truths": 0}
+    want = {}
+    for group, n in truths.items():
+        own = sorted((h for h in hits if group in h[0]), key=lambda h: (-h[1], h[2], h[3]))
+        curve, found = [], 0
+        for place, h in enumerate(own, 1):
+            found += h[4]
+            curve.append((found / n, found / place))
+        want[group] = sum(max([p for x, p in curve if math.floor(x * 100 + 1e-9) >= level], default=0.0) for level in range(101)) / 101
+    table = spark.createDataFrame(hits, "groups array<string>, score double, image long, seq long, hit boolean").repartition(4)
+    got = metrics.average_precisions(table, spark.createDataFrame(list(truths.items()), "group string, truths long"))
+    assert {g["group"]: pytest.approx(g["ap"]) for g in got.collect()} == want
+
+
 def test_places_with_ties(spark):
     """Dense, in order, and the same in every run, though most rows share a value."""
     rows = [(1 if i % 5 else i, i) for i in range(500)]
