@@ -48,31 +48,51 @@ def match_detections(detections: DataFrame, truths: DataFrame, least_iou: float
     return best.join(there, "image", "left").mapInArrow(_matched(least_iou), f"image {kind}, seq bigint, score double, hit boolean")
 
 
+def _boxes(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Structs of a batch's lists, their boxes, and how many each row has."""
+    structs = lists.flatten()
+    boxes = structs.field("bbox").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 4)
+    return structs, boxes, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of boxes, pair by pair; -1 where both are empty."""
+    inter = np.prod(np.clip(np.minimum(a[:, 2:], b[:, 2:]) - np.maximum(a[:, :2], b[:, :2]), 0, None), axis=1)
+    union = np.prod(a[:, 2:] - a[:, :2], axis=1) + np.prod(b[:, 2:] - b[:, :2], axis=1) - inter
+    return np.where(union > 0, inter / np.where(union > 0, union, 1), -1.0)
+
+
+def greedy_hits(found: np.ndarray, n_found: np.ndarray, there: np.ndarray, n_there: np.ndarray, least_iou: float) -> np.ndarray:
+    """Which detections find a free truth, in their order; all images' first ones at once, then all second ones, and so on."""
+    hits, free = np.zeros(len(found), dtype=bool), np.ones(len(there), dtype=bool)
+    first_found, first_there = np.cumsum(n_found) - n_found, np.cumsum(n_there) - n_there
+    for k in range(int(n_found.max(initial=0))):
+        images = np.flatnonzero((n_found > k) & (n_there > 0))
+        sizes, edges = n_there[images], np.cumsum(n_there[images]) - n_there[images]
+        pair = np.repeat(first_there[images] - edges, sizes) + np.arange(int(sizes.sum()))
+        mine = first_found[images] + k
+        overlap = np.where(free[pair], _overlaps(np.repeat(found[mine], sizes, axis=0), there[pair]), -1.0)
+        if not len(overlap):
+            continue
+        best = np.maximum.reduceat(overlap, edges)
+        # of equal overlaps the later truth
+        last = np.maximum.reduceat(np.where(overlap == np.repeat(best, sizes), pair, -1), edges)
+        hit = best >= least_iou
+        hits[mine[hit]] = True
+        free[last[hit]] = False
+    return hits
+
+
 def _matched(least_iou: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Greedy matches of batches of images, each with its sorted lists ``found`` and ``there``."""
-    def overlaps(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
-        sides = np.minimum(boxes[:, 2:], box[2:]) - np.maximum(boxes[:, :2], box[:2])
-        inter = np.prod(np.clip(sides, 0, None), axis=1)
-        union = np.prod(box[2:] - box[:2]) + np.prod(boxes[:, 2:] - boxes[:, :2], axis=1) - inter
-        return np.where(union > 0, inter / np.where(union > 0, union, 1), -1.0)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            images, rows = batch.column(batch.schema.get_field_index("image")), []
-            lists = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("found", "there")]
-            for i, (found, there) in enumerate(zip(*lists, strict=True)):
-                boxes = np.array([t["bbox"] for t in there or ()], float).reshape(-1, 4)
-                free = np.ones(len(boxes), dtype=bool)
-                for d in found:
-                    overlap = np.where(free, overlaps(np.array(d["bbox"], float), boxes), -1.0)
-                    # of equal overlaps the later truth
-                    top = len(overlap) - 1 - int(np.argmax(overlap[::-1])) if len(overlap) else -1
-                    hit = top >= 0 and overlap[top] >= least_iou
-                    if hit:
-                        free[top] = False
-                    rows.append((i, d["seq"], d["score"], bool(hit)))
-            of, seq, score, hits = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([images.take(pa.array(of, pa.int64())), pa.array(seq, pa.int64()), pa.array(score, pa.float64()), pa.array(hits, pa.bool_())], names=["image", "seq", "score", "hit"])
+            structs, found, n_found = _boxes(batch.column(batch.schema.get_field_index("found")))
+            _, there, n_there = _boxes(batch.column(batch.schema.get_field_index("there")))
+            hits = greedy_hits(found, n_found, there, n_there, least_iou)
+            images = batch.column(batch.schema.get_field_index("image")).take(pa.array(np.repeat(np.arange(batch.num_rows), n_found)))
+            yield pa.RecordBatch.from_arrays([images, structs.field("seq").cast(pa.int64()), structs.field("score").cast(pa.float64()), pa.array(hits)], names=["image", "seq", "score", "hit"])
 
     return match
 
@@ -133,7 +153,8 @@ def grounding_report(answers: DataFrame, detections: DataFrame, truths: DataFram
     known = answers.select("image", "kind").distinct()
     # a detection counts overall and for its kind
     groups = F.when(F.col("kind").isin(*kinds), F.array(F.lit("all"), F.concat(F.lit("="), "kind"))).otherwise(F.array(F.lit("all")))
-    hits = match_detections(detections, truths, least_iou).join(known, "image").withColumn("groups", groups)
+    # a range sort reads its input twice
+    hits = cut(match_detections(detections, truths, least_iou).join(known, "image").withColumn("groups", groups))
     there = truths.join(known, "image").select(F.explode(groups).alias("group")).groupBy("group").agg(F.count("*").alias("truths"))
     ap = average_precisions(hits, there).select("group", "ap")
     shares = accuracy_by_subset(answers, "kind", ok).where(F.col("overall") | F.col("kind").isin(*kinds))
@@ -152,7 +173,7 @@ def resampled_sums(values: np.ndarray, counts: np.ndarray, resamples: int, seed:
     them any of the rows.  That is the same as a Poisson number for each row,
     and costs one number for each that is drawn.
     """
-    random = np.random.Generator(np.random.Philox(seed))
+    random = np.random.Generator(np.random.SFC64(seed))
     often = counts > SINGLE
     total, size = np.zeros(resamples), np.zeros(resamples)
     for value, count in zip(values[often], counts[often], strict=True):
@@ -162,10 +183,10 @@ def resampled_sums(values: np.ndarray, counts: np.ndarray, resamples: int, seed:
     rows = np.repeat(values[~often], counts[~often])
     if len(rows):
         n = random.poisson(len(rows), resamples)
-        step = max(1, (1 << 20) // len(rows))
+        step = max(1, (1 << 17) // len(rows))
         for at in range(0, resamples, step):
             own = n[at : at + step]
-            picked = np.append(rows[random.integers(0, len(rows), int(own.sum()), dtype=np.int32)], 0.0)
+            picked = np.append(rows[random.integers(0, len(rows), int(own.sum()), dtype=np.uint16 if len(rows) <= 1 << 16 else np.uint32)], 0.0)
             sums = np.add.reduceat(picked, np.cumsum(own) - own)
             total[at : at + step] += np.where(own > 0, sums, 0.0)
         size += n
@@ -192,7 +213,9 @@ def bootstrap_interval(values: DataFrame, column: str, resamples: int = 10_000,
         total, size = resampled_sums(table.column("value").to_numpy(), table.column("count").to_numpy(), resamples, [seed, table.column("block")[0].as_py()])
         return pa.table({"i": np.arange(resamples), "total": total, "size": size})
 
-    sums = rows.groupBy("block").applyInArrow(draw, "i bigint, total double, size double").groupBy("i").agg((F.sum("total") / F.nullif(F.sum("size"), F.lit(0.0))).alias("mean"))
+    # blocks are few rows but much work: they aren't put together by size
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = rows.repartition(min(blocks, tasks), "block").groupBy("block").applyInArrow(draw, "i bigint, total double, size double").groupBy("i").agg((F.sum("total") / F.nullif(F.sum("size"), F.lit(0.0))).alias("mean"))
     bounds = sums.agg(F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("b"))
     mean = rows.agg((F.sum(F.col("value") * F.col("count")) / F.sum("count")).alias("mean"))
     return bounds.crossJoin(mean).select("mean", F.get("b", 0).alias("low"), F.get("b", 1).alias("high"))
