@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, Counts, count_sorted, crc_of, cut, hash_words, mix, text_slices, word_bounds
+from .shared import LOWER, SLICE_BYTES, Counts, count_sorted, crc_of, cut, hash_words, mix, text_slices, word_bounds, word_pieces
 
 #: With the next byte at most 8 bytes, the key of an n-gram.
 MAX_ORDER = 5
@@ -66,24 +66,43 @@ def gram_codes(spread: np.ndarray, ask: np.ndarray, order: int) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch], order: int, mod: int, held_out: int) -> Iterator[pa.RecordBatch]:
-    words, grams, asked = Counts(), Counts(), Counts()
+    held = [Counts(), Counts(), Counts()]
+
+    def rows(kind: int, found: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        keys, counts = found or ((), ())
+        for at in range(0, len(keys), 1 << 17):
+            k, n = keys[at : at + (1 << 17)], counts[at : at + (1 << 17)]
+            k, n = k[n > 0], n[n > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
+
     for part in text_slices(batches):
         train = crc_of(part.column("doc_id").to_pylist()) % mod != held_out
-        starts, ends, per_row = word_bounds(part.data, part.offsets)
-        use = np.repeat(train, per_row)
-        words.add(*count_sorted(hash_words(LOWER[part.data], starts[use], ends[use])))
-        words.add(np.array([END_TOKEN]), np.array([int(train.sum())], np.int64))
-        spread, ask, bounds = padded(part.data, part.offsets, order)
-        code = gram_codes(spread, ask, order)
-        use = np.repeat(train, np.diff(bounds))
-        grams.add(*count_sorted(code[use]))
-        asked.add(*count_sorted(code[~use]))
-    for kind, held in ((0, words), (1, grams), (2, asked)):
-        keys, counts = held.merged()
-        keys, counts = keys[counts > 0], counts[counts > 0]
-        for at in range(0, len(keys), 1 << 17):
-            k = keys[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(counts[at : at + (1 << 17)])], names=["kind", "key", "n"])
+        for data, offsets in word_pieces(part.data, part.offsets):
+            starts, ends, per_row = word_bounds(data, offsets)
+            use = np.repeat(train, per_row)
+            yield from rows(0, held[0].add(*count_sorted(hash_words(LOWER[data], starts[use], ends[use]))))
+        yield from rows(0, held[0].add(np.array([END_TOKEN]), np.array([int(train.sum())], np.int64)))
+        for code, counts in _gram_pieces(part.data, part.offsets, order):
+            use = np.repeat(train, counts)
+            yield from rows(1, held[1].add(*count_sorted(code[use])))
+            yield from rows(2, held[2].add(*count_sorted(code[~use])))
+    for kind in range(3):
+        yield from rows(kind, held[kind].drained())
+
+
+def _gram_pieces(data: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """N-grams of a slice and how many each row has; of one long text piece by piece."""
+    if len(offsets) > 2 or len(data) <= 2 * SLICE_BYTES:
+        spread, ask, bounds = padded(data, offsets, order)
+        yield gram_codes(spread, ask, order), np.diff(bounds)
+        return
+    for at in range(0, len(data), SLICE_BYTES):
+        end = min(at + SLICE_BYTES, len(data))
+        # the bytes before a piece are its first ones' context; the closing edge belongs to the last one
+        before = LOWER[data[max(at - order, 0) : at]]
+        edges = np.full(order - len(before), EDGE, np.uint8), np.full(int(end == len(data)), EDGE, np.uint8)
+        spread = np.concatenate((edges[0], before, LOWER[data[at:end]], edges[1]))
+        yield gram_codes(spread, np.arange(order, len(spread)), order), np.array([len(spread) - order])
 
 
 class Trie:

@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int | None = 3, held_out: int =
         chosen.append(np.resize(own, min(fit_rows, max((y == 0).sum(), (y == 1).sum()))))
     chosen = np.concatenate(chosen)
     column = sample.column("text")
-    texts = {i: column[i].as_py().encode() for i in np.unique(chosen).tolist()}
+    texts = {i: column[i].as_py() for i in np.unique(chosen).tolist()}
     del sample, column
     return train([texts[i] for i in chosen.tolist()], y[chosen])
 

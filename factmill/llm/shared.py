@@ -74,14 +74,26 @@ def bounded_sample(rows: DataFrame, id_column: str, most: int, seed: int) -> Dat
 
 
 def excerpt(text: str, most: int, pieces: int = 8) -> Column:
-    """A text of at most ``most`` bytes whole, of a longer one ``pieces`` excerpts from all over it, of as many bytes together, about.
+    """Bytes of a text of at most ``most`` bytes, of a longer one ``most`` bytes from all over it: as many pieces of one size, blanks between.
 
     For fitting only: long texts stay in the sample, and it stays bounded.
+    Just above the bound pieces overlap, so that next to nothing is lost.
     """
-    size = most // pieces // 4
-    step = F.floor((F.length(text) - size) / F.lit(pieces - 1)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(F.col(text), i * step + 1, F.lit(size)))
-    return F.when(F.octet_length(text) <= most, F.col(text)).otherwise(F.array_join(parts, " "))
+    data, n = F.col(text).cast("binary"), F.octet_length(text)
+    size = (most - pieces + 1) // pieces
+    parts = []
+    for i in range(pieces):
+        start = F.floor((n - size) * F.lit(i) / F.lit(pieces - 1)).cast("int")
+        parts += [F.substring(data, start + 1, F.lit(size)), F.lit(b" ")]
+    return F.when(n <= most, data).otherwise(F.concat(*parts[:-1]))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def one_text(rows: DataFrame, *kept: str) -> DataFrame:
@@ -136,6 +148,22 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NON
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
+def word_pieces(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NON_SPACE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Data and offsets of a slice; of one long text piece by piece, each of whole words."""
+    if len(offsets) > 2 or len(data) <= 2 * SLICE_BYTES:
+        yield data, offsets
+        return
+    at = 0
+    while at < len(data):
+        end = min(at + SLICE_BYTES, len(data))
+        # up to the end of the word that the piece would cut
+        while end < len(data) and is_word[data[end]] and is_word[data[end - 1]]:
+            outside = np.flatnonzero(~is_word[data[end : end + SLICE_BYTES]])
+            end = end + int(outside[0]) if len(outside) else min(end + SLICE_BYTES, len(data))
+        yield data[at:end], np.array([0, end - at])
+        at = end
+
+
 def long_word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NON_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same as ``word_bounds``; a slice of one long text is looked at in stretches."""
     if len(offsets) > 2 or len(data) <= 2 * SLICE_BYTES:
@@ -248,18 +276,26 @@ def count_sorted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple
 
 
 class Counts:
-    """Counts of 64-bit keys within one task, merged now and then."""
+    """Counts of 64-bit keys within one task, up to a number of keys: what is beyond is handed on, to be added up by whom it may concern."""
 
-    def __init__(self, most: int = 1 << 21):
+    def __init__(self, most: int = 1 << 20):
         self.most, self.held, self.parts = most, 0, []
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Take in counts; those of all keys so far, if that are too many to hold."""
         self.parts.append((keys, counts))
         self.held += len(keys)
-        if self.held > self.most:
-            self.parts = [self.merged()]
-            self.held = len(self.parts[0][0])
-            self.most = max(self.most, 2 * self.held)
+        if self.held <= 2 * self.most:
+            return None
+        self.parts = [self.merged()]
+        self.held = len(self.parts[0][0])
+        return self.drained() if self.held > self.most else None
+
+    def drained(self) -> tuple[np.ndarray, np.ndarray]:
+        """All counts; none are left."""
+        out = self.merged()
+        self.parts, self.held = [], 0
+        return out
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
