@@ -18,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, bounded_sample, crc_mod, crc_of, excerpt, hash_words, one_text, text_slices, word_bounds
+from .shared import LOWER, bounded_sample, crc_mod, crc_of, hash_words, lists, one_text, text_slices, word_bounds, word_pieces
 
-#: Labelled rows of either value of the last category that are fitted on, at most, and bytes of each; of longer texts excerpts are taken.
+#: Labelled rows of either value of the last category that are fitted on, at most; their texts are read whole.
 FIT_ROWS = 2000
-FIT_BYTES = 1 << 15
 FEATURES = 1024
 _SPACE_BITS = 20
 _PREFIXES = (4, 5, 6)
@@ -36,10 +36,22 @@ CATEGORIES = [*KINDS, "toxic"]
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[0x61:0x7B] = _WORD[0x80:] = True
+_LETTERS = _WORD[LOWER]
 
 
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and word beginnings, and their rows; a word is letters, lower-cased."""
+    """Hashed words and word beginnings, and their rows; a word is letters, lower-cased.
+
+    One long text is taken piece by piece and gives each feature once.
+    """
+    pieces = [_piece_features(*piece) for piece in word_pieces(data, offsets, _LETTERS)]
+    if len(pieces) == 1:
+        return pieces[0]
+    keys = np.unique(np.concatenate([np.unique(keys) for keys, _ in pieces]))
+    return keys, np.zeros(len(keys), np.int64)
+
+
+def _piece_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[data]
     starts, ends, count = word_bounds(low, offsets, _WORD)
     rows = np.repeat(np.arange(len(count)), count)
@@ -97,18 +109,11 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 1
 
 
 class Sample:
-    """Rows and features of the texts that are fitted on: sorted pairs, each once."""
-
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
-        pairs, self.n = [], 0
-        for data, offsets in parts:
-            keys, rows = word_features(data, offsets)
-            pairs.append(np.unique((rows + self.n) << _SPACE_BITS | keys))
-            self.n += len(offsets) - 1
-        pairs = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
-        # half as wide: they are held while the chain is fitted
-        self.rows, self.keys = (pairs >> _SPACE_BITS).astype(np.int32), (pairs & ((1 << _SPACE_BITS) - 1)).astype(np.int32)
-        self.known = np.unique(self.keys)
+    """Rows and features of the texts that are fitted on: pairs, each once, by row."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.n, self.rows, self.keys = len(counts), np.repeat(np.arange(len(counts), dtype=np.int32), counts), keys
+        self.known = np.unique(keys)
 
     def telling(self, y: np.ndarray, use: np.ndarray, most: int) -> np.ndarray:
         """Up to ``most`` features that tell the positives among the rows ``use`` best, the most telling first.
@@ -137,6 +142,13 @@ class Sample:
         return x
 
 
+def distinct_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's features, each once, one text after the other, and how many it has."""
+    keys, rows = word_features(data, offsets)
+    pairs = np.unique(rows << _SPACE_BITS | keys)
+    return (pairs & ((1 << _SPACE_BITS) - 1)).astype(np.int32), np.bincount(pairs >> _SPACE_BITS, minlength=len(offsets) - 1)
+
+
 def slots(columns: np.ndarray) -> np.ndarray:
     """The column of each feature, or -1."""
     slot = np.full(1 << _SPACE_BITS, -1, np.int32)
@@ -220,19 +232,31 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: list[str] | None =
         known = known.where(crc_mod("doc_id", mod) != held_out)
     ids = [bounded_sample(known.where(F.col("toxic") == t), "doc_id", FIT_ROWS, 19 + t) for t in (0, 1)]
     rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
-    return one_text(rows.select("doc_id", excerpt("text", FIT_BYTES).alias("text"), *columns), *columns)
+    return one_text(rows.select("doc_id", "text", *columns), *columns)
 
 
 def fit(sample: DataFrame, categories: list[str] | None = None) -> Chain | None:
     """Fit on rows with a ``text`` and a 0/1 column for each category; None without rows.
 
-    Without ``categories`` there is ``toxic`` alone, and kinds of toxic texts come before it.
+    Without ``categories`` there is ``toxic`` alone, and kinds of toxic texts
+    come before it.  Texts stay where they are: what comes to the driver are
+    the distinct features of each, a number of four bytes for each of them.
     """
-    rows = sample.select("doc_id", "text", *(categories or ["toxic"])).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    names = categories or ["toxic"]
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            keys, counts = distinct_features(part.data, part.offsets)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists(keys, counts), *(part.column(c).cast(pa.float32()) for c in names)], names=["doc_id", "features", *names])
+
+    found = sample.select("doc_id", "text", *names).mapInArrow(features, f"doc_id bigint, features array<int>, {', '.join(f'`{c}` float' for c in names)}")
+    rows = found.toArrow()
     if not rows.num_rows:
         return None
-    texts = Sample([(p.data, p.offsets) for p in text_slices(iter(rows.to_batches()))])
-    y = np.stack([np.array(rows.column(c).to_pylist(), np.float32) for c in (categories or ["toxic"])], axis=1)
+    rows = rows.take(pc.sort_indices(rows.column("doc_id"))).combine_chunks()
+    column = rows.column("features").combine_chunks()
+    texts = Sample(column.flatten().to_numpy(), column.value_lengths().to_numpy())
+    y = np.stack([rows.column(c).to_numpy() for c in names], axis=1)
     if not categories:
         y = np.concatenate((kinds(texts, y[:, 0], len(KINDS)), y), axis=1)
     return train(texts, y, categories or CATEGORIES)
