@@ -15,13 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SLICE_BYTES, crc_mod, crc_of, excerpt, hash_share, text_slices
+from .shared import LOWER, SLICE_BYTES, crc_mod, crc_of, hash_share, lists, text_slices
 
-#: Rows that the classifiers are fitted on, at most, as many of each language, and bytes of each; of longer texts excerpts are taken.
+#: Rows that the classifiers are fitted on, as many of each language and one at least; their texts are read whole.
 FIT_ROWS = 4000
-FIT_BYTES = 1 << 16
-#: Languages that are learned, at most: the most frequent ones.
-LANGUAGES = 1000
 BUCKETS = 1 << 12
 #: Rows whose features a task holds at once.
 SLICE_ROWS = 512
@@ -38,15 +35,26 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
         return np.where((columns[None, :] << 1 >> np.arange(n)[:, None]) & 1, 1.0, -1.0)
     bits, random = int(np.ceil(10 * np.log2(n))), np.random.default_rng(seed)
     best, reached = None, -1
-    for _ in range(200):
+    # of many languages fewer codes are tried: random ones are all alike then
+    for _ in range(max(2, min(200, 10**8 // (n * n)))):
         m = np.where(random.random((n, bits)) < 0.5, -1.0, 1.0)
         m = m[:, np.abs(m.sum(0)) < n]
-        apart = ((m[:, None] != m[None]).sum(-1) + 10**9 * np.eye(n, dtype=np.int64)).min()
+        apart = least_distance(m)
         if apart > reached:
             best, reached = m, apart
     return best
 
 
+def least_distance(m: np.ndarray, rows: int = 512) -> int:
+    """In how many bits the two nearest of all codewords differ; some rows against all at a time."""
+    nearest = []
+    for at in range(0, len(m), rows):
+        differ = (m.shape[1] - m[at : at + rows] @ m.T) / 2
+        differ[np.arange(len(differ)), at + np.arange(len(differ))] = np.inf
+        nearest.append(differ.min())
+    return int(min(nearest))
+
+
 def gram_features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Rows of root frequencies of hashed byte 1-, 2- and 3-grams of the lower-case text.
 
@@ -79,8 +87,10 @@ class Classifiers:
 
     def decode(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nearest language, its share of the loss-weighted vote, and that share's lead on the next."""
-        margins = features @ self.weights + self.bias
-        losses = np.log1p(np.exp(-np.clip(margins[:, None, :] * self.codes[None], -30, 30))).sum(-1)
+        margins = (features @ self.weights + self.bias).astype(np.float64)
+        # a bit's loss is one of two, by its sign in the codeword
+        on, off = (np.log1p(np.exp(-np.clip(side * margins, -30, 30))) for side in (1, -1))
+        losses = on @ (self.codes > 0).T + off @ (self.codes < 0).T
         vote = np.exp(losses.min(1, keepdims=True) - losses)
         vote /= vote.sum(1, keepdims=True)
         order = np.sort(vote, 1)
@@ -94,7 +104,7 @@ def fit(docs: DataFrame, held_out_mod: int = 5, held_out: int = 0, fit_rows: int
     Of rows that share id and language the one with the smallest text counts.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", held_out_mod) != held_out))
-    counts = known.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES).toPandas()
+    counts = known.groupBy("lang").agg(F.count("*").alias("_n")).toPandas()
     each = max(1, fit_rows // max(1, len(counts)))
     # what the order below has to look at is cut down first; few rows miss a share of twice what is asked for
     shares = docs.sparkSession.createDataFrame([(lang, 2.0 * each / n + 64.0 / n) for lang, n in zip(counts["lang"], counts["_n"], strict=True)], "lang string, _share double")
@@ -103,16 +113,23 @@ def fit(docs: DataFrame, held_out_mod: int = 5, held_out: int = 0, fit_rows: int
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id"))
     chosen = likely.withColumn("_nth", nth).where(F.col("_nth") <= each).select("lang", F.col("doc_id").alias("_id"))
     rows = known.join(F.broadcast(chosen), (known["lang"] == chosen["lang"]) & known["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
-    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), excerpt("text", FIT_BYTES).alias("text")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    sample = rows.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, most_rows=SLICE_ROWS):
+            x = gram_features(part.data, part.offsets, buckets)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), lists(x.ravel(), np.full(part.n, buckets))], names=["doc_id", "lang", "x"])
+
+    # what comes to the driver is one row of features for each text
+    sample = rows.mapInArrow(features, "doc_id bigint, lang string, x array<float>").toArrow()
+    sample = sample.take(pc.sort_indices(sample, [("doc_id", "ascending"), ("lang", "ascending")])).combine_chunks()
     languages = sorted(set(sample.column("lang").to_pylist()))
     codes = codewords(len(languages))
-    features = [gram_features(p.data, p.offsets, buckets).astype(np.float32) for p in text_slices(iter(sample.to_batches()), most_rows=SLICE_ROWS)]
     bits = codes.shape[1]
     weights, bias = np.zeros((buckets, bits), np.float32), np.zeros(bits, np.float32)
-    if not features or len(languages) < 2:
+    if len(languages) < 2:
         return Classifiers(languages, codes, weights, bias)
-    x = np.concatenate(features)
+    x = sample.column("x").combine_chunks().flatten().to_numpy().reshape(-1, buckets)
     y = codes[np.searchsorted(np.array(languages), np.array(sample.column("lang").to_pylist()))].astype(np.float32)
     # logistic losses, descent with momentum on all rows; features have length 1
     speed_w, speed_b, rate = np.zeros_like(weights), np.zeros_like(bias), np.float32(20.0)
