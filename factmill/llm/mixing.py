@@ -15,7 +15,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, small_or_not
+from .shared import cut, free_name, small_or_not
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _KEY_SPACE = float(1 << 60)
@@ -104,7 +104,8 @@ def mixed_documents(docs: DataFrame, columns: list[str], **options) -> DataFrame
     taken = mix_sources(docs, **options)
     key = options.get("id_column", "doc_id")
     # the ids' counts are narrow; rows without words are never taken
-    times = taken.where("taken > 0").groupBy(F.col("id").alias("_id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    own, often, copy = (free_name(docs, name) for name in ("_id", "_times", "_copy"))
+    times = taken.where("taken > 0").groupBy(F.col("id").alias(own)).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(often))
     times = small_or_not(times, 64)
-    joined = docs.join(times, docs[key].eqNullSafe(times["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+    joined = docs.join(times, F.col(key).eqNullSafe(F.col(own)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*columns)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, cut, drop, hash_words, lists, mix, small_or_not, text_slices, word_bounds
+from .shared import LOWER, cut, drop, free_name, hash_words, lists, mix, small_or_not, text_slices, word_bounds
 
 SKETCH = 32
 #: Values that are ordered as frequent ones, at most; all others count as equally rare.
@@ -235,7 +235,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     joined = joined.select("a", "b", union.alias("_union"), F.array_intersect("sketch_a", "sketch_b").alias("_both"))
     shared, seen = F.size(F.array_intersect("_union", "_both")), F.size("_union")
     least = F.when(seen < k, F.ceil(seen * F.lit(percent) / F.lit(100))).otherwise(F.lit(certain_overlap(k, percent)))
-    likely = cut(joined.where(shared >= least).select("a", "b"))
+    # an id with several texts has a sketch for each of them; its texts are compared once
+    likely = cut(joined.where(shared >= least).select("a", "b").distinct())
     drop(ends)
     # texts travel to where their pair is checked: compressed, they are smaller than their sets of hashes
     ends = _ends(likely)
@@ -390,10 +391,11 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     gone = small_or_not(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct(), 64)
     stay = docs.join(gone, "doc_id", "left_anti")
     # ids are narrow; texts are only moved where an id is missing or stands in several rows
-    again = small_or_not(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), 64)
+    own, nth = free_name(docs, "_id"), free_name(docs, "_nth")
+    again = small_or_not(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias(own)), 64)
     if not again.take(1):
         return stay
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    same = F.col("doc_id").eqNullSafe(F.col(own))
     first = Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"])
-    few = stay.join(again, same, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    few = stay.join(again, same, "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
     return stay.join(again, same, "left_anti").unionByName(few)
