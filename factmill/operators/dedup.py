@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import union_boxes
 from ..functions.text import answer_key
+from ..operators.clusters import merge_by_clusters
 from ..operators.elements import merge_groups
+from ..session import cut
+from .keyed import broadcast_if_small
 
 #: Better sources first; what a user's own sources are called is theirs to say.
 SOURCES = ("annotated", "annotated_extra", "grounded", "synthetic")
@@ -89,15 +92,27 @@ def cross_split(records: DataFrame, key: str = "key") -> DataFrame:
     return splits.select(key, F.explode(pairs).alias("p")).select(key, "p.split_a", "p.split_b")
 
 
-def merge_elements(records: DataFrame, key: str = "key") -> DataFrame:
+#: Records of one key that one task folds, at most; those of keys with more are folded by clusters.
+MANY_RECORDS = 20_000
+
+
+def merge_elements(records: DataFrame, key: str = "key", many: int = MANY_RECORDS) -> DataFrame:
     """One element list and remapped evidence for each (split, key) whose records carry elements.
 
     ``elements`` is JSON text of a list of objects, ``evidence`` an array of
     positions in it.  A group's records are folded in order of source, id and
-    row.  The fold is sequential by definition, so a group's records pass one
-    task, sorted by Spark and read as a stream.
+    row: read as a stream by one task, which Spark sorts them for; records of a
+    key that has more than ``many`` are taken apart into clusters of elements
+    that can't touch each other, which many tasks fold or add up.
     """
     ranked = records.select("split", key, source_rank(F.col("source")).alias("rank"), "record_id", "row", "elements", "evidence")
     order = [F.col(c).asc_nulls_last() for c in ("split", key, "rank", "record_id", "row")]
     schema = f"split string, {key} string, elements string, evidence array<int>, conflict string"
-    return ranked.repartition("split", key).sortWithinPartitions(*order).mapInArrow(lambda batches: merge_groups(batches, key), schema)
+    fold = lambda rows: rows.repartition("split", key).sortWithinPartitions(*order).mapInArrow(lambda batches: merge_groups(batches, key), schema)
+    large = cut(ranked.groupBy("split", key).count().where(F.col("count") > max(many, 1)).select(F.col("split").alias("_split"), F.col(key).alias("_large")))
+    if not large.take(1):
+        return fold(ranked)
+    large = broadcast_if_small(large)
+    same = F.col("split").eqNullSafe(F.col("_split")) & F.col(key).eqNullSafe(F.col("_large"))
+    taken_apart = merge_by_clusters(ranked.join(large, same, "left_semi").withColumnRenamed(key, "_key")).withColumnRenamed("_key", key)
+    return fold(ranked.join(large, same, "left_anti")).unionByName(taken_apart)
