@@ -168,6 +168,26 @@ def row_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(split.alias("split"), outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT 'lang' AS name, coalesce(CASE WHEN lang IN ('en', 'fr', 'de') THEN lang ELSE CASE WHEN lang IS NOT NULL THEN 'other' END END, 'null') AS value, count(*) AS n FROM documents GROUP BY ALL
+UNION ALL SELECT 'quality', coalesce(quality::VARCHAR, 'null'), count(*) FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY ALL""")
+def manifest_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a manifest, whose summary one job counts."""
+    path = _new_path(spark, "manifest")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
+    files.write_manifest(rows, path, 20250824, {"lang": ("en", "fr", "de"), "quality": (0, 1)})
+    return files.manifest_histograms(spark, path)
+
+
+@query("SELECT epoch.range::INT AS step, count(*) AS n, avg(o_totalprice) AS loss FROM orders, range(3) epoch WHERE o_orderkey % 3 <= epoch.range GROUP BY ALL")
+def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of three evaluations, logged a step each, the last one twice."""
+    path, orders = _new_path(spark, "metrics"), table(spark, sf_dir, "orders")
+    for step in (0, 1, 2, 2):
+        files.log_metrics(orders.where(F.col("o_orderkey") % 3 <= step).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("loss")), path, step)
+    return files.read_metrics(spark, path, "n long, loss double")
+
+
 def _pinned(rows: DataFrame, order: str, path: str, n: int = 6) -> DataFrame:
     """Rows written as shards in the order of a column, and their pins, read from their file."""
     rows.repartitionByRange(n, order).sortWithinPartitions(order).write.parquet(f"{path}/shards")

@@ -132,6 +132,53 @@ def read_manifest(spark: SparkSession, path: str, folder: str) -> DataFrame:
     return rows.select("source_row_index", "e.*").withColumn("image_path", F.concat_ws("/", F.lit(folder), "image")).drop("image", "holdout")
 
 
+def write_manifest(examples: DataFrame, path: str, generation_seed: int, histograms: dict[str, tuple]) -> None:
+    """Examples with the histograms of some columns, counted while they are written.
+
+    ``histograms`` names each column's values; what isn't among them counts as
+    ``other``, and null as ``null``.  The summary is written last: a manifest
+    without it isn't complete, and writing it again replaces both.
+    """
+    from ..streaming.ledger import Ledger
+
+    ledger = Ledger(examples.sparkSession, path)
+    ledger.clear()
+    counts = {"rows": F.count("*")}
+    for column, values in histograms.items():
+        c = F.col(column)
+        counts |= {f"{column}={v}": F.count_if(c == v) for v in values}
+        counts |= {f"{column}=other": F.count_if(~c.isin(*values)), f"{column}=null": F.count_if(c.isNull())}
+    ledger.write(examples, 0, lambda rows: rows, counts, lambda found: {"generation_seed": generation_seed})
+
+
+def manifest_examples(spark: SparkSession, path: str) -> DataFrame:
+    """The examples of a complete manifest; an incomplete one is an error."""
+    from ..streaming.ledger import Ledger
+
+    ledger = Ledger(spark, path)
+    if not ledger.has(0):
+        raise FileNotFoundError(f"no complete manifest at {path}")
+    return ledger.rows().drop("batch")
+
+
+def manifest_histograms(spark: SparkSession, path: str) -> DataFrame:
+    """``name, value, n`` of a manifest's histograms, without values that don't occur."""
+    from ..streaming.ledger import Ledger
+
+    counts = Ledger(spark, path).totals().where(F.contains("name", F.lit("=")) & (F.col("n") > 0))
+    return counts.select(F.substring_index("name", "=", 1).alias("name"), F.regexp_replace("name", "^[^=]*=", "").alias("value"), "n")
+
+
+def log_metrics(metrics: DataFrame, path: str, step: int) -> None:
+    """One evaluation's metrics, a row, as JSON lines of its step; a step that is logged again replaces the earlier line."""
+    metrics.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/step={step}")
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Logged metrics with their ``step``."""
+    return spark.read.schema(f"{schema}, step int").option("mode", "FAILFAST").json(path)
+
+
 def manifest_summary(examples: DataFrame) -> DataFrame:
     """How many examples each level and chart type has."""
     from ..operators.mixture import composition

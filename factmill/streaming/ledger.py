@@ -35,6 +35,11 @@ class Ledger:
             return self.spark.createDataFrame([], _ENTRY).select("batch", "counts")
         return self.spark.read.schema(_ENTRY).json(f"{self.folder}/ledger").select("batch", "counts")
 
+    def clear(self) -> None:
+        """Forget all batches: nothing is committed any more."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/ledger")
+        target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
     def has(self, batch: int) -> bool:
         return self._there(f"{self.folder}/ledger/batch={batch}/_SUCCESS")
 

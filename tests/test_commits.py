@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factmill.session import shared_folder
-from factmill.sources import cache_build, shards
+from factmill.sources import cache_build, files, shards
 from factmill.streaming import feed
 from factmill.streaming.ledger import Ledger
 
@@ -191,3 +191,27 @@ def test_feed_sorts_nothing(spark):
     places = feed._places(spark.range(40).withColumnRenamed("id", "value"), 100, 1, True)
     for side in (F.broadcast(places), places.hint("shuffle_hash")):
         assert "Sort" not in rows.join(side, "row")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_manifests(spark, folder, monkeypatch):
+    """Counts are those of the rows; a manifest that was stopped before its summary isn't there, and is written again."""
+    rows = spark.createDataFrame([(i, ["L1", "L2", None, "odd"][i % 4]) for i in range(10)], "i int, level string")
+    write = lambda: files.write_manifest(rows, f"{folder}/m", 7, {"level": ("L1", "L2", "L3")})
+    with monkeypatch.context() as m:
+        m.setattr(Ledger, "add", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError):
+            write()
+    with pytest.raises(FileNotFoundError):
+        files.manifest_examples(spark, f"{folder}/m")
+    for _ in range(2):
+        write()
+        assert files.manifest_examples(spark, f"{folder}/m").count() == 10
+        got = {(r["name"], r["value"]): r["n"] for r in files.manifest_histograms(spark, f"{folder}/m").collect()}
+        assert got == {("level", "L1"): 3, ("level", "L2"): 3, ("level", "null"): 2, ("level", "other"): 2}
+    assert {r["name"]: r["n"] for r in Ledger(spark, f"{folder}/m").totals().collect()}["generation_seed"] == 7
+
+
+def test_metrics(spark, folder):
+    for step, loss in ((5, 2.0), (10, None), (5, 1.0)):
+        files.log_metrics(spark.createDataFrame([(loss,)], "loss double"), f"{folder}/log", step)
+    assert sorted((r["step"], r["loss"]) for r in files.read_metrics(spark, f"{folder}/log", "loss double").collect()) == [(5, 1.0), (10, None)]
