@@ -19,7 +19,7 @@ from .session import shared_folder
 from .sources import cache_build as caches
 from .sources import files, pictures, shards, teacher
 from .sources.archive import ZipSource
-from .streaming import feed
+from .streaming import feed, incremental, reservoir
 
 # --- sources: what a query writes, it reads back
 
@@ -277,6 +277,16 @@ def endless_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fed.where("batch < 3").select("doc_id", "place", "epoch", "position", "number")
 
 
+@query("SELECT doc_id, lang, (SELECT count(*) FROM documents) AS seen FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('13|' || doc_id), doc_id) AS nth FROM documents) WHERE nth <= 25")
+def stream_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of each language's documents, which come as a stream of four files, two a run."""
+    path, docs = _new_path(spark, "reservoir"), table(spark, sf_dir, "documents").select("doc_id", "lang")
+    for half in (0, 1):
+        docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half).repartition(2).write.mode("append").parquet(f"{path}/rows")
+        ledger = reservoir.sample_stream(incremental.stream(spark, f"{path}/rows", docs.schema, 1), "lang", 25, 13, "doc_id", f"{path}/out")
+    return reservoir.sample(spark, f"{path}/out").join(F.broadcast(ledger.totals().select(F.col("n").alias("seen"))))
+
+
 ANNOTATION_SQL = """WITH m AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS k FROM nation)
 """
 

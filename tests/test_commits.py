@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factmill.operators import mixture
 from factmill.session import shared_folder
 from factmill.sources import cache_build, files, shards
-from factmill.streaming import feed
+from factmill.streaming import feed, incremental, reservoir
 from factmill.streaming.ledger import Ledger
 
 
@@ -215,3 +216,28 @@ def test_metrics(spark, folder):
     for step, loss in ((5, 2.0), (10, None), (5, 1.0)):
         files.log_metrics(spark.createDataFrame([(loss,)], "loss double"), f"{folder}/log", step)
     assert sorted((r["step"], r["loss"]) for r in files.read_metrics(spark, f"{folder}/log", "loss double").collect()) == [(5, 1.0), (10, None)]
+
+
+def test_reservoirs(spark, folder, monkeypatch):
+    """The sample of a stream is that of a table, whatever the batches and wherever it was stopped."""
+    rows = spark.createDataFrame([(i, ["a", "b", None][i % 7 % 3]) for i in range(300)], "i long, kind string")
+    want = sorted(map(tuple, mixture.sample_per_kind(rows, "kind", 9, 5, "i").collect()), key=str)
+    rows.repartition(6).write.parquet(f"{folder}/rows")
+    add, stops = Ledger.add, {1: "before", 3: "behind"}
+
+    def stopped(self, batch, counts):
+        stop = stops.pop(batch, None)
+        if stop != "before":
+            add(self, batch, counts)
+        if stop:
+            raise RuntimeError("stopped")
+
+    for each in (1, 4, 10):
+        take = lambda: reservoir.sample_stream(incremental.stream(spark, f"{folder}/rows", rows.schema, each), "kind", 9, 5, "i", f"{folder}/by{each}")  # noqa: B023, E731
+        if each == 1:
+            monkeypatch.setattr(Ledger, "add", stopped)
+            for _ in range(2):
+                with pytest.raises(Exception, match="stopped"):
+                    take()
+        assert {r["name"]: r["n"] for r in take().totals().collect()} == {"seen": 300}
+        assert sorted(map(tuple, reservoir.sample(spark, f"{folder}/by{each}").collect()), key=str) == want
