@@ -100,6 +100,18 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_near_dedup, op4_toxicity, op5_top_k, op6_packing, op7_language_id, op8_license_scan, op9_nearest_neighbours, op10_lm_scoring, op11_periodic_runs, op12_importance_resampling, op13_sentencepiece)}
 
+#: The table of crc32 by its polynomial, as a list; and the crc32 of a text by it, byte by byte.
+_CRC_TABLE = """
+e AS (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM (SELECT range AS i FROM range(256))),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM e)"""
+
+
+def _crc(text: str) -> str:
+    """SQL for the crc32 of a text, where ``tab`` is at hand."""
+    data = f"list_prepend(4294967295, list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT))"
+    return f"xor(list_reduce({data}, lambda c, b: xor(c // 256, tab[(xor(c, b) % 256) + 1])), 4294967295)"
+
+
 #: Operators that DuckDB can express.
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": r"""
@@ -154,5 +166,47 @@ s AS (
   FROM u q JOIN u c ON q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op11_periodic_runs": r"""
+WITH """
+    + _CRC_TABLE.strip()
+    + r""",
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, """
+    + _crc("coalesce(doc_id::VARCHAR, '')")
+    + r""" AS h FROM documents, tab),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a FROM d),
+b AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a),
+x AS (SELECT doc_id, n, list_transform(range(n), lambda i: w[1 + CASE WHEN p IS NOT NULL AND i >= a THEN a + (i - a) % p ELSE i END]) AS w FROM b),
+u AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM x),
+q AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM u l JOIN u r ON l.doc_id = r.doc_id AND l.word = r.word AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+o AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM q),
+f AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM o GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+s AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.doc_id = f.doc_id AND y.q < f.q AND y.start <= f.start AND y.start + y.length >= f.start + f.length)),
+t AS (SELECT doc_id, count(*) AS n_runs, min((-length, start, q)) AS best, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM u WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = u.doc_id AND u.i >= s.start + s.q AND u.i < s.start + s.length) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best[2] AS start, -best[1] AS length, best[3] AS period, 1000 * -best[1] // best[3] AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+""",
+    "op12_importance_resampling": r"""
+WITH """
+    + _CRC_TABLE.strip()
+    + r""",
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+m AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+u AS (SELECT doc_id, unnest(w) AS word FROM d),
+k AS (SELECT word, """
+    + _crc("word")
+    + r""" % 10000 AS bucket FROM (SELECT word FROM u UNION SELECT word FROM m), tab),
+s AS (SELECT bucket, count(*) AS s FROM u JOIN k USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM m JOIN k USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM u) AS all_s, (SELECT count(*) FROM m) AS all_t),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+x AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM u JOIN k USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+r AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN x USING (doc_id)),
+p AS (SELECT *, n_features >= 20 AS may, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS nth, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND nth <= 10 * n // 100 THEN nth END AS rank FROM p
 """,
 }
