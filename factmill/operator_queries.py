@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry, json_tools, numbers, text
 from .operators import align, facts, keyed, metrics, mixture
-from .plans import nodes
+from .plans import nodes, specs
 from .queries import _folders, op, query, table
 from .session import shared_folder
 from .sources import cache_build as caches
@@ -541,7 +541,7 @@ UNION ALL SELECT r, 'difference', n[1] - n[2], NULL, CASE WHEN n[1] IS NULL OR n
 UNION ALL SELECT r, 'category_of', NULL, substr(l[1], 5), NULL FROM e
 UNION ALL SELECT r, 'count', 5.0, NULL, NULL FROM e""")
 def plan_awkward_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X01 to X29 where facts are texts, missing, tied, of several units or have a separator in their label."""
+    """Five operators where facts are texts, missing, tied, of several units or have a separator in their label."""
     k = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name"))
     rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r"), "n_name", k.alias("k"))
     r, k = F.col("r"), F.col("k")
@@ -557,6 +557,83 @@ def plan_awkward_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("r", "p.plan", "v.num", "v.str", "v.err")
 
 
+#: Charts of five customers each; by its number a chart has tied values, a text, a gap, two units, a number written out, or one below and one at zero.
+EVERY_SQL = """
+WITH v AS (SELECT c_custkey // 5 AS c, c_custkey % 5 + 1 AS k, c_name FROM customer),
+f AS (
+  SELECT c, k, CASE WHEN k = 1 THEN 'S · ' || c_name ELSE c_name END AS label, CASE WHEN c % 6 = 3 AND k = 5 THEN 'EUR' ELSE 'USD' END AS unit,
+    CASE WHEN c % 6 = 1 AND k = 3 THEN 'n/a' WHEN c % 6 = 4 AND k = 2 THEN ' $1,200 ' END AS said,
+    CASE WHEN c % 6 = 1 AND k = 3 OR c % 6 = 2 AND k = 2 THEN NULL WHEN c % 6 = 4 AND k = 2 THEN 1200.0 WHEN c % 6 = 0 AND k >= 4 THEN 50.0 WHEN c % 6 = 5 AND k <= 2 THEN 5.0 * k - 10 ELSE k * 10.0 + c % 7 END::DOUBLE AS x FROM v),
+g AS (
+  SELECT c, list(x ORDER BY k) AS n, list(label ORDER BY k) AS l, list(said ORDER BY k) AS s, list_reverse_sort(list(x)) AS d,
+    CASE WHEN count(DISTINCT unit) > 1 THEN 'units differ' WHEN count(*) > count(x) THEN 'not a number' END AS five,
+    CASE WHEN count(*) > count(x) THEN 'not a number' END AS each
+  FROM f GROUP BY c HAVING count(*) = 5),
+e AS (SELECT *, CASE WHEN n[1] IS NULL OR n[2] IS NULL THEN 'not a number' END AS two FROM g)
+"""
+
+
+def _where(least: float) -> str:
+    return f"list_filter(n, lambda x: x > {least})"
+
+
+_ONE_TOP = "len(list_filter(n, lambda x: x = {0})) = 1"
+#: For each plan: the number, the text and the error as SQL; a result that isn't one stays null where there is an error.
+_EVERY: dict[str, tuple[str, str, str]] = {
+    "lookup": ("CASE WHEN s[2] IS NULL THEN n[2] END", "s[2]", "NULL"),
+    "label_of": ("NULL", "l[1]", "NULL"),
+    "difference": ("n[1] - n[2]", "NULL", "two"),
+    "absolute_difference": ("abs(n[1] - n[2])", "NULL", "two"),
+    "ratio": ("n[1] / nullif(n[2], 0)", "NULL", "coalesce(two, CASE WHEN n[2] = 0 THEN 'division by zero' END)"),
+    "percentage": ("n[1] * 100 / nullif(n[2], 0)", "NULL", "coalesce(two, CASE WHEN n[2] = 0 THEN 'division by zero' END)"),
+    "percent_change": ("(n[1] - n[2]) * 100 / nullif(n[2], 0)", "NULL", "coalesce(two, CASE WHEN n[2] = 0 THEN 'division by zero' END)"),
+    "sum": ("0.0::DOUBLE + n[1] + n[2] + n[3] + n[4] + n[5]", "NULL", "five"),
+    "mean": ("(0.0::DOUBLE + n[1] + n[2] + n[3] + n[4] + n[5]) / 5", "NULL", "five"),
+    "median": ("d[3]", "NULL", "five"),
+    "min": ("d[5]", "NULL", "five"),
+    "max": ("d[1]", "NULL", "five"),
+    "argmin": ("NULL", "l[list_position(n, d[5])]", f"coalesce(five, CASE WHEN NOT {_ONE_TOP.format('d[5]')} THEN 'tie' END)"),
+    "argmax": ("NULL", "l[list_position(n, d[1])]", f"coalesce(five, CASE WHEN NOT {_ONE_TOP.format('d[1]')} THEN 'tie' END)"),
+    "count": ("5", "NULL", "NULL"),
+    "trend": ("NULL", "CASE WHEN n[1] < n[2] AND n[2] < n[3] AND n[3] < n[4] AND n[4] < n[5] THEN 'increasing' ELSE 'mixed' END", "five"),
+    "compare": ("NULL", "CASE WHEN n[1] > n[2] THEN 'greater' WHEN n[1] < n[2] THEN 'less' ELSE 'equal' END", "two"),
+    "greater_than": ("NULL", "CASE WHEN n[1] > n[2] THEN 'Yes' ELSE 'No' END", "two"),
+    "less_than": ("NULL", "CASE WHEN n[1] < n[2] THEN 'Yes' ELSE 'No' END", "two"),
+    "equal_to": ("NULL", "CASE WHEN n[1] = n[2] THEN 'Yes' ELSE 'No' END", "two"),
+    "rank": ("NULL", "l[list_position(n, d[2])]", f"coalesce(five, CASE WHEN NOT {_ONE_TOP.format('d[2]')} THEN 'tie' END)"),
+    "rank_value": ("CASE WHEN s[list_position(n, d[1])] IS NULL THEN d[1] END", "s[list_position(n, d[1])]", "five"),
+    "count_where": (f"len({_where(25)})", "NULL", "each"),
+    "sum_where": (f"list_sum({_where(25)})", "NULL", "five"),
+    "mean_where": (f"list_sum({_where(1000)})", "NULL", f"coalesce(five, CASE WHEN len({_where(1000)}) = 0 THEN 'nothing passes' END)"),
+    "label_where": ("NULL", f"l[list_position(n, {_where(45)}[1])]", f"coalesce(five, CASE WHEN len({_where(45)}) <> 1 THEN 'not exactly one passes' END)"),
+    "category_of": ("NULL", "substr(l[1], 5)", "NULL"),
+    "meets_threshold": ("NULL", "CASE WHEN n[1] >= 12 THEN 'Yes' ELSE 'No' END", "NULL"),
+    "unanswerable": ("NULL", "NULL", "NULL"),
+}
+
+
+@query(EVERY_SQL + " UNION ALL ".join(f"SELECT c, '{name}' AS plan, CASE WHEN {err} IS NULL THEN {num} END::DOUBLE AS num, CASE WHEN {err} IS NULL THEN {text} END::VARCHAR AS str, {err} AS err FROM e" for name, (num, text, err) in _EVERY.items()))
+def plan_every_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All operators over charts whose facts are tied, texts, missing, of several units, written out, negative or zero."""
+    c, k = F.floor(F.col("c_custkey") / 5), F.col("c_custkey") % 5 + 1
+    rows = table(spark, sf_dir, "customer").select(c.alias("c"), k.alias("k"), "c_name")
+    c, k = F.col("c") % 6, F.col("k")
+    said = F.when((c == 1) & (k == 3), "n/a").when((c == 4) & (k == 2), " $1,200 ")
+    num = F.when(said.isNull() & ~((c == 2) & (k == 2)), F.when((c == 0) & (k >= 4), 50.0).when((c == 5) & (k <= 2), 5.0 * k - 10).otherwise(k * 10.0 + F.col("c") % 7))
+    label = F.when(k == 1, F.concat(F.lit("S · "), F.col("c_name"))).otherwise(F.col("c_name"))
+    fact = F.struct(k.alias("k"), F.struct(F.concat(F.lit("f"), k.cast("string")).alias("id"), label.alias("label"), num.alias("num"), said.alias("str"), F.when((c == 3) & (k == 5), "EUR").otherwise("USD").alias("unit")).alias("f"))
+    charts = rows.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(fact)), lambda x: x["f"]).alias("facts")).where(F.size("facts") == 5)
+    refs = [{"ref": f"f{i}"} for i in range(1, 6)]
+    extra = {"rank": {"position": 2, "order": "descending"}, "rank_value": {"position": 1, "order": "descending"}, "meets_threshold": {"compare": "greater_or_equal", "threshold": 12}}
+    extra |= {name: {"compare": "greater", "threshold": least} for name, least in (("count_where", 25), ("sum_where", 25), ("mean_where", 1000), ("label_where", 45))}
+    own = {"lookup": [refs[1]], "category_of": [op("label_of", refs[:1])]}
+    spec = specs.SPECS
+    plans = {name: op(name, own.get(name, refs[: spec[name].most]), **extra.get(name, {})) for name in spec}
+    listed = F.array(*[F.struct(F.lit(name).alias("plan"), F.lit(json.dumps(plan)).alias("text")) for name, plan in plans.items()])
+    asked = charts.select("c", "facts", F.explode(listed).alias("p")).withColumn("v", nodes.evaluate(nodes.read(F.col("p.text")), F.col("facts"), 2))
+    return asked.select("c", "p.plan", "v.num", "v.str", "v.err")
+
+
 # --- records, pictures, context
 
 
