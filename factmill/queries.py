@@ -454,7 +454,9 @@ def context_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_id", state.alias("s")).select("record_id", F.size("s.kept").alias("kept"), "s.renames", "s.ambiguous", "s.conflicts")
 
 
-@query()
+@query(BOXES_SQL + """, u AS (SELECT record_id, [x, y, x2, y2]::DOUBLE[] AS box FROM b UNION ALL SELECT record_id, [x, y, x2, y2]::DOUBLE[] FROM g)
+SELECT record_id, len(list_reduce(list([box] ORDER BY box), lambda kept, new: CASE WHEN len(list_filter(kept, lambda k: list_max(list_transform(range(1, 5), lambda i: abs(k[i] - new[1][i]))) <= 1)) > 0 THEN kept ELSE list_concat(kept, new) END))::INT AS n_boxes, count(*) AS n
+FROM u GROUP BY record_id""")
 def box_union_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of an order without those that are the same within the slack."""
     boxes, elements = order_boxes(spark, sf_dir)
@@ -475,7 +477,11 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.average_precision(rows, rows.where("hit").count()).select(F.round("ap", 9).alias("ap"))
 
 
-@query()
+@query(BOXES_SQL + """, k1 AS (SELECT record_id, element_index, iou >= 0.5 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY iou DESC, element_index DESC) AS nth FROM q WHERE box_index = 1) WHERE nth = 1),
+k2 AS (
+  SELECT record_id, coalesce(max(q.iou) FILTER (NOT (k1.hit AND k1.element_index = q.element_index)) >= 0.5, false) AS hit
+  FROM q JOIN k1 USING (record_id) WHERE box_index = 2 GROUP BY record_id)
+SELECT hit, count(*) AS n FROM (SELECT hit FROM k1 UNION ALL SELECT hit FROM k2) GROUP BY hit""")
 def detection_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of an order as detections of its elements."""
     boxes, elements = order_boxes(spark, sf_dir)
