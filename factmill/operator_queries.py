@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry, json_tools, numbers, text
-from .operators import align, facts, keyed, metrics, mixture
+from .operators import align, budget, facts, keyed, metrics, mixture
 from .plans import nodes, specs
 from .queries import _folders, op, query, table
 from .session import shared_folder
@@ -782,6 +782,12 @@ def grounding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("kind", "n", "accuracy", F.round("ap", 9).alias("ap"))
 
 
+@query("SELECT count(*) AS metric_n, avg((o_orderkey % 3 = 0)::INT) AS answer_accuracy, avg((o_totalprice > 100000)::INT) AS schema_valid, avg((o_custkey % 2 = 0)::INT) AS round_trip, NULL::VARCHAR AS stopped_early FROM orders")
+def budget_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics summed up slice by slice, with time enough."""
+    return budget.metrics_within(table(spark, sf_dir, "orders"), "o_orderkey", F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") > 100000, F.col("o_custkey") % 2 == 0, 3600, 8)
+
+
 @query("""SELECT round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) AS loss FROM lineitem""")
 def weighted_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean loss of chunks by their size."""
