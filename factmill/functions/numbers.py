@@ -7,9 +7,13 @@ separators and currency are noise, a percent sign is dropped) and ``to_float``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import let
+
 #: Deleted inside a number: comma, dollar, space, no-break, narrow no-break and thin space.  Fixed values.
 SEPARATORS = ",$    "
 #: A plain decimal number with white space around it; the number is the first group.
@@ -30,7 +34,9 @@ def _finite(number: Column) -> Column:
 
 def read_decimal(text: Column) -> Column:
     """A plain decimal number, or null: no hexadecimal, type suffix, NaN or infinity."""
-    return _finite(F.replace(F.regexp_extract(text, _DECIMAL, 1), F.lit("_"), F.lit("")).try_cast("double"))
+    read = F.replace(F.regexp_extract(text, _DECIMAL, 1), F.lit("_"), F.lit("")).try_cast("double")
+    # too large a number reads as an infinity; taken out without naming the number twice, as each name reads the text again
+    return F.get(F.array_remove(F.array_remove(F.array(read), F.lit(float("inf"))), F.lit(float("-inf"))), F.lit(0))
 
 
 def parse_numeric(text: Column) -> Column:
@@ -40,9 +46,7 @@ def parse_numeric(text: Column) -> Column:
 
 def to_float(text: Column) -> Column:
     """A scored answer's number.  ``12%`` is 0.12, ``1,200`` is null."""
-    plain = strip(text)
-    percent = read_decimal(F.rtrim(plain, F.lit("%"))) / F.lit(100.0)
-    return F.when(plain.endswith("%"), percent).otherwise(read_decimal(plain))
+    return let(strip(text), lambda plain: read_decimal(F.rtrim(plain, F.lit("%"))) / F.when(plain.endswith("%"), 100.0).otherwise(1.0))
 
 
 def question_numbers(question: Column) -> Column:
@@ -58,15 +62,23 @@ def gold_tolerance(gold: Column) -> Column:
     return F.lit(0.5) * F.pow(F.lit(10.0), -decimals.cast("double"))
 
 
+def _both(x: Column, y: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of two values, each computed once."""
+    return let(F.struct(x.alias("x"), y.alias("y")), lambda v: body(v["x"], v["y"]))
+
+
 def _same_text(a: Column, b: Column) -> Column:
     return F.lower(strip(a)) == F.lower(strip(b))
 
 
 def relaxed_correctness(target: Column, prediction: Column, tolerance: float = 0.05) -> Column:
     """P50: within 5 % of the target; a zero or non-numeric target must be met as text."""
-    t, p = to_float(target), to_float(prediction)
-    close = F.abs(p - t) / F.abs(t) <= F.lit(tolerance)
-    return F.coalesce(F.when(t.isNotNull() & (t != 0) & p.isNotNull(), close).otherwise(_same_text(target, prediction)), F.lit(False))
+
+    def judged(t: Column, p: Column) -> Column:
+        close = F.abs(p - t) / F.abs(t) <= F.lit(tolerance)
+        return F.when(t.isNotNull() & (t != 0) & p.isNotNull(), close).otherwise(_same_text(target, prediction))
+
+    return F.coalesce(_both(to_float(target), to_float(prediction), judged), F.lit(False))
 
 
 def relaxed_close(target: Column, prediction: Column, tolerance: float = 0.05) -> Column:
@@ -77,17 +89,19 @@ def relaxed_close(target: Column, prediction: Column, tolerance: float = 0.05) -
 
 def answers_agree(a: Column, b: Column, tolerance: float = 0.05) -> Column:
     """The symmetric test; two zeros agree, texts that aren't numbers are compared as texts."""
-    x, y = parse_numeric(a), parse_numeric(b)
-    scale = F.greatest(F.abs(x), F.abs(y))
-    near = (scale == 0) | (F.abs(x - y) <= F.lit(tolerance) * scale)
-    return F.when(x.isNotNull() & y.isNotNull(), near).otherwise(relaxed_correctness(a, b, tolerance))
+
+    def judged(x: Column, y: Column) -> Column:
+        scale = F.greatest(F.abs(x), F.abs(y))
+        near = (scale == 0) | (F.abs(x - y) <= F.lit(tolerance) * scale)
+        return F.when(x.isNotNull() & y.isNotNull(), near).otherwise(relaxed_correctness(a, b, tolerance))
+
+    return _both(parse_numeric(a), parse_numeric(b), judged)
 
 
 def matches_gold(value: Column, gold: Column) -> Column:
     """A number at the precision that the gold text prints."""
-    t = parse_numeric(gold)
-    slack = F.lit(1e-12) * F.greatest(F.abs(value), F.abs(t), F.lit(1.0))
-    return F.coalesce(F.abs(value - t) <= gold_tolerance(gold) + slack, F.lit(False))
+    slack = lambda v, t: F.lit(1e-12) * F.greatest(F.abs(v), F.abs(t), F.lit(1.0))
+    return F.coalesce(_both(value, parse_numeric(gold), lambda v, t: F.abs(v - t) <= gold_tolerance(gold) + slack(v, t)), F.lit(False))
 
 
 def result_matches_gold(number: Column, text: Column, gold: Column) -> Column:
@@ -98,9 +112,8 @@ def result_matches_gold(number: Column, text: Column, gold: Column) -> Column:
 
 def values_agree(table: Column, element: Column) -> Column:
     """A table's and an annotation's value within 2 %, or the one the other's percentage."""
-    a, b = parse_numeric(table), parse_numeric(element)
     near = lambda x, y: F.abs(x - y) <= F.lit(0.02) * F.greatest(F.abs(x), F.abs(y), F.lit(1e-9))
-    return F.when(a.isNull() | b.isNull(), F.lit(True)).otherwise(near(a, b) | near(a * 100, b))
+    return _both(parse_numeric(table), parse_numeric(element), lambda a, b: F.when(a.isNull() | b.isNull(), F.lit(True)).otherwise(near(a, b) | near(a * 100, b)))
 
 
 def format_answer(value: Column) -> Column:

@@ -13,17 +13,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_numeric
+from ..functions.once import let
 from ..functions.text import category_of
-from .specs import SPECS
+from .specs import SPECS, converts, spec_of
 
 VALUE = "struct<label:string,num:double,str:string,unit:string,err:string>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def value(num: Column | None = None, text: Column | None = None, unit: Column | None = None, err: Column | str | None = None, label: Column | None = None) -> Column:
     null = F.lit(None)
     err = F.lit(err) if isinstance(err, str) else err
@@ -144,11 +140,8 @@ def apply(op: str | Column, operands: Column, position: Column | None = None, or
     null = F.lit(None)
     extras = {"position": (null if position is None else position).cast("int"), "order": (null if order is None else order).cast("string"), "compare": (null if compare is None else compare).cast("string"), "threshold": (null if threshold is None else threshold).cast("double")}
     names = [op] if isinstance(op, str) else list(SPECS)
-    is_one = lambda chosen: F.lit(op in chosen) if isinstance(op, str) else op.isin(*chosen)
-    same = is_one([n for n in names if SPECS[n].same_unit] or [""])
-    as_numbers = is_one([n for n in names if SPECS[n].takes in ("facts", "numbers") and n not in ("lookup", "label_of", "count")] or [""])
 
-    def body(raw: Column) -> Column:
+    def body(raw: Column, same: Column, as_numbers: Column) -> Column:
         units = F.array_distinct(F.transform(raw, lambda a: F.coalesce(a["unit"], F.lit(""))))
         numbered = F.transform(raw, lambda a: F.struct(a["label"].alias("label"), number(a).alias("num"), a["str"].alias("str"), a["unit"].alias("unit"), a["err"].alias("err")))
 
@@ -169,4 +162,6 @@ def apply(op: str | Column, operands: Column, position: Column | None = None, or
 
         return let(numbered, checked)
 
-    return let(operands, body)
+    if isinstance(op, str):
+        return let(operands, lambda raw: body(raw, F.lit(SPECS[op].same_unit), F.lit(converts(op))))
+    return let(F.struct(operands.alias("raw"), spec_of(op).alias("spec")), lambda x: body(x["raw"], x["spec"]["same_unit"], x["spec"]["converts"]))

@@ -7,14 +7,14 @@ needed.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import specs
 from .evaluate import VALUE, apply, fact_value, let, value
-from .specs import SPECS
+from .specs import spec_of
 
 
 def read(plan_json: Column) -> Column:
@@ -70,11 +70,15 @@ def placed_nodes(plan: Column, depth: int = specs.MAX_DEPTH) -> Column:
     path = lambda above, i: F.concat(above, F.lit("."), i.cast("string"))
     below = lambda n: F.transform(F.coalesce(operands(n["node"]), none), lambda a, i: F.struct(path(n["path"], i).alias("path"), a.alias("node")))
     is_operator = lambda n: get(n["node"], "op").isNotNull()
-    found = level = F.filter(F.array(F.struct(F.lit("").alias("path"), plan.alias("node"))), is_operator)
-    for _ in range(depth - 1):
-        level = F.filter(F.flatten(F.transform(level, below)), is_operator)
-        found = F.concat(level, found)
-    return found
+    root = F.filter(F.array(F.struct(F.lit("").alias("path"), plan.alias("node"))), is_operator)
+    return _levels(root, lambda level: F.filter(F.flatten(F.transform(level, below)), is_operator), depth, lambda found, level: F.concat(level, found))
+
+
+def _levels(root: Column, below: Callable[[Column], Column], depth: int, joined: Callable[[Column, Column], Column]) -> Column:
+    """``depth`` levels, from ``root`` down, put together by ``joined``; the step from one to the next stands once, whatever the depth."""
+    start = F.struct(root.alias("level"), F.filter(root, lambda n: F.lit(False)).alias("found"))
+    step = lambda s, _: F.struct(below(s["level"]).alias("level"), joined(s["found"], s["level"]).alias("found"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step, lambda s: s["found"])
 
 
 def evaluate_in_place(plan: Column, facts: Column, depth: int, by_label: bool = False) -> Column:
@@ -110,12 +114,16 @@ def evaluate_in_place(plan: Column, facts: Column, depth: int, by_label: bool =
 
 def nodes(plan: Column, depth: int = specs.MAX_DEPTH) -> Column:
     """All operator nodes, root first, as an array of VARIANT."""
+    return _levels(_operators(F.array(plan)), _operators_below, depth, F.concat)
+
+
+def _operators(level: Column) -> Column:
+    return F.filter(level, lambda n: get(n, "op").isNotNull())
+
+
+def _operators_below(level: Column) -> Column:
     none = F.array().cast("array<variant>")
-    levels, level = [], F.filter(F.array(plan), lambda n: get(n, "op").isNotNull())
-    for _ in range(depth):
-        levels.append(level)
-        level = F.filter(F.flatten(F.transform(level, lambda n: F.coalesce(operands(n), none))), lambda n: get(n, "op").isNotNull())
-    return F.concat(*levels)
+    return _operators(F.flatten(F.transform(level, lambda n: F.coalesce(operands(n), none))))
 
 
 def cited(plan: Column, depth: int = specs.MAX_DEPTH) -> Column:
@@ -127,12 +135,9 @@ def cited(plan: Column, depth: int = specs.MAX_DEPTH) -> Column:
 
 def depth_of(plan: Column, most: int = specs.MAX_DEPTH + 1) -> Column:
     """Operators above each other, counted up to one too many."""
-    none = F.array().cast("array<variant>")
-    found, level = F.lit(0), F.filter(F.array(plan), lambda n: get(n, "op").isNotNull())
-    for i in range(most):
-        found = F.when(F.size(level) > 0, F.lit(i + 1)).otherwise(found)
-        level = F.filter(F.flatten(F.transform(level, lambda n: F.coalesce(operands(n), none))), lambda n: get(n, "op").isNotNull())
-    return found
+    start = F.struct(_operators(F.array(plan)).alias("level"), F.lit(0).alias("n"))
+    step = lambda s, _: F.struct(_operators_below(s["level"]).alias("level"), (s["n"] + F.when(F.size(s["level"]) > 0, 1).otherwise(0)).alias("n"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["n"])
 
 
 def thresholds(plan: Column) -> Column:
@@ -140,26 +145,26 @@ def thresholds(plan: Column) -> Column:
     return F.filter(F.transform(nodes(plan), lambda n: get(n, "threshold", "double")), lambda x: x.isNotNull())
 
 
-def _spec_of(op: Column, field) -> Column:
-    """A field of the operator's spec; null for unknown operators."""
-    return reduce(lambda rest, name: rest.when(op == name, F.lit(field(name))), SPECS, F.when(F.lit(False), F.lit(None)))
-
-
 def _node_errors(node: Column, max_facts: int) -> Column:
     """V02 for one node, without what stands below its operands."""
-    op, args = get(node, "op"), operands(node)
-    fields = F.transform(F.split(_spec_of(op, lambda n: ",".join(("op", "args", *SPECS[n].extra))), ","), lambda x: x)
+    parts = F.struct(node.alias("node"), get(node, "op").alias("op"), operands(node).alias("args"), keys(node).alias("keys"), spec_of(get(node, "op")).alias("spec"))
+    return let(parts, lambda x: _errors_by_spec(x["node"], x["op"], x["args"], x["keys"], x["spec"], max_facts))
+
+
+def _errors_by_spec(node: Column, op: Column, args: Column, keys: Column, spec: Column, max_facts: int) -> Column:
+    fields, takes = spec["fields"], spec["takes"]
     inner = F.transform(args, lambda a: F.struct(is_ref(a).alias("ref"), get(a, "op").alias("op"), (kind(a).startswith("OBJECT")).alias("object")))
-    takes = _spec_of(op, lambda n: SPECS[n].takes)
     position, threshold = get(node, "position", "int"), get(node, "threshold", "double")
     wrong = lambda test, text: F.when(F.coalesce(test, F.lit(True)), F.lit(text))
     number = kind(F.try_variant_get(node, "$.threshold", "variant"))
     whole = kind(F.try_variant_get(node, "$.position", "variant"))
-    misfit = lambda a: ~a["ref"] & (~F.coalesce(a["object"], F.lit(False)) | (takes == "facts") | ((takes == "numbers") & a["op"].isin(*SPECS) & ~a["op"].isin(*specs.NUMERIC)) | ((takes == "label") & ~F.coalesce(a["op"].isin(*specs.LABELS), F.lit(False))))
+    # an unknown operator is its own node's fault
+    not_a_number = lambda inner_op: F.when(inner_op.isNotNull(), F.coalesce(~spec_of(inner_op)["gives"].isin("number", "scalar"), F.lit(False)))
+    misfit = lambda a: ~a["ref"] & (~F.coalesce(a["object"], F.lit(False)) | (takes == "facts") | ((takes == "numbers") & not_a_number(a["op"])) | ((takes == "label") & ~F.coalesce(a["op"].isin(*specs.LABELS), F.lit(False))))
     found = F.array(
-        wrong(~op.isin(*SPECS), "unknown operation"),
-        wrong((F.size(F.array_except(keys(node), fields)) > 0) | (F.size(F.array_except(fields, keys(node))) > 0), "fields"),
-        wrong((F.size(args) < _spec_of(op, lambda n: SPECS[n].least)) | (F.size(args) > _spec_of(op, lambda n: max_facts if SPECS[n].most is None else SPECS[n].most)), "operands"),
+        wrong(spec.isNull(), "unknown operation"),
+        wrong((F.size(F.array_except(keys, fields)) > 0) | (F.size(F.array_except(fields, keys)) > 0), "fields"),
+        wrong((F.size(args) < spec["least"]) | (F.size(args) > F.coalesce(spec["most"], F.lit(max_facts))), "operands"),
         wrong(F.exists(inner, misfit), "operand types"),
         F.when(op.isin("rank", "rank_value"), wrong((whole != "BIGINT") | (position < 1) | (position > F.size(args)) | ~get(node, "order").isin(*specs.ORDERS), "position or order")),
         F.when(op.isin(*specs.THRESHOLDED), wrong(threshold.isNull() | number.isin("STRING", "BOOLEAN") | ~get(node, "compare").isin(*specs.COMPARISONS), "compare or threshold")),

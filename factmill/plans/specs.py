@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAX_DEPTH = 4
 MAX_FACTS = 12
@@ -68,6 +70,21 @@ LABELS = ("label_of", "argmax", "argmin", "rank", "label_where")
 NUMERIC = tuple(op for op, s in SPECS.items() if s.gives in ("number", "scalar"))
 
 
+def converts(op: str) -> bool:
+    """Whether texts among the operands are read as numbers."""
+    return SPECS[op].takes in ("facts", "numbers") and op not in ("lookup", "label_of", "count")
+
+
+def spec_of(op: Column) -> Column:
+    """What rules ask of an operator, looked up by its name in one literal map; null for unknown operators.
+
+    ``struct<fields, takes, gives, least, most, same_unit, converts>``; ``most`` is null for as many operands as facts.
+    """
+    rows = {name: {"fields": ["op", "args", *s.extra], "takes": s.takes, "gives": s.gives, "least": s.least, "most": s.most, "same_unit": s.same_unit, "converts": converts(name)} for name, s in SPECS.items()}
+    kind = "map<string,struct<fields:array<string>,takes:string,gives:string,least:int,most:int,same_unit:boolean,converts:boolean>>"
+    return F.try_element_at(F.from_json(F.lit(json.dumps(rows)), kind), op)
+
+
 def operator_specs(spark: SparkSession) -> DataFrame:
     """The catalogue as a table, one row per operator."""
     rows = [(op, s.takes, s.gives, s.least, s.most, s.same_unit, s.unit, list(s.extra)) for op, s in SPECS.items()]

@@ -49,7 +49,7 @@ def _verdict(plan: Column, facts: Column, answer: Column, question: Column, mark
         status = (
             F.when(object_ & op.isin(*specs.FOLDS) & (F.size(args) < 2) & of_objects, VACUOUS)
             .when(~object_, MALFORMED)
-            .when(F.exists(every_op, lambda o: ~o.isin(*specs.SPECS)), UNKNOWN_OP)
+            .when(F.exists(every_op, lambda o: specs.spec_of(o).isNull()), UNKNOWN_OP)
             .when(nodes.depth_of(plan) > specs.MAX_DEPTH, TOO_DEEP)
             .when(F.size(args) > specs.MAX_FACTS, TOO_MANY)
             .when(F.size(nodes.shape_errors(plan)) > 0, MALFORMED)

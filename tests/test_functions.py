@@ -60,3 +60,10 @@ def test_quotas():
     assert mixture.holdout_quotas({"x": 3, "y": 3, "z": 4}, 5) == {"x": 2, "y": 1, "z": 2}
     with pytest.raises(ValueError):
         mixture.balanced_quotas({"a": 1}, 2)
+
+
+def test_numbers_beyond_doubles(spark):
+    """Numbers that overflow are none; a percent sign divides once."""
+    rows = spark.createDataFrame([("1e999",), ("-1e999%",), ("12%",), ("1_000.5",), ("inf",), (None,)], "t string")
+    got = [tuple(r) for r in rows.select(numbers.parse_numeric("t"), numbers.to_float("t")).collect()]
+    assert got == [(None, None), (None, None), (12.0, 0.12), (1000.5, 1000.5), (None, None), (None, None)]
