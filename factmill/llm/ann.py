@@ -6,10 +6,12 @@ and those one step away, in the order of how likely a neighbour lies there,
 which falls with the summed squared distances to the crossed borders.  All
 candidates in the visited buckets are ranked by their exact distance.
 
-How many hash functions, how wide, and how many probes is tried out on a
-bounded sample: of the settings that find the wanted share of the sample's
-own nearest neighbours, the one that looks at fewest rows.  Neighbours among
-all rows are nearer than those in a sample, so more of them are found.
+How many hash functions, how wide, and how many probes is tried out: one
+pass over all rows finds the true neighbours of a few sampled vectors, and of
+the settings that reach the wanted share of them the one is taken that meets
+fewest rows, counted on a bounded sample and projected to the table's size.
+More hash functions are tried for larger tables, so that buckets needn't grow
+with them.
 """
 
 from __future__ import annotations
@@ -21,17 +23,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bounded_sample, cut, drop, small_or_not
 from .vectors import distinct_vectors, matrix, ranked, usable
 
 #: Share of the sample's nearest neighbours that a setting must find.
-RECALL = 0.93
-#: Rows that the settings are tried on, at most, and how many of them ask; every row is indexed.
+RECALL = 0.95
+#: Rows that the settings are tried on, at most, and how many of them ask (one at least of each length); every row is indexed.
 FIT_ROWS, FIT_QUERIES = 4000, 200
-TABLES, HASHES, WIDTHS, PROBES = (2, 3), (2, 3, 4, 6, 8), (0.5, 1.0, 2.0, 4.0), (1, 2, 4, 8, 16, 32)
+#: Hash functions beyond eight are tried up to the logarithm of the number of rows.
+TABLES, HASHES, WIDTHS, PROBES = (2, 3), (2, 3, 4, 6, 8, 12, 16), (0.5, 1.0, 2.0, 4.0), (1, 2, 4, 8, 16, 32)
+#: What a visit to a bucket costs, in rows.
+PROBE_COST = 16
 #: Larger buckets are dealt into parts of about so many rows, and their queries into parts of theirs.
 PART_ROWS, PART_QUERIES = 4096, 1024
 
@@ -80,6 +85,10 @@ def _steps(hashes: int) -> np.ndarray:
 def probe_codes(positions: np.ndarray, probes: int) -> np.ndarray:
     """Codes of the first ``probes`` buckets of each row and table, likeliest first."""
     steps = _steps(positions.shape[-1])
+    # many hash functions have many buckets one step away: so many rows at once that their sums stay small
+    at_once = max(1, 2**21 // (positions.shape[1] * len(steps)))
+    if len(positions) > at_once:
+        return np.concatenate([probe_codes(positions[low : low + at_once], probes) for low in range(0, len(positions), at_once)])
     cells = np.floor(positions)
     inside = positions - cells
     down, up = (steps < 0).astype(float), (steps > 0).astype(float)
@@ -94,27 +103,27 @@ def spread(v: np.ndarray) -> float:
     return float(np.sqrt(np.var(v, axis=0).sum())) or 1.0
 
 
-def tuned(v: np.ndarray, k: int, recall: float = RECALL) -> Setting:
-    """The setting that finds the share ``recall`` of the sample's neighbours and looks at fewest rows."""
-    n, scale = len(v), spread(v)
-    asked = np.unique(np.linspace(0, n - 1, min(n, FIT_QUERIES)).astype(int))
-    apart = ((v**2).sum(1) - 2 * v[asked] @ v.T).astype(np.float64)
-    apart[np.arange(len(asked)), asked] = np.inf
-    near = np.argpartition(apart, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)] if n > 1 else np.zeros((len(asked), 0), int)
+def tuned(v: np.ndarray, asked: np.ndarray, near: list[np.ndarray], rows: int, recall: float = RECALL) -> Setting:
+    """The setting that finds the share ``recall`` of the neighbours and costs least in a table of so many ``rows``.
+
+    ``v`` is a sample, which says what share of all rows a probe meets;
+    ``near`` holds the true neighbours of each of ``asked``.
+    """
+    scale, most_hashes = spread(v), max(8, int(np.ceil(np.log2(max(rows, 1)))))
+    of = np.repeat(np.arange(len(near)), [len(x) for x in near])
+    wanted = np.concatenate([v[:0], *near])
     best, least, fallback, most = None, np.inf, None, -1.0
-    for tables, hashes, width in product(TABLES, HASHES, WIDTHS):
+    for tables, hashes, width in product(TABLES, [h for h in HASHES if h <= most_hashes], WIDTHS):
         setting = Setting(tables, hashes, width, max(PROBES))
-        at = Hashes(v.shape[1], scale, setting).positions(v)
-        own, probed = bucket_codes(np.floor(at)), probe_codes(at[asked], max(PROBES))
-        # the probe that first reaches each row, a table at a time
-        first = np.full((len(asked), n, tables), 10**6)
-        for t in range(tables):
-            for j in range(probed.shape[2] - 1, -1, -1):
-                first[..., t][probed[:, t, j, None] == own[None, :, t]] = j
-        for probes in PROBES:
-            seen = first < probes
-            found = np.take_along_axis(seen.any(-1), near, 1).mean() if near.size else 1.0
-            cost = seen.sum() / (len(asked) * n)
+        functions = Hashes(v.shape[1], scale, setting)
+        code = lambda x: bucket_codes(np.floor(functions.positions(x)))  # noqa: E731, B023
+        own, target, probed = np.sort(code(v), axis=0), code(wanted), probe_codes(functions.positions(asked), max(PROBES))
+        # of the sample, how many rows each probe meets; and which probe is the first to meet a neighbour
+        met = np.stack([np.searchsorted(own[:, t], probed[:, t], "right") - np.searchsorted(own[:, t], probed[:, t]) for t in range(tables)], 1)
+        hit = probed[of] == target[:, :, None]
+        for probes in (p for p in PROBES if p <= probed.shape[2]):
+            found = hit[:, :, :probes].any((1, 2)).mean() if len(of) else 1.0
+            cost = met[:, :, :probes].sum() / (len(asked) * len(v)) * rows + PROBE_COST * tables * probes
             if found >= recall and cost < least:
                 best, least = setting._replace(probes=probes), cost
             if found > most:
@@ -122,6 +131,39 @@ def tuned(v: np.ndarray, k: int, recall: float = RECALL) -> Setting:
     return best or fallback
 
 
+def true_neighbours(candidates: DataFrame, asked: dict[int, np.ndarray], k: int) -> dict[int, list[np.ndarray]]:
+    """The ``k`` vectors nearest to each of a few, by length, among all ``candidates`` but equal ones: one pass, in which a task keeps the best it saw."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {size: (np.full((len(q), k), np.inf), np.zeros((len(q), k, size))) for size, q in asked.items()}
+        for batch in batches:
+            sizes = batch.column(batch.schema.get_field_index("size")).to_numpy()
+            for size in set(np.unique(sizes).tolist()) & set(asked):
+                rows, q = matrix(batch.filter(pa.array(sizes == size)).column(batch.schema.get_field_index("v"))), asked[size]
+                for low in range(0, len(rows), 4096):
+                    block, (old, vectors) = rows[low : low + 4096], best[size]
+                    weight = (block**2).sum(1) + (q**2).sum(1)[:, None]
+                    apart = weight - 2 * (q @ block.T)
+                    apart[apart <= 1e-9 * weight] = np.inf
+                    few = np.argpartition(apart, min(k, len(block)) - 1, axis=1)[:, :k]
+                    both = np.concatenate([old, np.take_along_axis(apart, few, 1)], 1)
+                    keep = np.argpartition(both, k - 1, axis=1)[:, :k]
+                    best[size] = np.take_along_axis(both, keep, 1), np.take_along_axis(np.concatenate([vectors, block[few]], 1), keep[..., None], 1)
+        for size, (apart, vectors) in best.items():
+            at = np.argwhere(apart < np.inf)
+            if len(at):
+                chosen = vectors[at[:, 0], at[:, 1]]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * size), pa.array(chosen.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(at[:, 0].astype(np.int32)), pa.array(apart[at[:, 0], at[:, 1]]), lists], names=["size", "asked", "apart", "v"])
+
+    seen = candidates.select("size", "v").mapInArrow(scan, "size int, asked int, apart double, v array<double>")
+    order = Window.partitionBy("size", "asked").orderBy("apart", "v")
+    out = {size: [np.zeros((0, size)) for _ in q] for size, q in asked.items()}
+    for row in seen.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).groupBy("size", "asked").agg(F.collect_list("v").alias("near")).toArrow().to_pylist():
+        out[row["size"]][row["asked"]] = np.array(row["near"])
+    return out
+
+
 def nearest(queries: np.ndarray, block: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query, rows of ``block`` that hold its ``k`` nearest (and all ties), and their distances."""
     size = (block**2).sum(1)
@@ -155,11 +197,18 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, query_mod: int = 100, re
     samples: dict[int, list] = {}
     for row in bounded_sample(whole, "vec_id", FIT_ROWS, 31).toArrow().column("v").to_pylist():
         samples.setdefault(len(row), []).append(row)
-    fitted = {n: (spread(np.array(v)), setting or tuned(np.array(v), k, recall)) for n, v in samples.items()}
+    samples = {n: np.array(v) for n, v in samples.items()}
+    candidates = cut(distinct_vectors(whole.select("vec_id", "v"), k + 1).withColumn("size", F.size("v")))
+    chosen = dict.fromkeys(samples, setting)
+    if setting is None and samples:
+        total = sum(map(len, samples.values()))
+        asked = {n: v[np.unique(np.linspace(0, len(v) - 1, max(1, min(len(v), FIT_QUERIES * len(v) // total))).astype(int))] for n, v in samples.items()}
+        near, rows_of = true_neighbours(candidates, asked, k), dict(candidates.groupBy("size").count().where(F.col("size").isin(list(samples))).toArrow().to_pandas().itertuples(index=False))
+        chosen = {n: tuned(v, asked[n], near[n], int(rows_of[n]), recall) for n, v in samples.items()}
+    fitted = {n: (spread(v), chosen[n]) for n, v in samples.items()}
     usual = setting or max(fitted.values(), default=(1.0, Setting(2, 4, 2.0, 8)), key=lambda x: x[1].probes)[1]
     make = lambda size: (Hashes(size, *fitted.get(size, (1.0, usual))), fitted.get(size, (1.0, usual))[1])
     queries = whole.where(F.col("vec_id") % query_mod == 0)
-    candidates = cut(distinct_vectors(whole.select("vec_id", "v"), k + 1).withColumn("size", F.size("v")))
     kind = whole.schema["v"].dataType.simpleString()
 
     def hash_rows(batches: Iterator[pa.RecordBatch], probing: bool) -> Iterator[pa.RecordBatch]:

@@ -173,3 +173,40 @@ def test_packing(spark):
     assert len({(g["doc_id"], g["copy"], g["piece"]) for g in got}) == len(got)
     assert packed.where(F.col("doc_id").isNull()).count() == 1
     assert packing.pack_documents(empty(spark)).count() == 0
+
+
+def clustered(n, size=16):
+    """Groups of forty near vectors."""
+    random = np.random.default_rng(5)
+    return np.repeat(random.normal(size=(n // 40, size)), 40, axis=0) + 0.1 * random.normal(size=(n // 40 * 40, size))
+
+
+def test_rows_met_grow_slower_than_the_table():
+    """Four times the rows, in as large clusters: the settings chosen by true neighbours reach them in less than twice the rows."""
+    met = []
+    for n in (10_000, 40_000):
+        v = clustered(n)
+        sample, asked = v[:: n // 4000], v[:: n // 100]
+        near = [v[found[0]] for found in ann.nearest(asked, v, 10)]
+        setting = ann.tuned(sample, asked, near, n)
+        functions = ann.Hashes(16, ann.spread(sample), setting)
+        own, probed = ann.bucket_codes(np.floor(functions.positions(v))), ann.probe_codes(functions.positions(asked), setting.probes)
+        seen = np.stack([np.isin(own[:, t], codes[t]) for codes in probed for t in range(setting.tables)]).reshape(len(asked), setting.tables, -1).any(1)
+        hits = [np.mean([seen[q, i] for i in ann.nearest(asked[q : q + 1], v, 11)[0][0]]) for q in range(len(asked))]
+        assert np.mean(hits) >= 0.9
+        met.append(seen.sum(1).mean())
+    assert met[1] < 2 * met[0] and met[1] < 0.05 * 40_000
+
+
+def test_true_neighbours(spark):
+    """One pass over rows in any partitions finds what a sort of all distances finds; equal vectors are left out."""
+    v = np.random.default_rng(3).normal(size=(300, 4))
+    v[7] = v[3]
+    rows = spark.createDataFrame([(4, [float(c) for c in x]) for x in v] + [(2, [1.0, 2.0])], "size int, v array<double>").repartition(5)
+    asked = {4: v[[3, 50]], 2: np.array([[1.0, 2.0]])}
+    got = ann.true_neighbours(rows, asked, 5)
+    for q, near in zip(asked[4], got[4], strict=True):
+        apart = ((v - q) ** 2).sum(1)
+        want = v[[i for i in np.argsort(apart) if apart[i] > 0][:5]]
+        assert sorted(map(tuple, near)) == sorted(map(tuple, want))
+    assert len(got[2][0]) == 0
