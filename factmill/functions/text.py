@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -22,9 +23,22 @@ AGGREGATE_WORDED = r"(?i)\b(average|mean|sum|total|how many|count|number of|whic
 NAMES_A_POINT = r"(?i)\b(1[89]\d\d|20\d\d|january|february|march|april|may|june|july|august|september|october|november|december|q[1-4])\b"
 
 
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+#: Anything but characters that folding leaves alone, whatever stands beside them: ASCII, accented Latin letters, Greek, Cyrillic, dashes, quotes, Han.
+NOT_PLAIN = r"[\x{80}-\x{10FFFF}&&[^\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0391-\u03A1\u03A3-\u03CE\u0400-\u0482\u2010\u2012-\u2016\u2018-\u2023\u20AC\u4E00-\u9FA5]]"
+#: Texts that are folded at once.
+_SLICE = 64
+
+
+@F.arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    folded = lambda part: pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in part.to_pylist()], pa.string())
+    return pa.concat_arrays([folded(text.slice(i, _SLICE)) for i in range(0, len(text), _SLICE)] or [pa.array([], pa.string())])
+
+
+def folded(text: Column) -> Column:
+    """Unicode compatibility folding; only texts with a character that folding may touch go to Python."""
+    touched = (F.octet_length(text) > F.length(text)) & text.rlike(NOT_PLAIN)
+    return F.coalesce(_nfkc(F.when(touched, text)), text)
 
 
 @F.pandas_udf(StringType())
@@ -42,7 +56,7 @@ def normalise_question(question: Column, nfkc: bool = True) -> Column:
 
     Without ``nfkc``, for text that is known to be folded, no Python is needed.
     """
-    text = _nfkc(question) if nfkc else question
+    text = folded(question) if nfkc else question
     return strip(F.rtrim(one_spaced(F.lower(text)), F.lit(" ?.!")))
 
 

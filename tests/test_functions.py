@@ -1,3 +1,6 @@
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +70,23 @@ def test_numbers_beyond_doubles(spark):
     rows = spark.createDataFrame([("1e999",), ("-1e999%",), ("12%",), ("1_000.5",), ("inf",), (None,)], "t string")
     got = [tuple(r) for r in rows.select(numbers.parse_numeric("t"), numbers.to_float("t")).collect()]
     assert got == [(None, None), (None, None), (12.0, 0.12), (1000.5, 1000.5), (None, None), (None, None)]
+
+
+def test_numbers_of_file_names_are_whole(spark):
+    assert each(spark, ["a b"], lambda x: text.safe_file_name(F.lit(1234567), x)) == ["1234567_a_b.png"]
+
+
+def test_folding(spark):
+    """Only texts that folding may touch go to Python; every other character is one that folding leaves alone, whatever stands beside it."""
+    forms = ["plain", "é ß Ω я — “x” 漢", "ﬁ ²", "e\u0301", "ｆｕｌｌ", "a\u00a0b", "\u1100\u1161", "😀", "", None, "m\u0307\u0323", "é\u0300"] * 30
+    assert each(spark, forms, text.folded) == [x if x is None else unicodedata.normalize("NFKC", x) for x in forms]
+    plain, pairs = re.compile("[^\\x00-\\x7f" + text.NOT_PLAIN.split("[^")[1].removesuffix("]]") + "]"), (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    second = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")} | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A7, 0x11C3))}
+    left_alone = [x for x in map(chr, range(0x110000)) if not plain.search(x)]
+    assert len(left_alone) > 20_000
+    assert not [x for x in left_alone if unicodedata.normalize("NFKC", x) != x or unicodedata.combining(x) or x in second]
+
+
+def test_plain_texts_stay_out_of_python(spark, monkeypatch):
+    monkeypatch.setattr(text, "_nfkc", lambda c: F.when(c.isNotNull(), "sent"))
+    assert each(spark, ["plain", "é ß Ω я — “x”", "ﬁ", None], text.folded) == ["plain", "é ß Ω я — “x”", "sent", None]
