@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
+from ..functions.once import let
 
 LEAST_IOU = 0.90
 LEAST_MARGIN = 0.50
@@ -15,27 +16,37 @@ def best_matches(boxes: DataFrame, elements: DataFrame, key: str = "record_id")
     """For each box the element that overlaps it most, and its lead on the next.
 
     ``boxes``: key, ``box_index``, ``bbox``; ``elements``: key,
-    ``element_index``, ``bbox``.  The smaller index wins ties.  Pairs are made
+    ``element_index`` (an element's own), ``bbox``.  The smaller index wins ties.  Pairs are made
     within a record only.
     """
-    pairs = boxes.select(key, "box_index", F.col("bbox").alias("_box")).join(elements.select(key, "element_index", F.col("bbox").alias("_element")), key)
-    pairs = pairs.select(key, "box_index", "element_index", iou(F.col("_box"), F.col("_element")).alias("iou"))
-    # the two best of each box, kept while rows are combined before the shuffle
-    order = Window.partitionBy(key, "box_index").orderBy(F.desc("iou"), "element_index")
-    two = pairs.withColumn("_nth", F.row_number().over(order)).where("_nth <= 2")
-    best = F.max(F.when(F.col("_nth") == 1, F.struct("element_index", "iou")))
-    second = F.coalesce(F.max(F.when(F.col("_nth") == 2, F.col("iou"))), F.lit(0.0))
-    return two.groupBy(key, "box_index").agg(best.alias("best"), second.alias("second")).select(key, "box_index", F.col("best.element_index").alias("element_index"), F.col("best.iou").alias("iou"), (F.col("best.iou") - F.col("second")).alias("margin"))
+    # a record's elements are listed where its rows lie sorted by key, so that no pairs are sorted
+    own = Window.partitionBy(key)
+    listed = F.collect_list(F.struct("element_index", F.col("bbox").alias("box"))).over(own)
+    first = F.col("element_index") == F.min("element_index").over(own)
+    lists = elements.select(key, listed.alias("_elements"), first.alias("_first")).where("_first").drop("_first")
+    found = boxes.join(lists, key).select(key, "box_index", _two_best(F.col("bbox"), F.col("_elements")).alias("_best"))
+    best, second = F.get("_best", 0), F.coalesce(F.get("_best", 1)["iou"], F.lit(0.0))
+    return found.select(key, "box_index", best["element_index"].alias("element_index"), best["iou"].alias("iou"), (best["iou"] - second).alias("margin"))
+
+
+def _two_best(box: Column, elements: Column) -> Column:
+    """The two elements that overlap a box most; unknown overlaps come last."""
+    def ranked(e: Column) -> Column:
+        # NaN counts as larger than any overlap
+        order = lambda x: F.struct(x.isNull().alias("unknown"), F.when(F.isnan(x), F.lit(float("-inf"))).otherwise(-x).alias("order"), e["element_index"].alias("element_index"), x.alias("iou"))
+        return let(iou(box, e["box"]), order)
+
+    return F.slice(F.array_sort(F.transform(elements, ranked)), 1, 2)
 
 
 def aligned_records(boxes: DataFrame, elements: DataFrame, key: str = "record_id", least: float = LEAST_IOU, margin: float = LEAST_MARGIN) -> DataFrame:
     """Records all of whose boxes have a clear match of their own: key, ``evidence`` in the order of boxes."""
-    count = boxes.groupBy(key).agg(F.count("*").alias("_boxes"))
-    good = best_matches(boxes, elements, key).where((F.col("iou") >= least) & (F.col("margin") >= margin))
-    grouped = good.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("box_index", "element_index"))).alias("_pairs"))
+    # a record without elements has no match at all, so the boxes with a best element are all boxes of the others
+    good = (F.col("iou") >= least) & (F.col("margin") >= margin)
+    grouped = best_matches(boxes, elements, key).groupBy(key).agg(F.count("*").alias("_boxes"), F.array_sort(F.collect_list(F.when(good, F.struct("box_index", "element_index")))).alias("_pairs"))
     evidence = F.transform("_pairs", lambda p: p["element_index"])
     whole = (F.size("_pairs") == F.col("_boxes")) & (F.size(F.array_distinct(evidence)) == F.col("_boxes"))
-    return grouped.join(count, key).where(whole).select(key, evidence.alias("evidence"))
+    return grouped.where(whole).select(key, evidence.alias("evidence"))
 
 
 def context_elements(elements: DataFrame, aligned: DataFrame, key: str = "record_id") -> DataFrame:

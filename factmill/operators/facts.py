@@ -81,21 +81,40 @@ def admit_context(marked: Column, context: Column) -> Column:
     """
     n = F.size(marked)
     zero = F.lit(0)
-    start = F.struct(F.filter(marked, lambda e: F.lit(False)).alias("kept"), zero.alias("renames"), zero.alias("ambiguous"), zero.alias("conflicts"))
+    labels = F.transform(marked, lambda e: e["label"])
+    start = F.struct(
+        F.filter(marked, lambda e: F.lit(False)).alias("kept"), zero.alias("renames"), zero.alias("ambiguous"), zero.alias("conflicts"),
+        labels.alias("labels"), F.transform(marked, lambda e: e["series"]).alias("series"), _names(marked).alias("names"),
+    )
     fresh = F.filter(context, lambda e: ~F.exists(marked, lambda m: m["bbox"] == e["bbox"]))
+    has = lambda series: F.coalesce(series, F.lit("")) != ""
 
     def step(state: Column, element: Column) -> Column:
-        trial = F.concat(marked, state["kept"], F.array(element))
+        label, series = element["label"], element["series"]
+        # names are carried along: an element changes another's only if it is the second of its label
+        same = F.filter(F.transform(state["labels"], lambda x, i: F.when(x == label, i)), lambda i: i.isNotNull())
+
+        def judge(same: Column) -> Column:
+            first = F.get(same, 0)
+            other = F.get(state["series"], first)
+            renamed = (F.size(same) == 1) & has(other)
+            others = F.when(renamed, F.transform(state["names"], lambda x, i: F.when(i == first, F.concat(other, F.lit(SEPARATOR), label)).otherwise(x))).otherwise(state["names"])
+            own = F.when((F.size(same) > 0) & has(series), F.concat(series, F.lit(SEPARATOR), label)).otherwise(label)
+            return let(F.struct((renamed & (first < n)).alias("renames"), F.array_append(others, own).alias("names")), decide)
+
+        def decide(trial: Column) -> Column:
+            ambiguous = F.size(F.array_distinct(trial["names"])) < F.size(trial["names"])
+            bad = F.when((n > 0) & trial["renames"], 1).when(ambiguous, 2).when(F.coalesce(element["conflict"], F.lit(False)), 3).otherwise(0)
+            return let(bad, lambda b: F.when(b == 0, _counted(state, b, F.array_append(state["kept"], element), F.array_append(state["labels"], label), F.array_append(state["series"], series), trial["names"])).otherwise(_counted(state, b, state["kept"], state["labels"], state["series"], state["names"])))
+
+        return let(same, judge)
 
-        def judge(names: Column) -> Column:
-            renames = F.slice(names, F.lit(1), n) != F.slice(_names(F.concat(marked, state["kept"])), F.lit(1), n)
-            ambiguous = F.size(F.array_distinct(names)) < F.size(names)
-            bad = F.when((n > 0) & renames, 1).when(ambiguous, 2).when(F.coalesce(element["conflict"], F.lit(False)), 3).otherwise(0)
-            return F.struct(F.when(bad == 0, F.array_append(state["kept"], element)).otherwise(state["kept"]).alias("kept"), (state["renames"] + (bad == 1).cast("int")).alias("renames"), (state["ambiguous"] + (bad == 2).cast("int")).alias("ambiguous"), (state["conflicts"] + (bad == 3).cast("int")).alias("conflicts"))
+    return F.aggregate(fresh, start, step, lambda s: F.struct(s["kept"].alias("kept"), s["renames"].alias("renames"), s["ambiguous"].alias("ambiguous"), s["conflicts"].alias("conflicts")))
 
-        return let(_names(trial), judge)
 
-    return F.aggregate(fresh, start, step)
+def _counted(state: Column, bad: Column, kept: Column, labels: Column, series: Column, names: Column) -> Column:
+    plus = lambda name, code: (state[name] + (bad == code).cast("int")).alias(name)
+    return F.struct(kept.alias("kept"), plus("renames", 1), plus("ambiguous", 2), plus("conflicts", 3), labels.alias("labels"), series.alias("series"), names.alias("names"))
 
 
 def first_numeric_window(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -421,8 +421,9 @@ m AS (
 
 def order_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Elements and marked boxes of each order: line items as rectangles of 100 by 60, the first two moved a little."""
-    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record_id"), i.alias("element_index"), ((F.col("l_partkey") % 40) * 10.0).alias("x"), ((F.col("l_suppkey") % 20) * 20.0).alias("y"))
+    i = F.row_number().over(Window.partitionBy("record_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    # the key has its name before the window, so that what follows finds the rows in their places
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "record_id").select("record_id", i.alias("element_index"), ((F.col("l_partkey") % 40) * 10.0).alias("x"), ((F.col("l_suppkey") % 20) * 20.0).alias("y"))
     box = lambda shift: F.array(F.col("x") + shift, F.col("y"), F.col("x") + 100 + shift, F.col("y") + 60)
     elements = rows.select("record_id", "element_index", box(F.lit(0)).alias("bbox"))
     boxes = rows.where("element_index <= 2").select("record_id", F.col("element_index").alias("box_index"), box(F.col("element_index") % 3).alias("bbox"))
@@ -446,11 +447,15 @@ def iou_aligned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def context_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F08 over each order's first two boxes and the rest of its items."""
-    boxes, elements = order_boxes(spark, sf_dir)
-    e = F.struct((F.col("element_index") % 3).cast("string").alias("label"), F.when(F.col("element_index") % 2 == 0, F.lit("s")).alias("series"), "bbox", (F.col("element_index") == 5).alias("conflict"))
-    rows = elements.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("element_index", e.alias("e")))).alias("l"))
-    all_ = F.transform("l", lambda x: x["e"])
-    state = facts.admit_context(F.slice(all_, 1, 2), F.filter(all_, lambda x, i: i >= 2))
+    # an order's items are listed where its lines lie sorted, once for the first of them
+    lines = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    place = F.struct(((F.col("l_partkey") % 40) * 10.0).alias("x"), ((F.col("l_suppkey") % 20) * 20.0).alias("y"))
+    listed = F.collect_list(place).over(lines.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record_id"), listed.alias("l"), F.row_number().over(lines).alias("i")).where("i = 1")
+    box = lambda p: F.array(p["x"], p["y"], p["x"] + 100, p["y"] + 60)
+    element = lambda p, i: F.struct(((i + 1) % 3).cast("string").alias("label"), F.when((i + 1) % 2 == 0, F.lit("s")).alias("series"), box(p).alias("bbox"), (i + 1 == 5).alias("conflict"))
+    rows = rows.select("record_id", F.transform("l", element).alias("all"))
+    state = facts.admit_context(F.slice("all", 1, 2), F.slice("all", 3, 2147483645))
     return rows.select("record_id", state.alias("s")).select("record_id", F.size("s.kept").alias("kept"), "s.renames", "s.ambiguous", "s.conflicts")
 
 

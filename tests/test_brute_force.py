@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factmill.functions import geometry, json_tools
-from factmill.operators import elements, facts, keyed, metrics, mixture
+from factmill.operators import align, elements, facts, keyed, metrics, mixture
 
 
 def overlap(a, b):
@@ -190,3 +190,41 @@ def test_attempts_at_json():
         if "```" not in text:
             assert got["repairs"] == repairs
     assert json_tools.read_record('{"plan": 1}')["reason"].startswith("lacks") and not json_tools.read_record(f"{record} {record}")["ok"]
+
+
+def test_context_names(spark):
+    """Context elements taken one by one, names made anew at each step."""
+    r = random.Random(5)
+    some = lambda n: [(r.choice(["a", "b", "s · a", None]), r.choice(["s", "t", "", None]), r.random() < 0.2) for _ in range(r.randint(0, n))]
+    rows = [(i, some(2), some(6)) for i in range(150)]
+
+    def names(es):
+        count = lambda x: sum(e[0] == x for e in es)
+        return [f"{s} · {x}" if x is not None and count(x) > 1 and s else x for x, s, _ in es]
+
+    def admitted(marked, context):
+        kept, refused = [], [0, 0, 0]
+        for e in context:
+            now = names(marked + kept + [e])
+            bad = 0 if now[: len(marked)] != names(marked + kept)[: len(marked)] else 1 if len(set(now)) < len(now) else 2 if e[2] else None
+            if bad is None:
+                kept.append(e)
+            else:
+                refused[bad] += 1
+        return [(x, s) for x, s, _ in kept], *refused
+
+    of = "array<struct<label:string,series:string,conflict:boolean>>"
+    df = spark.createDataFrame(rows, f"i int, m {of}, c {of}")
+    boxed = lambda c, x: F.transform(c, lambda e: F.struct(e["label"].alias("label"), e["series"].alias("series"), F.array(F.lit(x)).alias("bbox"), e["conflict"].alias("conflict")))
+    got = df.select("i", facts.admit_context(boxed("m", 0.0), boxed("c", 1.0)).alias("s")).collect()
+    assert {g["i"]: ([(k["label"], k["series"]) for k in g["s"]["kept"]], g["s"]["renames"], g["s"]["ambiguous"], g["s"]["conflicts"]) for g in got} == {i: admitted(m, c) for i, m, c in rows}
+
+
+def test_best_elements_without_sorted_pairs(spark):
+    """Ties go to the smaller index, a lone element leads by its overlap; no pair of box and element is sorted."""
+    box = [0.0, 0.0, 10.0, 10.0]
+    boxes = spark.createDataFrame([(1, 1, box), (2, 1, box), (3, 1, box)], "record_id long, box_index int, bbox array<double>")
+    elements = spark.createDataFrame([(1, 2, box), (1, 1, box), (2, 1, [0.0, 0.0, 5.0, 10.0]), (2, 2, None)], "record_id long, element_index int, bbox array<double>")
+    found = align.best_matches(boxes, elements)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1, 1.0, 0.0), (2, 1, 1, 0.5, 0.5)]
+    assert "box_index ASC" not in found._jdf.queryExecution().toString() and "iou DESC" not in found._jdf.queryExecution().toString()
