@@ -513,7 +513,8 @@ def mining_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").cast("string").alias("record_id"), F.when(form == 1, "What is the highest value?").otherwise("What is a?").alias("question"), reply.alias("reply"),
         F.when(form == 2, (F.col("p_size") + 7).cast("string")).otherwise(F.col("p_size").cast("string")).alias("answer"), elements.alias("elements"), F.array(F.lit(0)).alias("evidence"),
     )
-    return mining.scored(rows).groupBy("outcome", "set_aside").agg(F.count("*").alias("n"), F.count("plan").alias("kept"))
+    kept = F.sum(F.when(F.col("plan").isNotNull(), F.col("n")).otherwise(0))
+    return mining.scored(mining.counted(rows)).groupBy("outcome", "set_aside").agg(F.sum("n").alias("n"), kept.alias("kept"))
 
 
 @query("""SELECT p_partkey, p_partkey % 3 <> 0 AS compositional, CASE p_partkey % 3 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN p_size + 3.0 ELSE p_size * 1.0 / (p_size + 3) END AS num FROM part""")

@@ -13,9 +13,9 @@ from . import nodes, targets, verify
 def scored(rows: DataFrame) -> DataFrame:
     """Rows with ``outcome`` (V05, V08), ``set_aside`` (why an accepted plan isn't kept) and ``plan`` of those that are kept.
 
-    ``rows``: ``record_id, question, reply, answer, elements`` (label, num,
+    ``rows``: ``question, reply, answer, elements`` (label, num,
     str, unit, bbox), ``evidence`` (positions).  Every step is a column; only
-    the histogram of outcomes shuffles.
+    the histogram of outcomes shuffles.  Other columns stay.
     """
     facts = F.transform("elements", lambda e, i: F.struct(F.concat(F.lit("f"), (i + 1).cast("string")).alias("id"), e["label"].alias("label"), e["num"].alias("num"), e["str"].alias("str"), e["unit"].alias("unit")))
     read = rows.withColumn("_reply", F.when(F.trim(F.coalesce("reply", F.lit(""))) != "", parse_reply(F.col("reply")))).withColumn("_facts", facts)
@@ -28,6 +28,11 @@ def scored(rows: DataFrame) -> DataFrame:
     return judged.withColumn("set_aside", aside).withColumn("plan", F.when(good & F.col("set_aside").isNull(), F.to_json("_plan"))).drop("_reply", "_facts", "_plan")
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """Rows of ``scored`` that are alike but for their id, as one with their number ``n``: each is judged once."""
+    return rows.groupBy("question", "reply", "answer", "elements", "evidence").agg(F.count("*").alias("n"))
+
+
 def _one_fact(plan: Column) -> Column:
     return (F.size(nodes.operands(plan)) == 1) & F.forall(nodes.operands(plan), nodes.is_ref)
 
