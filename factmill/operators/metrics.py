@@ -18,17 +18,19 @@ def accuracy_by_subset(scored: DataFrame, subset: str, ok: Column) -> DataFrame:
     return scored.rollup(subset).agg(F.count("*").alias("n"), F.avg(ok.cast("int")).alias("accuracy"), F.grouping(subset).alias("_all")).select(subset, (F.col("_all") == 1).alias("overall"), "n", "accuracy")
 
 
-def plan_statistics(rows: DataFrame, usable: Column, has_plan: Column, executes: Column, reproduces: Column, executed_right: Column, stated_right: Column) -> DataFrame:
-    """Counts of usable plans, and accuracies over all rows (at least one)."""
+def plan_statistics(rows: DataFrame, usable: Column, has_plan: Column, executes: Column, reproduces: Column, executed_right: Column, stated_right: Column, times: Column | None = None) -> DataFrame:
+    """Counts of usable plans, and accuracies over all rows (at least one); a row stands for ``times`` alike."""
     plan = usable & has_plan
     ran = plan & executes
-    n = F.greatest(F.count("*"), F.lit(1))
+    times = F.lit(1).cast("long") if times is None else times
+    number = lambda test: F.coalesce(F.sum(F.when(test, times).otherwise(0)), F.lit(0))
+    n = F.greatest(number(F.lit(True)), F.lit(1))
     return rows.agg(
-        F.count_if(plan).alias("answers_with_plan"),
-        F.count_if(ran).alias("plans_that_execute"),
-        F.count_if(ran & reproduces).alias("plans_reproducing_stated_answer"),
-        (F.count_if(ran & executed_right) / n).alias("executed_plan_accuracy"),
-        (F.count_if(ran & reproduces & stated_right) / n).alias("plan_verified_accuracy"),
+        number(plan).alias("answers_with_plan"),
+        number(ran).alias("plans_that_execute"),
+        number(ran & reproduces).alias("plans_reproducing_stated_answer"),
+        (number(ran & executed_right) / n).alias("executed_plan_accuracy"),
+        (number(ran & reproduces & stated_right) / n).alias("plan_verified_accuracy"),
     )
 
 

@@ -662,12 +662,13 @@ WITH e AS (SELECT event_id % 6 IN (0, 1, 2) AS usable FROM events)
 SELECT count_if(usable)::BIGINT AS answers_with_plan, count_if(usable)::BIGINT AS plans_that_execute, count_if(usable)::BIGINT AS plans_reproducing_stated_answer, count_if(usable) / count(*) AS executed_plan_accuracy, count_if(usable) / count(*) AS plan_verified_accuracy FROM e""")
 def plan_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A07 over the generations: how many plans there are, run and give what was said."""
-    rows = generations(spark, sf_dir).withColumn("reason", json_tools.interpret(F.col("raw"))["reason"]).withColumn("record", F.try_parse_json(json_tools.parse_record(F.col("raw"))["json"]))
+    # generations that are the same text are read and run once
+    rows = generations(spark, sf_dir).groupBy("raw").agg(F.count("*").alias("n")).withColumn("reason", json_tools.interpret(F.col("raw"))["reason"]).withColumn("record", F.try_parse_json(json_tools.parse_record(F.col("raw"))["json"]))
     listed = F.coalesce(F.try_variant_get("record", "$.facts", "array<variant>"), F.array().cast("array<variant>"))
     own = F.transform(listed, lambda f: F.struct(nodes.get(f, "id").alias("id"), nodes.get(f, "label").alias("label"), nodes.get(f, "value", "double").alias("num"), F.lit(None).cast("string").alias("str"), nodes.get(f, "unit").alias("unit")))
     rows = rows.withColumn("trip", verify.round_trip(F.try_variant_get("record", "$.plan", "variant"), own, F.try_variant_get("record", "$.model_answer", "string")))
     agrees = F.col("trip") == "agrees"
-    return metrics.plan_statistics(rows, F.col("reason") == "", F.col("trip") != "no_plan", F.col("trip").isin("agrees", "disagrees"), agrees, agrees, agrees)
+    return metrics.plan_statistics(rows, F.col("reason") == "", F.col("trip") != "no_plan", F.col("trip").isin("agrees", "disagrees"), agrees, agrees, agrees, F.col("n"))
 
 
 # --- synthetic examples, targets, tables

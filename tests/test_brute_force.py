@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factmill.functions import geometry, json_tools
 from factmill.operators import align, elements, facts, keyed, metrics, mixture
+from factmill.plans import mining
 
 
 def overlap(a, b):
@@ -228,3 +229,13 @@ def test_best_elements_without_sorted_pairs(spark):
     found = align.best_matches(boxes, elements)
     assert sorted(map(tuple, found.collect())) == [(1, 1, 1, 1.0, 0.0), (2, 1, 1, 0.5, 0.5)]
     assert "box_index ASC" not in found._jdf.queryExecution().toString() and "iou DESC" not in found._jdf.queryExecution().toString()
+
+
+def test_alike_rows_are_judged_once(spark):
+    """A row that stands for several counts as often; replies alike but for their id become one row."""
+    rows = spark.createDataFrame([(True, 3), (False, 1)], "ok boolean, n long")
+    ok = F.col("ok")
+    assert tuple(metrics.plan_statistics(rows, ok, ok, ok, ok, ok, ok, F.col("n")).collect()[0]) == (3, 3, 3, 0.75, 0.75)
+    assert tuple(metrics.plan_statistics(rows.where("n > 9"), ok, ok, ok, ok, ok, ok, F.col("n")).collect()[0]) == (0, 0, 0, 0.0, 0.0)
+    replies = spark.createDataFrame([("a", "q", None), ("b", "q", None), ("c", "q", "no")], "record_id string, question string, reply string").selectExpr("*", "'3' AS answer", "array(named_struct('label', 'a', 'num', 3D)) AS elements", "array(0) AS evidence")
+    assert sorted((r["reply"] or "", r["n"]) for r in mining.counted(replies).collect()) == [("", 2), ("no", 1)]
