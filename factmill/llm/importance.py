@@ -1,11 +1,11 @@
 """Importance resampling towards a target distribution.
 
 Features are hashed to buckets.  Counts of buckets by document are a sparse
-matrix, persisted as blocks of rows in CSR form: column sums of the two
-corpora's blocks give their distributions, the logarithms of their ratio are
-the buckets' gains, and each block times the gains gives its documents'
-weights.  Weights with Gumbel noise, in descending order, draw without
-replacement.
+matrix, persisted as compressed sparse rows, so that each Arrow batch of them
+is a block in CSR form: column sums of the two corpora's blocks give their
+distributions, the logarithms of their ratio are the buckets' gains, and each
+block times the gains gives its documents' weights.  Weights with Gumbel
+noise, in descending order, draw without replacement.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .shared import LOWER, cut, drop, lists, long_word_bounds, text_slices
 
-#: Bytes and rows of one block, about, and words of one piece of it.
+#: Bytes and rows of texts that are counted together, about, and words of one piece of them.
 BLOCK_BYTES, BLOCK_ROWS, PIECE = 1 << 18, 1024, 1 << 17
 
 #: True for the bytes of words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``: digits, small letters, all beyond ASCII.
@@ -84,22 +84,21 @@ def bucket_counts(data: np.ndarray, offsets: np.ndarray, buckets: int, longest:
 
 
 def count_blocks(docs: DataFrame, id_column: str, text_column: str = "text", buckets: int = 10000, longest: int = 1) -> DataFrame:
-    """The document-by-bucket matrix: rows ``ids, words, entries, buckets, counts`` are CSR blocks.
+    """The document-by-bucket matrix, ``doc_id, words, buckets, counts``: a row for each document, with the counts of its buckets (ascending).
 
-    ``ids`` and ``words`` have an item for each document, ``entries`` says how
-    many of ``buckets`` and ``counts`` are each one's.
+    Spark's reader holds thousands of rows of a file at once, whatever their
+    length.  So a row is one document, with an entry a bucket at most, and
+    blocks of rows are only what Arrow makes of them, up to its own bounds.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, most=BLOCK_BYTES, most_rows=BLOCK_ROWS):
             words, entries, bucket, counts = bucket_counts(part.data, part.offsets, buckets, longest)
-            columns = [pa.array(words.astype(np.int64)), pa.array(entries.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts.astype(np.int64))]
-            ids = part.column("_id").cast(pa.int64())
-            one = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in [ids, *columns]]
-            yield pa.RecordBatch.from_arrays(one, names=["ids", "words", "entries", "buckets", "counts"])
+            columns = [part.column("_id").cast(pa.int64()), pa.array(words.astype(np.int64)), lists(bucket.astype(np.int32), entries), lists(counts.astype(np.int64), entries)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "words", "buckets", "counts"])
 
     narrow = docs.select(docs[id_column].alias("_id"), docs[text_column].alias("text"))
-    return narrow.mapInArrow(count, "ids array<bigint>, words array<bigint>, entries array<int>, buckets array<int>, counts array<bigint>")
+    return narrow.mapInArrow(count, "doc_id bigint, words bigint, buckets array<int>, counts array<bigint>")
 
 
 def column_sums(blocks: DataFrame, buckets: int) -> np.ndarray:
@@ -131,9 +130,9 @@ def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, words, entries, bucket, counts = (batch.column(i).flatten() for i in range(5))
-            bucket, counts = bucket.to_numpy(zero_copy_only=False), counts.to_numpy(zero_copy_only=False)
-            edges = np.concatenate(([0], np.cumsum(entries.to_numpy(zero_copy_only=False), dtype=np.int64)))
+            ids, words, bucket, counts = batch.columns
+            edges = np.concatenate(([0], np.cumsum(bucket.value_lengths().to_numpy(), dtype=np.int64)))
+            bucket, counts = (x.flatten().to_numpy(zero_copy_only=False) for x in (bucket, counts))
             features, weight = (np.diff(np.concatenate(([0], np.cumsum(x)))[edges]) for x in (counts, counts * held.value[bucket]))
             yield pa.RecordBatch.from_arrays([ids, words, pa.array(features.astype(np.int64)), pa.array(weight.astype(np.int64))], names=["doc_id", "n_words", "n_features", "weight"])
 

@@ -63,6 +63,16 @@ def test_counts(longest, monkeypatch):
                 assert words[i] == len(w) and dict(zip(bucket[own].tolist(), counts[own].tolist(), strict=True)) == c
 
 
+def test_matrix_has_a_row_for_each_document(spark):
+    """A reader holds thousands of its rows at once: none is longer than there are buckets, whatever is counted together."""
+    docs, rows = documents(spark, 300, 8)
+    matrix = importance.count_blocks(docs.coalesce(1), "doc_id", buckets=64, longest=2)
+    assert matrix.count() == len(rows) and matrix.agg(F.max(F.size("buckets"))).first()[0] <= 64
+    own = [(i, features(t, 64, 2)) for i, t, *_ in rows]
+    want = sorted(str((i, len(w), sorted(c.items()))) for i, (w, c) in own)
+    assert sorted(str((x.doc_id, x.words, list(zip(x.buckets, x.counts, strict=True)))) for x in matrix.collect()) == want
+
+
 def test_query(spark, tmp_path):
     docs, rows = documents(spark, 300, 5)
     r = Random(6)
