@@ -23,6 +23,8 @@ from .shared import LOWER, cut, drop, lists, long_word_bounds, text_slices
 
 #: Bytes and rows of texts that are counted together, about, and words of one piece of them.
 BLOCK_BYTES, BLOCK_ROWS, PIECE = 1 << 18, 1024, 1 << 17
+#: Bytes of a row group of the matrix: a reader's batch of rows ends with it.  In memory, entries take about five times their bytes there.
+GROUP_BYTES = 8 << 20
 
 #: True for the bytes of words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``: digits, small letters, all beyond ASCII.
 WORD_BYTES = np.zeros(256, dtype=bool)
@@ -86,9 +88,9 @@ def bucket_counts(data: np.ndarray, offsets: np.ndarray, buckets: int, longest:
 def count_blocks(docs: DataFrame, id_column: str, text_column: str = "text", buckets: int = 10000, longest: int = 1) -> DataFrame:
     """The document-by-bucket matrix, ``doc_id, words, buckets, counts``: a row for each document, with the counts of its buckets (ascending).
 
-    Spark's reader holds thousands of rows of a file at once, whatever their
-    length.  So a row is one document, with an entry a bucket at most, and
-    blocks of rows are only what Arrow makes of them, up to its own bounds.
+    Spark's reader holds thousands of rows of a row group at once, whatever
+    their length.  So a row is one document, with an entry a bucket at most,
+    and blocks of rows are only what Arrow makes of them, up to its own bounds.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +179,7 @@ def resample(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text
     are drawn, each.  Without target rows all target shares are equal.  An
     empty table gives no rows; other columns are ignored.
     """
-    matrix = cut(count_blocks(docs, id_column, text_column, buckets, longest))
+    matrix = cut(count_blocks(docs, id_column, text_column, buckets, longest), **{"parquet.block.size": GROUP_BYTES})
     aim = target.select(F.lit(0).cast("long").alias("_nr"), target[target_text].alias("text"))
     gain = gains(column_sums(matrix, buckets), column_sums(count_blocks(aim, "_nr", "text", buckets, longest), buckets))
     scored = cut(weights(matrix, gain).withColumn("score", F.col("weight") + gumbel("doc_id", seed)))

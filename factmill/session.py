@@ -63,18 +63,18 @@ def _delete(spark: SparkSession, path: str, at_end: bool = False) -> None:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **options: str | int) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read from there: its lineage is cut, and what is random in it is settled.
 
     ``drop`` deletes a table once nothing reads it; the others go when the
-    session ends.
+    session ends.  ``options`` are those of Spark's writer.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/factmill-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     _delete(spark, path, at_end=True)

@@ -5,11 +5,13 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 from random import Random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import functions as F
 
 from factmill.llm import importance, queries
@@ -73,6 +75,19 @@ def test_matrix_has_a_row_for_each_document(spark):
     assert sorted(str((x.doc_id, x.words, list(zip(x.buckets, x.counts, strict=True)))) for x in matrix.collect()) == want
 
 
+def test_row_groups_of_the_matrix_are_small(spark, monkeypatch):
+    """A reader's batch of rows ends with a row group, so that long documents are few in it."""
+    r = Random(9)
+    rows = [(i, prose(r, "en", 200)) for i in range(1000)]
+    docs, kept = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), []
+    monkeypatch.setattr(importance, "GROUP_BYTES", 1 << 16)
+    monkeypatch.setattr(importance, "drop", kept.append)
+    got = importance.resample(docs, docs.limit(5)).select("doc_id", "n_features", "weight", "score", "rank").collect()
+    assert sorted((tuple(g) for g in got), key=str) == by_hand(rows, [t for _, t in rows[:5]])
+    groups = [m.row_group(i).num_rows for f in Path(kept[0]._factmill_path).glob("*.parquet") for m in [ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert sum(groups) == 1000 and max(groups) < 500
+
+
 def test_query(spark, tmp_path):
     docs, rows = documents(spark, 300, 5)
     r = Random(6)
